@@ -13,22 +13,21 @@ bounded parts instead:
 The count is exact. The sector size decides per metric which pool a row uses.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
+from relvalue.operators.materialize import materialize
 
 CASH_FLOW = ("pf", "ps", "phr")
 RANKED = ("pf", "ps", "phr", "mcap_tvl")
 
 BUCKETS_PER_E = 1 << 14
 
-# A value is hot if it makes up more than this share of a metric's pool. There can be at most
-# HOT_SHARE such values per metric, which bounds what is broadcast.
+# A value is hot if it makes up more than one part in HOT_SHARE of a metric's pool. There can
+# be at most HOT_SHARE such values per metric, which bounds what is broadcast.
 HOT_SHARE = 1000
 
-_SPREAD = 1 << 20
-
 
 def ranked_values(df: DataFrame, *keep: str) -> DataFrame:
     """Long form: one row per entity and metric that gets a percentile.
@@ -36,27 +35,16 @@ def ranked_values(df: DataFrame, *keep: str) -> DataFrame:
     ``pooled`` is false for values above the cap, which are ranked but belong to no pool.
     Needs the columns ``with_multiples`` and ``with_gates`` add.
     """
-    scaled = ~F.col("insufficient_scale")
-
-    def entry(metric: str) -> Column:
-        value = F.col(f"multiples.{metric}")
-        if metric in CASH_FLOW:
-            ranked = scaled & ~F.col("low_activity")
-            pooled = value <= S.MULTIPLE_CAP
-        else:
-            ranked = scaled & F.col("tvl_sector")
-            pooled = F.lit(True)
-        return F.struct(
-            F.lit(metric).alias("metric"),
-            F.when(ranked, value).alias("value"),
-            pooled.alias("pooled"),
-        )
-
-    sector = F.coalesce("category", F.lit(S.OTHER_SECTOR)).alias("sector")
+    cash = ", ".join(
+        f"struct('{m}' AS metric, CASE WHEN NOT low_activity THEN multiples.{m} END AS value, "
+        f"multiples.{m} <= {S.MULTIPLE_CAP} AS pooled)"
+        for m in CASH_FLOW
+    )
+    locked = "struct('mcap_tvl' AS metric, CASE WHEN tvl_sector THEN multiples.mcap_tvl END AS value, true AS pooled)"
     return (
-        df.select(*keep, sector, F.explode(F.array(*[entry(m) for m in RANKED])).alias("e"))
-        .where("e.value IS NOT NULL")
-        .select(*keep, "sector", "e.metric", "e.value", "e.pooled")
+        df.where("NOT insufficient_scale")
+        .selectExpr(*keep, f"coalesce(category, '{S.OTHER_SECTOR}') AS sector", f"inline(array({cash}, {locked}))")
+        .where("value IS NOT NULL")
     )
 
 
@@ -70,113 +58,120 @@ def pool_sizes(df: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(value: Column) -> Column:
-    # ln is null for 0, which only an underflowing ratio gives; it goes below all others.
-    return F.coalesce(F.floor(F.ln(value) * BUCKETS_PER_E), F.lit(-(2**62)))
-
+def _above(values: str, histogram: str, pool: str) -> str:
+    """Values with ``above`` (members of their pool that are greater) and the pool size ``n``."""
+    return f"""
+      SELECT v.*, b.n, b.beyond + v.within AS above
+      FROM (
+        SELECT *, coalesce(sum(members) OVER (
+          PARTITION BY {pool}, bucket ORDER BY value DESC
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS within
+        FROM {values}
+      ) v
+      JOIN (
+        SELECT {pool}, bucket, sum(members) OVER (PARTITION BY {pool}) AS n, coalesce(sum(members) OVER (
+          PARTITION BY {pool} ORDER BY bucket DESC
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beyond
+        FROM {histogram}
+      ) b USING ({pool}, bucket)"""
 
-def _above(values: DataFrame, histogram: DataFrame, pool: list[str]) -> DataFrame:
-    """Add ``above`` (members of the pool greater than the value) and the pool size ``n``."""
-    higher = Window.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    in_bucket = higher.partitionBy(*pool, "bucket").orderBy(F.col("value").desc())
-    in_pool = higher.partitionBy(*pool).orderBy(F.col("bucket").desc())
-    buckets = histogram.select(
-        *pool, "bucket",
-        F.coalesce(F.sum("members").over(in_pool), zero).alias("beyond"),
-        F.sum("members").over(Window.partitionBy(*pool)).alias("n"),
-    )
-    return (
-        values.withColumn("within", F.coalesce(F.sum("members").over(in_bucket), zero))
-        .join(buckets, [*pool, "bucket"])
-        .withColumn("above", F.col("beyond") + F.col("within"))
-        .drop("beyond", "within")
-    )
 
-
-def _percentile() -> Column:
-    return F.when(F.col("n") <= 1, 50.0).otherwise(F.col("above") / (F.col("n") - 1) * 100)
-
-
-def _value_lookup(rows: DataFrame, table: DataFrame, pool: list[str], spread: Column) -> DataFrame:
-    """Add ``percentile`` to rows with ``pool`` and ``value`` from a table unique on those.
+def _lookup(rows: str, table: str, pool: str, spread: str) -> str:
+    """Rows with the ``percentile`` of their pool and value; ``table`` is unique on those.
 
     Hot values come from a bounded broadcast. Rows that are thereby served, or that ask for
     nothing (value null), would pile up on one null key in the second join; they get a
     negative key instead, which no multiple has, drawn from the hash of ``spread``.
     """
-    hot = table.where("hot").select(*pool, "value", F.col("percentile").alias("hot_percentile"))
-    cold = table.select(*pool, F.col("value").alias("cold_value"), F.col("percentile").alias("cold_percentile"))
-    wants = F.col("value").isNotNull() & F.col("hot_percentile").isNull()
-    elsewhere = -1.0 - F.pmod(F.xxhash64(spread), F.lit(_SPREAD)).cast("double")
-    return (
-        rows.join(F.broadcast(hot), [*pool, "value"], "left")
-        .withColumn("cold_value", F.when(wants, F.col("value")).otherwise(elsewhere))
-        .join(cold, [*pool, "cold_value"], "left")
-        .withColumn("percentile", F.coalesce("hot_percentile", "cold_percentile"))
-        .drop("hot_percentile", "cold_percentile", "cold_value")
-    )
-
-
-def _hot() -> Column:
-    return F.col("members") * HOT_SHARE > F.col("market_n")
+    return f"""
+      SELECT r.* EXCEPT (cold_value, hot_percentile), coalesce(r.hot_percentile, cold.percentile) AS percentile
+      FROM (
+        SELECT /*+ BROADCAST(hot) */ r.*, hot.percentile AS hot_percentile,
+          CASE WHEN r.value IS NOT NULL AND hot.percentile IS NULL THEN r.value
+            ELSE -1D - pmod(xxhash64({spread}), 1048576) END AS cold_value
+        FROM {rows} r
+        LEFT JOIN (SELECT {pool}, value, percentile FROM {table} WHERE hot) hot USING ({pool}, value)
+      ) r
+      LEFT JOIN (SELECT {pool}, value AS cold_value, percentile FROM {table}) cold USING ({pool}, cold_value)"""
+
+
+_PERCENTILE = "CASE WHEN n <= 1 THEN 50D ELSE above / (n - 1) * 100 END AS percentile"
+_HOT = f"members * {HOT_SHARE} > market_n AS hot"
+
+# Every distinct pool value with its rank within the sector.
+_BY_SECTOR = f"""
+WITH market_sizes AS (  -- one row per metric: four
+  SELECT metric, count(*) AS market_n FROM {{ranked}} WHERE pooled GROUP BY metric
+),
+counts AS (
+  SELECT metric, sector, bucket, value, count(*) AS members
+  FROM (
+    -- ln is null for 0, which only an underflowing ratio gives; it goes below all others.
+    SELECT metric, sector, value,
+      coalesce(floor(ln(value) * {BUCKETS_PER_E}), -4611686018427387904L) AS bucket
+    FROM {{ranked}} WHERE pooled
+  )
+  GROUP BY metric, sector, bucket, value
+),
+histogram AS (
+  SELECT metric, sector, bucket, sum(members) AS members FROM counts GROUP BY metric, sector, bucket
+)
+SELECT /*+ BROADCAST(market_sizes) */ *
+FROM ({_above('counts', 'histogram', 'metric, sector')}) JOIN market_sizes USING (metric)
+"""
 
+# The percentile of every distinct pool value: its sector's, or the market's for small sectors.
+# Market ranks are needed for the values of small sectors only, so only their buckets are ranked.
+_TABLE = f"""
+WITH small AS (
+  SELECT metric, sector, bucket, value, members, market_n FROM {{by_sector}} WHERE n < {S.MIN_SECTOR_SAMPLE}
+),
+near AS (
+  SELECT metric, bucket, value, sum(members) AS members, max(market_n) AS market_n
+  FROM {{by_sector}} LEFT SEMI JOIN (SELECT DISTINCT metric, bucket FROM small) USING (metric, bucket)
+  GROUP BY metric, bucket, value
+),
+market_histogram AS (
+  SELECT metric, bucket, sum(members) AS members FROM {{by_sector}} GROUP BY metric, bucket
+),
+by_market AS (
+  SELECT metric, value, {_PERCENTILE}, {_HOT} FROM ({_above('near', 'market_histogram', 'metric')})
+)
+SELECT metric, sector, value, {_PERCENTILE}, {_HOT} FROM {{by_sector}} WHERE n >= {S.MIN_SECTOR_SAMPLE}
+UNION ALL
+SELECT metric, sector, value, percentile, {_HOT} FROM ({_lookup('small', 'by_market', 'metric', 'r.sector')})
+"""
 
-def pool_percentiles(pool: DataFrame, market_sizes: DataFrame) -> DataFrame:
-    """(metric, sector, value) -> percentile, for every distinct value in the pools."""
-    counts = (
-        pool.withColumn("bucket", _bucket(F.col("value")))
-        .groupBy("metric", "sector", "bucket", "value")
-        .agg(F.count("*").alias("members"))
-    )
-    histogram = counts.groupBy("metric", "sector", "bucket").agg(F.sum("members").alias("members"))
-    by_sector = _above(counts, histogram, ["metric", "sector"]).join(F.broadcast(market_sizes), "metric")
-    is_small = F.col("n") < S.MIN_SECTOR_SAMPLE
-
-    # Market ranks are needed only for the values of small sectors, so only their buckets are ranked.
-    small = by_sector.where(is_small)
-    touched = small.select("metric", "bucket").distinct()
-    near = (
-        counts.join(touched, ["metric", "bucket"], "left_semi")
-        .groupBy("metric", "bucket", "value").agg(F.sum("members").alias("members"))
-    )
-    market_histogram = histogram.groupBy("metric", "bucket").agg(F.sum("members").alias("members"))
-    by_market = (
-        _above(near, market_histogram, ["metric"])
-        .join(F.broadcast(market_sizes), "metric")
-        .select("metric", "value", _percentile().alias("percentile"), _hot().alias("hot"))
-    )
-    fallback = _value_lookup(
-        small.select("metric", "sector", "value", "members", "market_n"), by_market, ["metric"], F.col("sector")
-    )
-    columns = ["metric", "sector", "value", "percentile"]
-    own = by_sector.where(~is_small).select(*columns[:3], _percentile().alias("percentile"), _hot().alias("hot"))
-    return own.unionByName(fallback.select(*columns, _hot().alias("hot")))
+# A value above the cap has no pool member above it: 0, or 50 in a pool of at most one, which
+# a pool of five or more never is, so the market size decides.
+_ANSWER = f"""
+WITH market_sizes AS (SELECT metric, max(market_n) AS market_n FROM {{by_sector}} GROUP BY metric),
+asked AS (
+  SELECT slug, metric, sector, pooled, CASE WHEN pooled THEN value END AS value FROM {{ranked}}
+),
+answered AS (
+  SELECT /*+ BROADCAST(market_sizes) */ slug, metric,
+    CASE WHEN pooled THEN percentile WHEN coalesce(market_n, 0) <= 1 THEN 50D ELSE 0D END AS percentile
+  FROM ({_lookup('asked', '{table}', 'metric, sector', 'r.slug')}) LEFT JOIN market_sizes USING (metric)
+),
+per_entity AS (
+  SELECT slug, struct(
+    {', '.join(f"max(CASE WHEN metric = '{m}' THEN percentile END) AS {m}" for m in RANKED)}) AS ranks
+  FROM answered GROUP BY slug
+)
+SELECT g.*, coalesce(p.ranks, struct({', '.join(f"CAST(NULL AS DOUBLE) AS {m}" for m in RANKED)})) AS sector_percentiles
+FROM {{gated}} g LEFT JOIN per_entity p ON p.slug = g.slug
+"""
 
 
 def with_percentiles(df: DataFrame) -> DataFrame:
-    """Add ``sector_percentiles``. Reads ``df`` several times: hand in a written table.
+    """Add ``sector_percentiles``. Reads ``df`` more than once: hand in a written table.
 
-    ``slug`` identifies the rows.
+    ``slug`` identifies the rows. The ranks and the lookup table, which are read several times
+    as well, are written in turn.
     """
+    spark = df.sparkSession
     ranked = ranked_values(df, "slug")
-    pool = ranked.where("pooled").select("metric", "sector", "value")
-    market_sizes = pool.groupBy("metric").agg(F.count("*").alias("market_n"))  # one row per metric: four
-    table = pool_percentiles(pool, market_sizes)
-
-    asked = ranked.withColumn("own", F.col("value")).withColumn("value", F.when(F.col("pooled"), F.col("value")))
-    looked_up = _value_lookup(asked, table, ["metric", "sector"], F.col("slug"))
-    # A value above the cap has no pool member above it: 0, or 50 in a pool of at most one,
-    # which a pool of five or more never is, so the market size decides.
-    alone = F.coalesce("market_n", F.lit(0)) <= 1
-    percentile = F.when(F.col("pooled"), F.col("percentile")).otherwise(F.when(alone, 50.0).otherwise(0.0))
-    per_entity = (
-        looked_up.join(F.broadcast(market_sizes), "metric", "left")
-        .groupBy("slug")
-        .agg(*[F.max(F.when(F.col("metric") == m, percentile)).alias(m) for m in RANKED])
-        .select("slug", F.struct(*RANKED).alias("sector_percentiles"))
-    )
-    nothing = F.struct(*[F.lit(None).cast("double").alias(m) for m in RANKED])
-    return df.join(per_entity, "slug", "left").withColumn(
-        "sector_percentiles", F.coalesce("sector_percentiles", nothing)
-    )
+    by_sector = materialize(spark.sql(_BY_SECTOR, ranked=ranked), "sector_ranks")
+    table = materialize(spark.sql(_TABLE, by_sector=by_sector), "percentiles")
+    return spark.sql(_ANSWER, ranked=ranked, by_sector=by_sector, table=table, gated=df)

@@ -15,17 +15,14 @@ from relvalue.functions.maths import positive, to_micros
 from relvalue.functions.text import PARENT_PREFIX, pretty_parent
 
 WINDOWS = ("annual", "d7", "prev7", "d30", "prev30")
-# Listing columns that are not summed, with the aggregate that reduces them.
-_PICKS = {"first_pos": F.min, "dl_mcap": F.max, "id_key": F.min, "symbol_key": F.min, "rep": F.min}
+# Listing columns and the aggregate that reduces each.
+_MEMBER = {
+    "first_pos": "min", "dl_mcap": "max", "tvl": "sum", "id_key": "min", "symbol_key": "min", "rep": "min",
+}
 
 _FLOWS = tuple(f"{m}_{w}" for m in S.METRICS for w in WINDOWS)
 
 
-def annualized() -> Column:
-    """A year's total if known, else the 30-day total scaled to a year."""
-    return F.coalesce(positive(F.col("total1y")), positive(F.col("total30d")) * 365 / 30)
-
-
 def parent_map(flow: DataFrame) -> DataFrame:
     """slug -> parent; the last feed (then the last row) that names a parent wins."""
     rows = conform(flow, S.FLOW).where("slug IS NOT NULL AND parent IS NOT NULL")
@@ -33,41 +30,33 @@ def parent_map(flow: DataFrame) -> DataFrame:
 
 
 def _flow_rows(flow: DataFrame) -> DataFrame:
-    return (
-        conform(flow, S.FLOW)
-        .where("slug IS NOT NULL")
-        .select(
-            "slug", "metric",
-            F.when(F.col("parent").isNotNull(), F.struct("list_ord", "pos", "parent")).alias("parent_key"),
-            positive(annualized()).alias("annual"),
-            positive(F.col("total7d")).alias("d7"),
-            positive(F.col("total14dto7d")).alias("prev7"),
-            positive(F.col("total30d")).alias("d30"),
-            positive(F.col("total60dto30d")).alias("prev30"),
-        )
+    """Positive amounts only. A year's total stands as it is, else 30 days are scaled to a year."""
+    return conform(flow, S.FLOW).where("slug IS NOT NULL").selectExpr(
+        "slug", "metric",
+        "CASE WHEN parent IS NOT NULL THEN struct(list_ord, pos, parent) END AS parent_key",
+        "CASE WHEN total1y > 0 THEN total1y WHEN total30d > 0 THEN total30d * 365 / 30 END AS annual",
+        "CASE WHEN total7d > 0 THEN total7d END AS d7",
+        "CASE WHEN total14dto7d > 0 THEN total14dto7d END AS prev7",
+        "CASE WHEN total30d > 0 THEN total30d END AS d30",
+        "CASE WHEN total60dto30d > 0 THEN total60dto30d END AS prev30",
     )
 
 
 def _listing_rows(listing: DataFrame) -> DataFrame:
-    has_id = F.col("gecko_id").isNotNull()
-    tier = F.when(has_id, 0).when(F.col("mcap") > 0, 1).otherwise(2)
-    by_tvl = F.when(tier == 2, -F.coalesce("tvl", F.lit(0.0))).otherwise(0.0)
-    usable_symbol = F.col("symbol") != "-"
+    """``rep`` orders the members by who lends the descriptive fields: tier, locked value, position."""
     return (
         conform(listing, S.LISTING)
         .where("slug IS NOT NULL")
-        .select(
+        .selectExpr("*", "CASE WHEN gecko_id IS NOT NULL THEN 0 WHEN mcap > 0 THEN 1 ELSE 2 END AS tier")
+        .selectExpr(
             "slug",
-            F.col("pos").alias("first_pos"),
-            positive(F.col("mcap")).alias("dl_mcap"),
+            "pos AS first_pos",
+            "CASE WHEN mcap > 0 THEN mcap END AS dl_mcap",
             "tvl",
-            F.when(has_id, F.struct("pos", "gecko_id")).alias("id_key"),
-            F.when(usable_symbol, F.struct("pos", "symbol")).alias("symbol_key"),
-            # The member that lends its descriptive fields: smallest by tier, then locked value, then position.
-            F.struct(
-                tier.alias("tier"), by_tvl.alias("by_tvl"), "pos",
-                "name", "category", "chains", "logo", "change_1d", "change_7d",
-            ).alias("rep"),
+            "CASE WHEN gecko_id IS NOT NULL THEN struct(pos, gecko_id) END AS id_key",
+            "CASE WHEN symbol <> '-' THEN struct(pos, symbol) END AS symbol_key",
+            "struct(tier, CASE WHEN tier = 2 THEN -coalesce(tvl, 0D) ELSE 0D END AS by_tvl, pos, "
+            "name, category, chains, logo, change_1d, change_7d) AS rep",
         )
     )
 
@@ -75,27 +64,23 @@ def _listing_rows(listing: DataFrame) -> DataFrame:
 def _per_slug(rows: DataFrame) -> DataFrame:
     """First reduction. Each aggregate picks its metric itself, which keeps the stacked rows narrow."""
     columns = set(rows.columns)
-    sums = {}
+    aggregates = ["max(parent_key) AS parent_key"]
     for m in S.METRICS:
-        for w in WINDOWS:
-            sums[f"{m}_{w}"] = F.when(F.col("metric") == m, F.col(w))
-    if "tvl" in columns:
-        sums["tvl"] = F.col("tvl")
-    aggregates = [F.max(F.when(F.col("metric") == m, True)).alias(f"{m}_seen") for m in S.METRICS]
-    aggregates += [F.sum(amount).alias(name) for name, amount in sums.items()]
-    aggregates += [reduce(c).alias(c) for c, reduce in _PICKS.items() if c in columns]
-    return rows.groupBy("slug").agg(F.max("parent_key").alias("parent_key"), *aggregates)
+        aggregates.append(f"max(CASE WHEN metric = '{m}' THEN true END) AS {m}_seen")
+        aggregates += [f"sum(CASE WHEN metric = '{m}' THEN {w} END) AS {m}_{w}" for w in WINDOWS]
+    aggregates += [f"{reduce}({c}) AS {c}" for c, reduce in _MEMBER.items() if c in columns]
+    return rows.groupBy("slug").agg(*map(F.expr, aggregates))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Second reduction, per group key."""
-    keyed = _per_slug(rows).withColumn("k", F.coalesce("parent_key.parent", "slug")).drop("parent_key", "slug")
-    aggregates = []
-    for c in keyed.columns:
-        if c != "k":
-            reduce = _PICKS.get(c, F.max if c.endswith("_seen") else F.sum)
-            aggregates.append(reduce(c).alias(c))
-    return keyed.groupBy("k").agg(*aggregates)
+    """Second reduction, per group key: the same aggregates over the results of the first."""
+    per_slug = _per_slug(rows)
+    columns = set(per_slug.columns)
+    aggregates = [f"max({m}_seen) AS {m}_seen" for m in S.METRICS]
+    aggregates += [f"sum({c}) AS {c}" for c in _FLOWS]
+    aggregates += [f"{reduce}({c}) AS {c}" for c, reduce in _MEMBER.items() if c in columns]
+    key = F.coalesce("parent_key.parent", "slug").alias("k")
+    return per_slug.groupBy(key).agg(*map(F.expr, aggregates))
 
 
 def _flow_value(name: str) -> Column:

@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 from relvalue import schemas as S
 from relvalue.operators.rollup import PARENT_PREFIX
 
-# Trailing windows, in hours before the last day: (column, from, to).
-_WINDOWS = (
-    ("total7d", 7 * 24, 0),
-    ("total14dto7d", 14 * 24, 7 * 24),
-    ("total30d", 30 * 24, 0),
-    ("total60dto30d", 60 * 24, 30 * 24),
-    ("total1y", 365 * 24, 0),
-)
+# Trailing windows, in days before the last day: column -> (from, to).
+_WINDOWS = {
+    "total7d": (7, 0),
+    "total14dto7d": (14, 7),
+    "total30d": (30, 0),
+    "total60dto30d": (60, 30),
+    "total1y": (365, 0),
+}
+
+# Metric -> (amount in whole units, units per dollar). Whole numbers add exactly in any order.
+_AMOUNTS = {
+    "fees": ("cents", 100),
+    "revenue": ("cents * (100 - discount) * 4", 100_000),
+    "holder_revenue": ("CASE WHEN l_returnflag = 'R' THEN cents * discount * 6 END", 10_000),
+    "volume": ("quantity", 100),
+}
 
 
 @dataclass(frozen=True)
@@ -34,110 +42,77 @@ def tvl_sector() -> Column:
     return F.col("category") != "Brand#7"
 
 
-def _symbol() -> Column:
-    return F.replace("p_name", F.lit(" "), F.lit(""))
-
-
-def _slug() -> Column:
-    return F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
-
-
-def _cents(name: str) -> Column:
-    return F.rint(F.col(name) * 100)
-
-
 def _listing(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     locked = (
         lineitem.where("l_linestatus = 'O' AND l_quantity > 25")
         .groupBy(F.col("l_partkey").alias("p_partkey"))
-        .agg((F.sum(_cents("l_quantity")) / 100).alias("locked"))
+        .agg(F.expr("sum(rint(l_quantity * 100)) / 100 AS locked"))
     )
-    key, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
-    return part.join(locked, "p_partkey", "left").select(
-        key.alias("pos"),
-        _slug().alias("slug"),
-        F.col("p_name").alias("name"),
-        F.when(key % 11 == 0, "-").otherwise(F.upper(_symbol())).alias("symbol"),
-        F.when(size == 1, None).when(size == 50, F.col("p_name")).otherwise(F.col("p_brand")).alias("category"),
-        F.array(F.lower("p_type")).alias("chains"),
-        F.when(key % 3 == 0, F.concat(F.lit("g"), key.cast("string"))).alias("gecko_id"),
-        F.lit(None).cast("string").alias("logo"),
-        F.when(key % 5 != 0, price * size * 200).alias("mcap"),
-        F.when(key % 7 != 0, F.col("locked") * price).alias("tvl"),
-        F.lit(None).cast("double").alias("change_1d"),
-        (size.cast("double") - 25).alias("change_7d"),
+    return part.join(locked, "p_partkey", "left").selectExpr(
+        "p_partkey AS pos",
+        "concat('part-', p_partkey) AS slug",
+        "p_name AS name",
+        "CASE WHEN p_partkey % 11 = 0 THEN '-' ELSE upper(replace(p_name, ' ', '')) END AS symbol",
+        "CASE WHEN p_size = 1 THEN NULL WHEN p_size = 50 THEN p_name ELSE p_brand END AS category",
+        "array(lower(p_type)) AS chains",
+        "CASE WHEN p_partkey % 3 = 0 THEN concat('g', p_partkey) END AS gecko_id",
+        "CAST(NULL AS STRING) AS logo",
+        "CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice * p_size * 200 END AS mcap",
+        "CASE WHEN p_partkey % 7 <> 0 THEN locked * p_retailprice END AS tvl",
+        "CAST(NULL AS DOUBLE) AS change_1d",
+        "CAST(p_size AS DOUBLE) - 25 AS change_7d",
     )
 
 
 def _flow(part: DataFrame, lineitem: DataFrame) -> DataFrame:
-    last = F.max("l_shipdate")
-    # The bounds come from one scan of the date column; the first reaches the Parquet scan as a filter.
-    year_start = lineitem.select(last - F.expr(f"INTERVAL '{365 * 24}' HOUR")).scalar()
-    end = lineitem.select(last).scalar()
-
-    # Metric -> (whole-number amount, units per dollar): whole numbers add exactly.
-    price, discount = F.col("cents"), F.col("discount")
-    amounts = {
-        "fees": (price, 100),
-        "revenue": (price * (100 - discount) * 4, 100_000),
-        "holder_revenue": (F.when(F.col("l_returnflag") == "R", price * discount * 6), 10_000),
-        "volume": (F.col("quantity"), 100),
-    }
-    recent = lineitem.where(F.col("l_shipdate") > year_start).select(
-        "l_partkey", "l_returnflag",
-        _cents("l_extendedprice").alias("cents"),
-        _cents("l_discount").alias("discount"),
-        _cents("l_quantity").alias("quantity"),
-        (end - F.col("l_shipdate")).alias("age"),
-    )
-
-    def within(hours_from: int, hours_to: int) -> Column:
-        return (F.col("age") < F.expr(f"INTERVAL '{hours_from}' HOUR")) & (
-            F.col("age") >= F.expr(f"INTERVAL '{hours_to}' HOUR")
+    # Both bounds are scalar subqueries over the date column alone; the first filters the scan.
+    year_start = lineitem.selectExpr("max(l_shipdate) - INTERVAL '365' DAY").scalar()
+    last_day = lineitem.selectExpr("max(l_shipdate)").scalar()
+    recent = (
+        lineitem.where(F.col("l_shipdate") > year_start)
+        .withColumn("age", last_day - F.col("l_shipdate"))
+        .selectExpr(
+            "l_partkey AS p_partkey", "l_returnflag", "age",
+            "rint(l_extendedprice * 100) AS cents",
+            "rint(l_discount * 100) AS discount",
+            "rint(l_quantity * 100) AS quantity",
         )
-
-    sums = recent.groupBy(F.col("l_partkey").alias("p_partkey")).agg(*[
-        (F.sum(F.when(within(start, stop), amount)) / units).alias(f"{metric}_{column}")
-        for metric, (amount, units) in amounts.items()
-        for column, start, stop in _WINDOWS
-    ])
-    parent = F.when(
-        F.col("p_partkey") % 10 < 3,
-        F.concat(
-            F.lit(PARENT_PREFIX), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("_"), F.lower("p_type")
-        ),
     )
-    per_feed = F.array(*[
-        F.struct(
-            F.lit(metric).alias("metric"),
-            F.lit(i).alias("list_ord"),
-            *[F.col(f"{metric}_{column}").alias(column) for column, _, _ in _WINDOWS[:-1]],
-            # Young entries have no full year yet.
-            F.when(F.col("p_partkey") % 13 != 5, F.col(f"{metric}_total1y")).alias("total1y"),
+    sums = recent.groupBy("p_partkey").agg(*[
+        F.expr(
+            f"sum(CASE WHEN age < INTERVAL '{start}' DAY AND age >= INTERVAL '{stop}' DAY THEN {amount} END)"
+            f" / {units} AS {metric}_{column}"
         )
-        for i, metric in enumerate(S.METRICS)
+        for metric, (amount, units) in _AMOUNTS.items()
+        for column, (start, stop) in _WINDOWS.items()
     ])
-    return (
-        part.select("p_partkey", _slug().alias("slug"), parent.alias("parent"))
-        .join(sums, "p_partkey")
-        .select(F.col("p_partkey").alias("pos"), "slug", "parent", F.explode(per_feed).alias("row"))
-        .select("pos", "slug", "parent", "row.*")
+    # Young entries have no full year yet.
+    per_feed = ", ".join(
+        f"struct('{metric}' AS metric, {i} AS list_ord, "
+        + "".join(f"{metric}_{column} AS {column}, " for column in list(_WINDOWS)[:-1])
+        + f"CASE WHEN p_partkey % 13 <> 5 THEN {metric}_total1y END AS total1y)"
+        for i, metric in enumerate(S.METRICS)
+    )
+    return part.join(sums, "p_partkey").selectExpr(
+        "p_partkey AS pos",
+        "concat('part-', p_partkey) AS slug",
+        f"CASE WHEN p_partkey % 10 < 3 THEN concat('{PARENT_PREFIX}', lower(replace(p_brand, '#', '-')), '_', "
+        "lower(p_type)) END AS parent",
+        f"inline(array({per_feed}))",
     )
 
 
 def _market(part: DataFrame) -> DataFrame:
-    key = F.col("p_partkey")
-    cap = F.col("p_retailprice") * F.col("p_size") * 210
-    return part.where(key % 4 == 0).select(
-        F.lit(1).alias("page"),
-        key.alias("pos"),
-        F.concat(F.lit("g"), key.cast("string")).alias("id"),
-        F.lower(_symbol()).alias("symbol"),
-        F.col("p_retailprice").alias("current_price"),
-        cap.alias("market_cap"),
-        (cap * (1 + (key % 6) * 0.8)).alias("fully_diluted_valuation"),
-        (F.col("p_size").cast("double") - 20).alias("price_change_percentage_14d_in_currency"),
-        (F.col("p_size") * 1.5 - 40).alias("price_change_percentage_30d_in_currency"),
+    return part.where("p_partkey % 4 = 0").selectExpr(
+        "1 AS page",
+        "p_partkey AS pos",
+        "concat('g', p_partkey) AS id",
+        "lower(replace(p_name, ' ', '')) AS symbol",
+        "p_retailprice AS current_price",
+        "p_retailprice * p_size * 210 AS market_cap",
+        "p_retailprice * p_size * 210 * (1 + (p_partkey % 6) * 0.8D) AS fully_diluted_valuation",
+        "CAST(p_size AS DOUBLE) - 20 AS price_change_percentage_14d_in_currency",
+        "p_size * 1.5D - 40 AS price_change_percentage_30d_in_currency",
     )
 
 

@@ -8,7 +8,8 @@ from relvalue.operators import percentiles, quotes, rollup
 from relvalue.operators.screen import ScreenSpec, screen, top
 from relvalue.plans import screener
 from relvalue.plans.report import report as report_rows
-from relvalue.sources.star import Feeds, read_star, tvl_sector
+from relvalue.sources.feeds import Feeds
+from relvalue.sources.star import read_star, tvl_sector
 
 COMBINED = ScreenSpec(
     search=" D ",

@@ -4,13 +4,12 @@ Each part plays one listed entry, its line items are the entry's daily facts. Ru
 part key and size leave fields out, so that every branch of the analysis has rows.
 """
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
-from relvalue.operators.rollup import PARENT_PREFIX
+from relvalue.functions.text import PARENT_PREFIX
+from relvalue.sources.feeds import Feeds
 
 # Trailing windows, in days before the last day: column -> (from, to).
 _WINDOWS = {
@@ -30,13 +29,6 @@ _AMOUNTS = {
 }
 
 
-@dataclass(frozen=True)
-class Feeds:
-    listing: DataFrame
-    flow: DataFrame
-    market: DataFrame
-
-
 def tvl_sector() -> Column:
     """Sectors whose locked value counts: all but one."""
     return F.col("category") != "Brand#7"

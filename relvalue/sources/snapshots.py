@@ -21,16 +21,26 @@ _ROWS_PER_FILE = 1 << 40
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: its text, its path and the base of its row positions."""
+    """One row per file: its text, its path and the base of its row positions. Scans skip empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
-    if not files.inputFiles():
-        raise FileNotFoundError(f"no JSON file in {path}")
     number = F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("bigint")
     return files.withColumn("text", F.col("content").cast("string")).withColumn(
         "base", F.coalesce(number, F.lit(0)) * _ROWS_PER_FILE
     )
 
 
+def _required(documents: DataFrame, path: str) -> DataFrame:
+    """The documents, in a plan that fails if a file is empty; no file at all fails at once."""
+    expected = len(documents.inputFiles())
+    if not expected:
+        raise FileNotFoundError(f"no JSON file in {path}")
+    # This side yields no row; its one job is to compare the files read with the files listed.
+    checked = documents.agg(F.count("*").alias("n")).where(
+        F.when(F.col("n") != expected, F.raise_error(F.lit(f"empty file in {path}")).cast("boolean")).otherwise(False)
+    )
+    return documents.unionByName(checked.select(F.lit(None).cast("string").alias("path")), allowMissingColumns=True)
+
+
 def _typed(columns: dict[str, str], skip: set[str]) -> list[Column]:
     """Fields of the variant ``v``, each kept only if it has the type its column asks for."""
     readers = {"DOUBLE": variant_number, "STRING": variant_string, "ARRAY<STRING>": variant_strings}
@@ -48,7 +58,7 @@ def read_listing(spark: SparkSession, path: str) -> DataFrame:
     items = F.coalesce(
         F.from_json("text", "array<variant>"), F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("path")))
     )
-    rows = _array_rows(_documents(spark, path), items)
+    rows = _array_rows(_required(_documents(spark, path), path), items)
     return rows.select("pos", *_typed(S.LISTING, {"pos"}))
 
 
@@ -57,7 +67,7 @@ def read_flow_feed(spark: SparkSession, path: str, metric: str) -> DataFrame:
     parsed = F.from_json(
         "text", "struct<protocols: array<variant>, unreadable: string>", {"columnNameOfCorruptRecord": "unreadable"}
     )
-    documents = _documents(spark, path).withColumn("parsed", parsed)
+    documents = _required(_documents(spark, path), path).withColumn("parsed", parsed)
     failed = F.raise_error(F.concat(F.lit("not readable as JSON: "), F.col("path")))
     usable = F.col("parsed").isNotNull() & F.col("parsed.unreadable").isNull()
     rows = _array_rows(documents, F.when(usable, F.col("parsed.protocols")).otherwise(failed))

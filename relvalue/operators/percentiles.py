@@ -1,14 +1,16 @@
 """Percentile of each multiple within its sector, or within the whole market for small sectors.
 
 A window over the sector (or over nothing, for the market) would sort all rows of the largest
-sector in one task. Here the number of pool values above a value is put together from two
-bounded parts instead:
+sector in one task. Here the number of pool values above a value is put together from three
+parts. However the data are skewed, no window sees more than about a million rows (the
+histogram would if values spanned more than 26 orders of magnitude):
 
-* the values are reduced to distinct values with counts, so copies of a value are one row;
-* each value falls into a bucket of equal width in its logarithm, a fixed monotone rule;
-* ``beyond`` counts the members in higher buckets of the pool: a window over its histogram,
-  of which there are at most ``BUCKETS_PER_E`` rows per factor e of value range;
-* ``within`` counts the higher values of the same bucket: a window over one bucket.
+* values are reduced to distinct values with counts, so copies of a value are one row;
+* ``floor(ln(value) * 2^34)`` puts each value into a cell, a fixed and monotone rule; 2^20 cells
+  in a row form a bucket, so a factor e of value range holds 2^14 buckets;
+* members in higher buckets of the pool: a window over the pool's histogram by bucket;
+* members in higher cells of the bucket: a window over at most 2^20 cells;
+* higher values in the cell: a window over at most the 2^18 doubles or so that fit in a cell.
 
 The count is exact. The sector size decides per metric which pool a row uses.
 """
@@ -22,7 +24,8 @@ from relvalue.operators.materialize import materialize
 CASH_FLOW = ("pf", "ps", "phr")
 RANKED = ("pf", "ps", "phr", "mcap_tvl")
 
-BUCKETS_PER_E = 1 << 14
+CELLS_PER_E = 1 << 34
+CELL_BITS_PER_BUCKET = 20
 
 # A value is hot if it makes up more than one part in HOT_SHARE of a metric's pool. There can
 # be at most HOT_SHARE such values per metric, which bounds what is broadcast.
@@ -58,22 +61,26 @@ def pool_sizes(df: DataFrame) -> DataFrame:
     )
 
 
-def _above(values: str, histogram: str, pool: str) -> str:
+def _higher(partition: str, order: str) -> str:
+    return (
+        f"coalesce(sum(members) OVER (PARTITION BY {partition} ORDER BY {order} DESC "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    )
+
+
+def _above(values: str, cells: str, pool: str) -> str:
     """Values with ``above`` (members of their pool that are greater) and the pool size ``n``."""
     return f"""
-      SELECT v.*, b.n, b.beyond + v.within AS above
-      FROM (
-        SELECT *, coalesce(sum(members) OVER (
-          PARTITION BY {pool}, bucket ORDER BY value DESC
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS within
-        FROM {values}
-      ) v
+      SELECT v.*, c.n, c.above + v.higher AS above
+      FROM (SELECT *, {_higher(f'{pool}, bucket, cell', 'value')} AS higher FROM {values}) v
       JOIN (
-        SELECT {pool}, bucket, sum(members) OVER (PARTITION BY {pool}) AS n, coalesce(sum(members) OVER (
-          PARTITION BY {pool} ORDER BY bucket DESC
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beyond
-        FROM {histogram}
-      ) b USING ({pool}, bucket)"""
+        SELECT {pool}, bucket, cell, b.n, b.higher + c.higher AS above
+        FROM (SELECT *, {_higher(f'{pool}, bucket', 'cell')} AS higher FROM {cells}) c
+        JOIN (
+          SELECT *, {_higher(pool, 'bucket')} AS higher, sum(members) OVER (PARTITION BY {pool}) AS n
+          FROM (SELECT {pool}, bucket, sum(members) AS members FROM {cells} GROUP BY {pool}, bucket)
+        ) b USING ({pool}, bucket)
+      ) c USING ({pool}, bucket, cell)"""
 
 
 def _lookup(rows: str, table: str, pool: str, spread: str) -> str:
@@ -104,38 +111,39 @@ WITH market_sizes AS (  -- one row per metric: four
   SELECT metric, count(*) AS market_n FROM {{ranked}} WHERE pooled GROUP BY metric
 ),
 counts AS (
-  SELECT metric, sector, bucket, value, count(*) AS members
+  SELECT metric, sector, shiftright(cell, {CELL_BITS_PER_BUCKET}) AS bucket, cell, value, count(*) AS members
   FROM (
     -- ln is null for 0, which only an underflowing ratio gives; it goes below all others.
-    SELECT metric, sector, value,
-      coalesce(floor(ln(value) * {BUCKETS_PER_E}), -4611686018427387904L) AS bucket
+    SELECT metric, sector, value, coalesce(floor(ln(value) * {CELLS_PER_E}), -4611686018427387904L) AS cell
     FROM {{ranked}} WHERE pooled
   )
-  GROUP BY metric, sector, bucket, value
+  GROUP BY metric, sector, cell, value
 ),
-histogram AS (
-  SELECT metric, sector, bucket, sum(members) AS members FROM counts GROUP BY metric, sector, bucket
+cells AS (
+  SELECT metric, sector, bucket, cell, sum(members) AS members FROM counts GROUP BY metric, sector, bucket, cell
 )
 SELECT /*+ BROADCAST(market_sizes) */ *
-FROM ({_above('counts', 'histogram', 'metric, sector')}) JOIN market_sizes USING (metric)
+FROM ({_above('counts', 'cells', 'metric, sector')}) JOIN market_sizes USING (metric)
 """
 
 # The percentile of every distinct pool value: its sector's, or the market's for small sectors.
-# Market ranks are needed for the values of small sectors only, so only their buckets are ranked.
+# Market ranks are needed for the values of small sectors only, so only their cells are ranked.
 _TABLE = f"""
 WITH small AS (
-  SELECT metric, sector, bucket, value, members, market_n FROM {{by_sector}} WHERE n < {S.MIN_SECTOR_SAMPLE}
+  SELECT metric, sector, bucket, cell, value, members, market_n FROM {{by_sector}} WHERE n < {S.MIN_SECTOR_SAMPLE}
+),
+market AS (
+  SELECT metric, bucket, cell, value, sum(members) AS members, max(market_n) AS market_n
+  FROM {{by_sector}} GROUP BY metric, bucket, cell, value
 ),
 near AS (
-  SELECT metric, bucket, value, sum(members) AS members, max(market_n) AS market_n
-  FROM {{by_sector}} LEFT SEMI JOIN (SELECT DISTINCT metric, bucket FROM small) USING (metric, bucket)
-  GROUP BY metric, bucket, value
+  SELECT * FROM market LEFT SEMI JOIN (SELECT DISTINCT metric, bucket, cell FROM small) USING (metric, bucket, cell)
 ),
-market_histogram AS (
-  SELECT metric, bucket, sum(members) AS members FROM {{by_sector}} GROUP BY metric, bucket
+cells AS (
+  SELECT metric, bucket, cell, sum(members) AS members FROM {{by_sector}} GROUP BY metric, bucket, cell
 ),
 by_market AS (
-  SELECT metric, value, {_PERCENTILE}, {_HOT} FROM ({_above('near', 'market_histogram', 'metric')})
+  SELECT metric, value, {_PERCENTILE}, {_HOT} FROM ({_above('near', 'cells', 'metric')})
 )
 SELECT metric, sector, value, {_PERCENTILE}, {_HOT} FROM {{by_sector}} WHERE n >= {S.MIN_SECTOR_SAMPLE}
 UNION ALL

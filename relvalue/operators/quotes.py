@@ -57,7 +57,8 @@ def match_quotes(groups: DataFrame, market: DataFrame, rows: int | None = TOP_QU
     by_id = F.col("gecko_id").isNotNull()
     by_symbol = ~by_id & has_cashflow & F.col("symbol").isNotNull()
     want_kind = F.when(by_id, "id").when(by_symbol, "symbol")
-    want_key = F.when(by_id, F.col("gecko_id")).when(by_symbol, F.lower("symbol"))
+    # A group without a lookup has no kind, so its key matches nothing; as its own name it spreads evenly.
+    want_key = F.when(by_id, F.col("gecko_id")).when(by_symbol, F.lower("symbol")).otherwise(F.col("k"))
 
     probe = groups.withColumn("want_kind", want_kind).withColumn("want_key", want_key)
     matched = probe.join(

@@ -2,6 +2,7 @@
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,17 +101,17 @@ def in_range(value: Column, bounds: Range) -> Column | None:
     return F.coalesce(both, F.lit(False))
 
 
-def screen(scored: DataFrame, spec: ScreenSpec = ScreenSpec()) -> DataFrame:
-    """The rows that pass the filters of ``spec``, in no particular order."""
-    rows = scored
+def passes(spec: ScreenSpec) -> Column:
+    """The filters of a screen as one predicate, never null."""
+    tests = []
     if spec.hide_low_activity:
-        rows = rows.where(~F.col("low_activity"))
+        tests.append(~F.col("low_activity"))
     if spec.holder_revenue_only:
-        rows = rows.where(F.col("holder_revenue_annual").isNotNull())
+        tests.append(F.col("holder_revenue_annual").isNotNull())
     if spec.exclude_high_dilution:
-        rows = rows.where(~F.col("high_dilution"))
+        tests.append(~F.col("high_dilution"))
     if spec.sectors:
-        rows = rows.where(F.col("category").isin(*spec.sectors))
+        tests.append(F.coalesce(F.col("category").isin(*spec.sectors), F.lit(False)))
     for column, bounds in (
         ("value_score", spec.value_score),
         ("mcap", spec.mcap),
@@ -120,11 +121,16 @@ def screen(scored: DataFrame, spec: ScreenSpec = ScreenSpec()) -> DataFrame:
     ):
         test = in_range(F.col(column), bounds)
         if test is not None:
-            rows = rows.where(test)
+            tests.append(test)
     query = spec.search.strip()
     if query:
-        rows = rows.where(haystack(F.col("name"), F.col("symbol")).contains(F.lower(F.lit(query))))
-    return rows
+        tests.append(haystack(F.col("name"), F.col("symbol")).contains(F.lower(F.lit(query))))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def screen(scored: DataFrame, spec: ScreenSpec = ScreenSpec()) -> DataFrame:
+    """The rows that pass the filters of ``spec``, in no particular order."""
+    return scored.where(passes(spec))
 
 
 def default_order() -> list[Column]:

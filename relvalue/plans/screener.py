@@ -12,7 +12,7 @@ from relvalue.operators.percentiles import with_percentiles
 from relvalue.operators.quotes import TOP_QUOTES, match_quotes, to_entities
 from relvalue.operators.rollup import group_rollup
 from relvalue.operators.scores import with_value_capture, with_value_score
-from relvalue.operators.screen import ScreenSpec, default_order, screen
+from relvalue.operators.screen import ScreenSpec, default_order, passes
 
 
 @dataclass(frozen=True)
@@ -54,22 +54,22 @@ def sector_list(scored: DataFrame) -> DataFrame:
     return scored.where("category IS NOT NULL").select("category").distinct().orderBy("category")
 
 
+def _publishable() -> Column:
+    return F.coalesce(F.col("mcap") >= S.MIN_MCAP_USD, F.lit(False))
+
+
 def published(scored: DataFrame) -> DataFrame:
     """The rows shown at all: those of at least the minimum market value."""
-    return scored.where(F.col("mcap") >= S.MIN_MCAP_USD)
+    return scored.where(_publishable())
 
 
 def result_meta(scored: DataFrame, spec: ScreenSpec = ScreenSpec()) -> DataFrame:
     """One row: quote coverage over all entities, rows published, rows the screen shows, its preset."""
-    everything = scored.agg(F.count("fdv").alias("fdv_coverage"))
-    total = published(scored).agg(F.count("*")).scalar()
-    shown = screen(published(scored), spec).agg(F.count("*")).scalar()
-    return everything.select(
-        "fdv_coverage",
-        shown.alias("shown"),
-        total.alias("total"),
-        F.lit(spec.active_preset).cast("string").alias("preset"),
-    )
+    return scored.agg(
+        F.count("fdv").alias("fdv_coverage"),
+        F.count_if(_publishable() & passes(spec)).alias("shown"),
+        F.count_if(_publishable()).alias("total"),
+    ).withColumn("preset", F.lit(spec.active_preset).cast("string"))
 
 
 def build_screener(

@@ -1,5 +1,6 @@
 """Percentiles against counting by hand, with hot values, tiny sectors and skew."""
 
+import math
 import random
 
 import pytest
@@ -88,6 +89,16 @@ def test_close_values_share_a_bucket(spark):
     check(spark, rows)
 
 
+def test_neighbouring_doubles_share_a_cell(spark):
+    rows = [
+        dict(slug=f"e{i}", category="Dexs", mcap=1e9, fees_annual=1e8 - i * 2.0**-26, fees30d=1.0, tvl=5e8)
+        for i in range(30)
+    ]
+    multiples = {r.multiples.pf for r in gated(entity_frame(spark, rows)).collect()}
+    assert len({int(math.log(v) * percentiles.CELLS_PER_E) for v in multiples}) == 1 < len(multiples)
+    check(spark, rows)
+
+
 def test_partitioning_does_not_matter(spark):
     rng = random.Random(3)
     rows = make(rng, 120, ["Dexs", "Yield", "tiny"], lambda r: r.uniform(1e5, 1e7))

@@ -71,7 +71,7 @@ def _higher(partition: str, order: str) -> str:
 def _above(values: str, cells: str, pool: str) -> str:
     """Values with ``above`` (members of their pool that are greater) and the pool size ``n``."""
     return f"""
-      SELECT v.*, c.n, c.above + v.higher AS above
+      SELECT v.* EXCEPT (higher), c.n, c.above + v.higher AS above
       FROM (SELECT *, {_higher(f'{pool}, bucket, cell', 'value')} AS higher FROM {values}) v
       JOIN (
         SELECT {pool}, bucket, cell, b.n, b.higher + c.higher AS above

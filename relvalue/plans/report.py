@@ -60,3 +60,8 @@ def report(scored: DataFrame) -> DataFrame:
         formats.percent(F.col("fees_change7d")).alias("fees_change7d"),
         F.concat(F.lit("30d "), formats.percent(F.col("fees_change30d"))).alias("fees_change30d"),
     )
+
+
+def headed(rows: DataFrame) -> DataFrame:
+    """The columns of a report in display order, under their headings."""
+    return rows.select(*[F.col(name).alias(heading) for name, heading in HEADINGS.items()])

@@ -1,7 +1,8 @@
 """Read landed JSON snapshots.
 
 Layout: ``<root>/<source>/snapshot_ts=<yyyy-MM-ddTHH-mm-ss>/*.json`` for the sources listing,
-fees, revenue, holder_revenue, volume and market; market files lie in ``page=<n>`` folders.
+fees, revenue, holder_revenue, volume and market, the time in UTC; market files lie in
+``page=<n>`` folders.
 A large feed lands as many files, numbered in their names: the number orders the files,
 and each file is read by one task.
 """
@@ -134,7 +135,7 @@ def snapshots(spark: SparkSession, root: str) -> DataFrame:
 def freshness(spark: SparkSession, root: str, now: Column | None = None) -> DataFrame:
     """Newest snapshot per source, its age, the age allowed, and whether that is exceeded."""
     now = F.current_timestamp() if now is None else now
-    taken = F.to_timestamp("snapshot_ts", "yyyy-MM-dd'T'HH-mm-ss")
+    taken = F.to_timestamp(F.concat("snapshot_ts", F.lit("Z")), "yyyy-MM-dd'T'HH-mm-ssX")
     age = F.unix_timestamp(now) - F.unix_timestamp(taken)
     ttl = F.create_map(*[F.lit(x) for pair in S.TTL_SECONDS.items() for x in pair])
     return (

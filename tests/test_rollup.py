@@ -1,5 +1,6 @@
 import pytest
 
+from relvalue import schemas as S
 from relvalue.operators.quotes import market_by_id, market_by_symbol, match_quotes, to_entities, top_market
 from relvalue.operators.rollup import flow_rollup, group_rollup, parent_map
 from rows import flow, listing, market
@@ -125,6 +126,7 @@ def test_quote_match(spark, bound):
         "tie": ("symbol", "twin", 5.0),
         "zero-cap": ("id", "zero", 0.0),
     }
+    assert to_entities(matched).columns == list(S.ENTITY)
     rows = {r.slug: r for r in to_entities(matched).collect()}
     assert rows["has-id"].price == 2.0 and rows["has-id"].fdv == 300.0
     assert rows["has-id"].price_change7d is None, "a match without a value does not fall back"

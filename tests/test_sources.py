@@ -9,7 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from relvalue.operators.materialize import materialize, shared_dir
-from relvalue.plans.screener import build_screener
+from relvalue.plans.screener import build_screener, published
+from relvalue.plans.report import headed, report
 from relvalue.sources import sinks, snapshots
 from relvalue.streaming.refresh import refresh
 from rows import flow, listing, market
@@ -130,7 +131,10 @@ def read_json(folder):
 
 def test_publish(spark, tmp_path):
     target = str(tmp_path / "out")
-    assert sinks.publish_run(spark, lambda: tiny_result(spark), target)
+    result = tiny_result(spark)
+    assert sinks.publish_run(spark, lambda: result, target)
+    shown = headed(report(published(result.rows)))
+    assert len(shown.columns) == 15 and shown.first()["시총"] == "$5.00B"
     rows = read_json(f"{target}/rows")
     assert [r["slug"] for r in rows] == ["a", "b"]
     assert rows[0]["multiples"]["pf"] == 5000.0 and rows[0]["geckoId"] is None

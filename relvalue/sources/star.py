@@ -57,7 +57,7 @@ def _listing(part: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 
 def _flow(part: DataFrame, lineitem: DataFrame) -> DataFrame:
-    # Both bounds are scalar subqueries over the date column alone; the first filters the scan.
+    # Both bounds are scalar subqueries over the date column alone; older rows go before anything is summed.
     year_start = lineitem.selectExpr("max(l_shipdate) - INTERVAL '365' DAY").scalar()
     last_day = lineitem.selectExpr("max(l_shipdate)").scalar()
     recent = (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def strings(column: pa.Array) -> Iterator[bytes]:
@@ -17,8 +18,16 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def binaries(values: list[bytes | None]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def portions(batches: Iterable[pa.RecordBatch], name: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts in column ``name`` come to about ``size`` bytes, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def ranges(lengths: np.ndarray) -> np.ndarray:

@@ -12,20 +12,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from relvalue.llm.arrow import column, ranges, strings
-from relvalue.llm.encoding import Stretches, byte_characters
+from relvalue.llm.arrow import column, portions, ranges, strings
+from relvalue.llm.encoding import BYTE_WORDS, Stretches, byte_characters
 
 #: Fixed value: how these vocabularies split a text into words before any merge.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST_PAIRS = 2_000_000
-MOST_WORDS = 300_000
+MOST_PAIRS = 500_000
+MOST_WORDS = 200_000
 
 
 class Bpe:
@@ -39,14 +41,10 @@ class Bpe:
             spec = json.load(file)
         byte_of = byte_characters()
         raw = lambda name: bytes(byte_of[c] for c in name)
-        self.vocab = {raw(name): i for name, i in spec["model"]["vocab"].items()}
+        self.tokens = token_bytes(spec)
+        self.vocab = {self.tokens[i]: i for i in spec["model"]["vocab"].values()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        n = 1 + max([*self.vocab.values(), *self.special.values()])
-        self.tokens: list[bytes] = [b""] * n
-        for text, i in self.vocab.items():
-            self.tokens[i] = text
-        for text, i in self.special.items():
-            self.tokens[i] = text.encode()
+        n = len(self.tokens)
 
         self.merge: dict[int, int] = {}
         self.made, self.left, self.right = [-1] * n, [0] * n, [0] * n
@@ -66,13 +64,9 @@ class Bpe:
         self.finder, self.sizes = finder, [len(x) for x in self.tokens]
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
-        self.split = regex.compile(WORDS).findall
+        self.split, self.split_ascii = regex.compile(WORDS).findall, re.compile(BYTE_WORDS, re.ASCII).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-        lengths = np.array(self.sizes, dtype=np.int64)
-        self.offsets = np.r_[0, np.cumsum(lengths)]
-        self.joined = np.frombuffer(b"".join(self.tokens), np.uint8)
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves ``a`` and ``b`` standing side by side."""
         key = a << 32 | b
@@ -100,10 +94,19 @@ class Bpe:
 
     def word(self, text: bytes) -> list[int]:
         """The ids of one word."""
+        shown = text.decode("latin-1")
+        # entries that cover the word and all stand side by side are its one encoding, however they were found
+        out = [i for _, i in self.finder.iter_long(shown)]
+        compatible, sizes = self.compatible, self.sizes
+        if sum([sizes[i] for i in out]) == len(text) and all(map(compatible, out, out[1:])):
+            return out
+        return self._walk(text, shown)
+
+    def _walk(self, text: bytes, shown: str) -> list[int]:
         size = len(text)
         longest = [-1] * size
         sizes, shorter, compatible = self.sizes, self.shorter, self.compatible
-        for end, i in self.finder.iter(text.decode("latin-1")):
+        for end, i in self.finder.iter(shown):
             longest[end - sizes[i] + 1] = i  # ends come in order, so the longest stays
         open_at = bytearray(b"\x01") * (size + 1)
         out: list[int] = []
@@ -133,26 +136,48 @@ class Bpe:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
-            for word in self.split(part):
+            for word in (self.split_ascii if part.isascii() else self.split)(part):
                 ids = self.words.get(word)
                 if ids is None:
                     if len(self.words) >= MOST_WORDS:
                         self.words.clear()
-                    ids = self.words[word] = np.array(self.word(word.encode()), "<u4").tobytes()
+                    ids = self.words[word] = array("I", self.word(word.encode())).tobytes()
                 out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ``ids``; bytes that are no UTF-8 become replacement characters."""
-        starts, ends = self.offsets[ids], self.offsets[ids.astype(np.int64) + 1]
-        lengths = ends - starts
-        return self.joined[np.repeat(starts, lengths) + ranges(lengths)].tobytes().decode("utf-8", "replace")
+
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each id of a tokenizers file."""
+    byte_of = byte_characters()
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    out = [b""] * (1 + max([*spec["model"]["vocab"].values(), *special.values()]))
+    for name, i in spec["model"]["vocab"].items():
+        out[i] = bytes(byte_of[c] for c in name)
+    for name, i in special.items():
+        out[i] = name.encode()
+    return out
+
+
+@lru_cache(maxsize=2)
+def codec_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each id's bytes start, with the end of the last, and all ids' bytes in a row."""
+    with open(path, encoding="utf-8") as file:
+        tokens = token_bytes(json.load(file))
+    return np.r_[0, np.cumsum([len(x) for x in tokens])], np.frombuffer(b"".join(tokens), np.uint8)
+
+
+def decode_ids(ids: np.ndarray, offsets: np.ndarray, joined: np.ndarray) -> str:
+    """The text of ``ids``; bytes that are no UTF-8 become replacement characters."""
+    ids = ids.astype(np.int64)
+    starts = offsets[ids]
+    lengths = offsets[ids + 1] - starts
+    return joined[np.repeat(starts, lengths) + ranges(lengths)].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> tuple[Bpe, Stretches]:
     made = Bpe(path)
-    return made, Stretches(lambda x: made.encode(x.decode()), made.encode, most=250_000)
+    return made, Stretches(lambda x: made.encode(x.decode()), made.encode, most=150_000)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -164,24 +189,31 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, stretches = codec(path)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(stretches.ids(strings(column(batch, "text"))), pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, text for each row of ``encoded`` (doc_id, ids); null ids give null text."""
+def decode(encoded: DataFrame, path: str, describe: Callable[[bytes, str], tuple] | None = None, columns: str = "ids binary, text string") -> DataFrame:
+    """doc_id and ``columns`` for each row of ``encoded`` (doc_id, ids): its ids and text, or what ``describe`` makes of them.
+
+    Null ids count as none.
+    """
+    names = ["doc_id", *(x.split()[0] for x in columns.split(", "))]
+    types = [{"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, _ = codec(path)
-        for batch in batches:
-            ids = column(batch, "ids")
-            texts = [None if x is None else bpe.decode(np.frombuffer(x, "<u4")) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        offsets, joined = codec_table(path)
+        for batch in portions(batches, "ids"):
+            rows = []
+            for ids in column(batch, "ids").to_pylist():
+                text = decode_ids(np.frombuffer(ids or b"", "<u4"), offsets, joined)
+                rows.append(describe(ids or b"", text) if describe else (ids or b"", text))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows), types))], names)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
-def digests(ids: bytes, text: bytes) -> tuple[int, str, str]:
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
+def digests(ids: bytes, text: str) -> tuple[int, str, str]:
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relvalue.llm.arrow import column, strings
+from relvalue.llm.arrow import column, portions, strings
 from relvalue.llm.encoding import stretches, tokenizer
 from relvalue.llm.scratch import Scratch
 
@@ -35,7 +35,7 @@ WIDEN = 4
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = stretches(path)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             ids = encode.ids(strings(column(batch, "text")))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), column(batch, "n_bytes"), pa.array([len(x) // 4 for x in ids], pa.int64())],
@@ -58,7 +58,7 @@ def _seams(path: str, overlap: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = tokenizer(path)
-        for batch in batches:
+        for batch in portions(batches, "text"):
             rows = []
             for key, n, last, start, text in zip(*(column(batch, c).to_pylist() for c in ("key", "chunk", "last_chunk", "start", "text"))):
                 places, before = boundaries(library.encode(text, add_special_tokens=False), len(text))

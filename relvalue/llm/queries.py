@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from relvalue.llm import bpe, counts
-from relvalue.llm.arrow import column, strings
+from relvalue.llm import bpe, counts, idfiles, packing, warc
+from relvalue.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,17 +35,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them, for every document."""
     path = vocabulary(BYTE_FILE)
-    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
+    encoded = bpe.encode(table(spark, folder, "documents"), path)
+    return bpe.decode(encoded, path, bpe.digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [bpe.digests(a, b) for a, b in zip(column(batch, "ids").to_pylist(), strings(column(batch, "text")))]
-            n, ids, texts = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def op3_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place and checksum of every document's ids, as read back from the id files."""
+    scratch = Scratch(spark, "ids")
+    files, order = idfiles.write_files(table(spark, folder, "documents"), vocabulary(BYTE_FILE), 0, scratch)
+    return idfiles.read_files(files, order, lambda ids: (zlib.crc32(ids.tobytes()),), {"ids_crc32": pa.int64()})
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"), vocabulary(WORD_FILE), end_id=1)
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +63,23 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_warc_round_trip": op3_warc_round_trip,
+    "op4_id_files": op4_id_files,
+    "op5_packing": op5_packing,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+#: Base32 in SQL: the digest's 160 bits, five at a time, as letters.
+_OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+     b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right(bin(instr('0123456789abcdef', substr(hex, i, 1)) - 1 + 16), 4)), '') AS bits FROM d),
+     r AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM b)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, i * 5 + j + 1, 1) AS INTEGER) * (16 >> j)))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM r
+"""
+
+ORACLE: dict[str, str] = {"op3_warc_round_trip": _OP3}

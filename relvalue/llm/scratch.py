@@ -57,7 +57,6 @@ class Scratch:
 
 def bucket_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Buckets for a hash exchange, in proportion to the size of the files ``df`` reads."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = int(size.toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return least if size > 1 << 56 else max(least, -(-size // bytes_each))

@@ -8,8 +8,9 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relvalue.llm import bpe, counts, idfiles, packing, warc
+from relvalue.llm import bpe, counts, idfiles, packing, substrings, warc
 from relvalue.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary(WORD_FILE), end_id=1)
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses to passages of 20 words or more that occur earlier, and a digest of the rest."""
+    kept = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t-\\r]+", " "))
+    return kept.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document, and whether they are over 512 tokens."""
     return counts.count_tokens(table(spark, folder, "documents"), vocabulary(BYTE_FILE), limit=512)
@@ -66,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_id_files": op4_id_files,
     "op5_packing": op5_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
@@ -82,4 +91,16 @@ SELECT page_id, payload_bytes,
 FROM r
 """
 
-ORACLE: dict[str, str] = {"op3_warc_round_trip": _OP3}
+_OP8 = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
+     s AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS start, words FROM w WHERE len(words) >= 20),
+     k AS (SELECT doc_id, start, md5(array_to_string(words[start : start + 19], ' ')) AS key FROM s),
+     r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY key ORDER BY doc_id, start) AS nth FROM k),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM r WHERE nth > 1),
+     p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+     kept AS (SELECT p.doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.place) AS text FROM p ANTI JOIN gone USING (doc_id, place) GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op8_substring_dedup": _OP8, "op3_warc_round_trip": _OP3}

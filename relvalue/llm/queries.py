@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relvalue.llm import bpe, counts, idfiles, packing, substrings, warc
+from relvalue.llm import bpe, counts, idfiles, jaccard, packing, substrings, warc
 from relvalue.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of near copies of every document: 5-word shingles, similarity 0.8."""
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them, for every document."""
     path = vocabulary(BYTE_FILE)
@@ -70,6 +75,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_id_files": op4_id_files,
@@ -103,4 +109,17 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coales
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op8_substring_dedup": _OP8, "op3_warc_round_trip": _OP3}
+_OP1 = """
+WITH RECURSIVE
+     w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                                          ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS shingle FROM w),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+     e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+     r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8, "op3_warc_round_trip": _OP3}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relvalue.llm import bpe, counts, idfiles, jaccard, packing, substrings, warc
+from relvalue.llm import bpe, counts, idfiles, jaccard, neighbours, packing, quality, substrings, warc
 from relvalue.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary(WORD_FILE), end_id=1)
 
 
+def op6_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every document, the base rules and the verdict."""
+    return quality.judge(table(spark, folder, "documents")).select("doc_id", *quality.STATISTICS, "base_failed", "kept")
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What every document loses to passages of 20 words or more that occur earlier, and a digest of the rest."""
     kept = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
@@ -74,14 +79,21 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(table(spark, folder, "documents"), vocabulary(BYTE_FILE), limit=512)
 
 
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), every=50, k=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_id_files": op4_id_files,
     "op5_packing": op5_packing,
+    "op6_quality_outliers": op6_quality_outliers,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 #: Base32 in SQL: the digest's 160 bits, five at a time, as letters.

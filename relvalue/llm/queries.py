@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relvalue.llm import bpe, counts, idfiles, jaccard, neighbours, packing, quality, substrings, warc
+from relvalue.llm import bpe, counts, extraction, idfiles, jaccard, neighbours, packing, quality, substrings, warc
 from relvalue.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op6_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).select("doc_id", *quality.STATISTICS, "base_failed", "kept")
 
 
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    return extraction.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What every document loses to passages of 20 words or more that occur earlier, and a digest of the rest."""
     kept = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op4_id_files": op4_id_files,
     "op5_packing": op5_packing,
     "op6_quality_outliers": op6_quality_outliers,
+    "op7_main_text": op7_main_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_nearest_neighbours": op10_nearest_neighbours,

@@ -22,10 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from relvalue.llm.arrow import column, portions, ranges, strings
-from relvalue.llm.encoding import BYTE_WORDS, Stretches, byte_characters
+from relvalue.llm.encoding import BYTE_WORDS, WORDS, Stretches, byte_characters
 
-#: Fixed value: how these vocabularies split a text into words before any merge.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_PAIRS = 500_000
 MOST_WORDS = 200_000
 

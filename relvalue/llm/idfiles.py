@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relvalue.llm.arrow import column, portions, strings
-from relvalue.llm.encoding import stretches
+from relvalue.llm.encoding import fast_ids
 from relvalue.llm.files import create, open_stream
 from relvalue.llm.scratch import Scratch, bucket_count
 
@@ -52,27 +52,26 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values & MASKS[lengths]
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers in a binary) with ``end_id`` after each text."""
+def encode_documents(docs: DataFrame, path: str, end_id: int, kind: str = "<u4") -> DataFrame:
+    """doc_id, ids (unsigned integers of ``kind`` in a binary) with ``end_id`` after each text."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = stretches(path)
+        encode = fast_ids(path)
         for batch in portions(batches, "text"):
-            ids = [x + end for x in encode.ids(strings(column(batch, "text")))]
+            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in encode(strings(column(batch, "text")))]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequencies(encoded: DataFrame, size: int) -> np.ndarray:
+def frequencies(encoded: DataFrame, size: int, kind: str = "<u4") -> np.ndarray:
     """How often each id below ``size`` occurs; the driver gets one number for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in column(batch, "ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u4"), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(column(batch, "ids").to_pylist()), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -91,15 +90,17 @@ def write_files(docs: DataFrame, path: str, end_id: int, scratch: Scratch) -> tu
     from relvalue.llm.encoding import tokenizer
 
     size = max(tokenizer(path).get_vocab_size(with_added_tokens=True), end_id + 1)
-    encoded = scratch.keep(encode_documents(docs, path, end_id), "encoded")
-    order = np.argsort(-frequencies(encoded, size), kind="stable").astype(np.uint32)  # ties to the smaller id
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    encoded = scratch.keep(encode_documents(docs, path, end_id, kind), "encoded")
+    order = np.argsort(-frequencies(encoded, size, kind), kind="stable").astype(np.uint32)  # ties to the smaller id
     rank = np.empty(size, np.uint32)
     rank[order] = np.arange(size, dtype=np.uint32)
     folder = f"{scratch.path}/files"
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "ids"):
-            rows = [(len(x) // 4, *pack(rank[np.frombuffer(x, "<u4")])) for x in column(batch, "ids").to_pylist()]
+            found = (np.frombuffer(x, kind) for x in column(batch, "ids").to_pylist())
+            rows = [(len(x), *pack(rank[x])) for x in found]
             n, control, data = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],

@@ -83,9 +83,9 @@ def _pieces(path: str, end_id: int, capacity: int):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    length = len(piece) // 4
-                    rows.append((doc, start, length, zlib.crc32(piece), total, part, met[length]))
+                    length = min(capacity, total - start)
+                    digest = zlib.crc32(ids[4 * start : 4 * (start + length)])
+                    rows.append((doc, start, length, digest, total, part, met[length]))
                     met[length] += 1
             types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             arrays = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 7, types)]

@@ -254,13 +254,13 @@ def _links(pairs: DataFrame, vectors: DataFrame, percent: int, scratch: Scratch,
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, most_common: int = MOST_COMMON) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, _row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their distinct n-grams;
     component_id is the smallest doc_id reachable by links, itself included. A text without
     words (null, empty) has no n-grams, links with nothing and is its own component. Null ids
     take part, but no component is named by one unless it holds no other (then null).
-    Repeated rows each keep their row. An empty table gives no rows.
+    Repeated rows each keep their row. An empty table gives no rows. ``_row`` is a hash of id and text.
 
     A set's identity is 64 bits of a digest; the other 64 bits are compared, and should two
     different sets ever agree in the first half the run fails instead of joining them.
@@ -310,5 +310,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     placed = distinct.select("set_id", "doc_id").join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(names, "component").select("set_id", "component_id")
-    out = sets.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sets.select("doc_id", "n_shingles", "set_id", "_row").join(named, "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "_row")

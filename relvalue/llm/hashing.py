@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from xxhash import xxh3_64_intdigest
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -39,12 +38,3 @@ def chunks_by(group: np.ndarray) -> list[tuple[int, int, int]]:
     cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
     starts, ends = np.r_[0, cuts], np.r_[cuts, len(group)]
     return list(zip(group[starts].tolist(), starts.tolist(), ends.tolist()))
-
-
-def grouped_bytes(owners: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The distinct ``owners`` and for each the bytes of its ``values``."""
-    order = np.argsort(owners, kind="stable")
-    owners, values = owners[order], np.ascontiguousarray(values[order])
-    starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else np.zeros(0, np.int64)
-    offsets = (np.r_[starts, len(owners)] * values.itemsize).astype(np.int32)
-    return owners[starts], pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a finished write; otherwise they stay as long as the driver holds the frame.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
@@ -28,7 +30,7 @@ class Scratch:
     """One run's own folder of Parquet tables.
 
     A phase that ends in ``keep`` is cut off from what made it: a lost executor costs a
-    re-read of files, and the shuffle files of the phase can go.
+    re-read of files, and the shuffle files of the phase go.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -37,11 +39,14 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
-        schema = df.schema
-        del df
-        self.release()
-        return self.spark.read.schema(schema).parquet(path)
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later phase reads."""
@@ -49,11 +54,6 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of plans that nothing holds any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def bucket_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Buckets for a hash exchange, in proportion to the size of the files ``df`` reads."""

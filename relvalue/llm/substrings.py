@@ -18,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relvalue.llm.arrow import column, portions, strings
-from relvalue.llm.hashing import chunks_by, grouped_bytes, runs, word_hashes
+from relvalue.llm.hashing import chunks_by, runs, word_hashes
 from relvalue.llm.scratch import Scratch, bucket_count
 
 WINDOW = 20
 PENDING = 1 << 20  # entries that a bucket gathers before it sorts them in
+OWN = ("repeats", "_row", "_id", "_part", "_kind", "_rows", "_told")
 REPEATS = "struct<n_words: long, n_removed: long, spans: array<struct<start: long, end: long>>>"
 
 
@@ -98,46 +100,93 @@ class Anchors:
         return np.r_[self.first[late], owners[keep]], np.r_[self.index[late], self.index[at[keep]]]
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_row`` and the blocks it hits; a partition is one bucket, index rows first."""
-    anchors, current = Anchors(), -1
-    owners, blocks, size = [], [], 0
+def _addressed(rows: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
+    """One row for each part of the documents: the documents' keys, and what each is told."""
+    part = rows & (1 << bits) - 1
+    order = np.lexsort((rows, part))
+    rows, values, part = rows[order], values[order], part[order]
+    out = [(p, rows[a:b].tobytes(), values[a:b].tobytes()) for p, a, b in chunks_by(part)]
+    parts, keys, told = zip(*out) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(told, pa.binary())], ["_part", "_rows", "_told"])
 
-    def flush() -> pa.RecordBatch:
-        rows, values = grouped_bytes(np.concatenate(owners), np.concatenate(blocks))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), values], ["_row", "blocks"])
 
-    for batch in batches:
-        for b, kind, own, counts, keys in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != current:
-                anchors, current = Anchors(), b
-            if kind == 0:
-                anchors.parts.append(np.frombuffer(keys, "<u4"))
-                continue
-            anchors.close()
-            who, what = anchors.probe(np.repeat(np.frombuffer(own, "<i8"), np.frombuffer(counts, "<u4")), np.frombuffer(keys, "<u4"))
-            owners.append(who)
-            blocks.append(what.astype(np.uint64) | np.uint64(b) << np.uint64(32))
-            size += len(who)
-            if size >= PENDING:
-                yield flush()
-                owners, blocks, size = [], [], 0
-    if size:
-        yield flush()
+ADDRESSED = "_part int, _rows binary, _told binary"
+
+
+def _delivered(docs: DataFrame, messages: DataFrame, bits: int) -> DataFrame:
+    """Documents (with ``_row``) and what they are told in one partition for each part, messages first."""
+    docs = docs.withColumn("_part", F.col("_row").bitwiseAND((1 << bits) - 1).cast("int"))
+    both = docs.unionByName(messages, allowMissingColumns=True).withColumn("_kind", F.col("_rows").isNull())
+    return both.repartitionById(1 << bits, F.col("_part")).sortWithinPartitions("_kind")
+
+
+class Told:
+    """The messages of one part, and what they tell each document."""
+
+    def __init__(self, kind: str):
+        self.kind, self.rows, self.values = kind, [], []
+        self.sorted = None
+
+    def split(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Keep the messages of a batch; return its documents."""
+        messages = batch.filter(pc.invert(column(batch, "_kind")))
+        for rows, values in zip(column(messages, "_rows").to_pylist(), column(messages, "_told").to_pylist()):
+            self.rows.append(np.frombuffer(rows, "<i8"))
+            self.values.append(np.frombuffer(values, self.kind))
+        return batch.filter(column(batch, "_kind"))
+
+    def of(self, row: int) -> np.ndarray:
+        if self.sorted is None:
+            rows = np.concatenate([*self.rows, np.zeros(0, np.int64)])
+            order = np.argsort(rows, kind="stable")
+            self.sorted = rows[order], np.concatenate([*self.values, np.zeros(0, self.kind)])[order]
+        rows, values = self.sorted
+        return values[slice(*np.searchsorted(rows, [row, row + 1]))] if row < (1 << 63) - 1 else values[np.searchsorted(rows, row) :]
+
+
+def _hits(bits: int):
+    """The blocks that documents hit, addressed to them; a partition is one bucket, index rows first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, current = Anchors(), -1
+        owners, blocks, size = [], [], 0
+        for batch in batches:
+            for b, kind, own, counts, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != current:
+                    anchors, current = Anchors(), b
+                if kind == 0:
+                    anchors.parts.append(np.frombuffer(keys, "<u4"))
+                    continue
+                anchors.close()
+                who, what = anchors.probe(np.repeat(np.frombuffer(own, "<i8"), np.frombuffer(counts, "<u4")), np.frombuffer(keys, "<u4"))
+                owners.append(who)
+                blocks.append(what.astype(np.uint64) | np.uint64(b) << np.uint64(32))
+                size += len(who)
+                if size >= PENDING:
+                    yield _addressed(np.concatenate(owners), np.concatenate(blocks), bits)
+                    owners, blocks, size = [], [], 0
+        if size:
+            yield _addressed(np.concatenate(owners), np.concatenate(blocks), bits)
+
+    return run
 
 
 def _windows(block: int, window: int, bits: int):
     """Windows with a hit inside, by bucket of their word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text"):
+        told = Told("<u8")
+        for batch in portions(map(told.split, batches), "text"):
             found = []
-            for row, doc, text, blocks in zip(column(batch, "_row").to_pylist(), column(batch, "_id").to_pylist(), strings(column(batch, "text")), column(batch, "blocks").to_pylist()):
+            for row, doc, text in zip(column(batch, "_row").to_pylist(), column(batch, "_id").to_pylist(), strings(column(batch, "text"))):
+                blocks = told.of(row)
+                if not len(blocks):
+                    continue
                 words = word_hashes(text.split())
                 n = len(words) - window + 1
                 if n <= 0:
                     continue
-                hit = np.isin(runs(words, block) >> np.uint64(32 - bits), np.frombuffer(b"".join(blocks), "<u8"))
+                hit = np.isin(runs(words, block) >> np.uint64(32 - bits), blocks)
                 before = np.r_[0, np.cumsum(hit)]
                 starts = np.flatnonzero(before[window - block + 1 :][:n] > before[:n])
                 keys, checks = runs(words, window, 1)[starts], runs(words, window, 2)[starts] >> np.uint64(32)
@@ -189,39 +238,43 @@ class Occurrences:
         return rows[repeat], starts[repeat]
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_row`` and the starts of its repeated windows."""
-    seen, current = Occurrences(), -1
+def _repeats(bits: int):
+    """The starts of repeated windows, addressed to their documents; a partition is one bucket."""
 
-    def settled() -> Iterator[pa.RecordBatch]:
-        if seen.size:
-            rows, starts = grouped_bytes(*seen.settle())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), starts], ["_row", "starts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, current = Occurrences(), -1
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if seen.size:
+                yield _addressed(*seen.settle(), bits)
+
+        for batch in batches:
+            for b, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != current:
+                    yield from settled()
+                    seen, current = Occurrences(), b
+                rows, docs, counts, starts, keys, checks = (np.frombuffer(x, t) for x, t in zip(blobs, ("<i8", "<i8", "<u4", "<u4", "<u8", "<u4")))
+                seen.add(keys, checks, np.repeat(docs, counts), np.repeat(rows, counts), starts)
+                if seen.size >= PENDING:
+                    yield from settled()
+        yield from settled()
 
-    for batch in batches:
-        for b, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != current:
-                yield from settled()
-                seen, current = Occurrences(), b
-            rows, docs, counts, starts, keys, checks = (np.frombuffer(x, t) for x, t in zip(blobs, ("<i8", "<i8", "<u4", "<u4", "<u8", "<u4")))
-            seen.add(keys, checks, np.repeat(docs, counts), np.repeat(rows, counts), starts)
-            if seen.size >= PENDING:
-                yield from settled()
-    yield from settled()
+    return run
 
 
 def _cut(window: int):
     """Replace each text by its kept words, where any word goes, and say what went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text"):
+        mail = Told("<u4")
+        for batch in portions(map(mail.split, batches), "text"):
             texts, told = [], []
-            for text, starts in zip(column(batch, "text").cast(pa.large_binary()).to_pylist(), column(batch, "starts").to_pylist()):
+            for row, text in zip(column(batch, "_row").to_pylist(), column(batch, "text").cast(pa.large_binary()).to_pylist()):
                 words = (text or b"").split()
                 spans: list[dict] = []
                 gone = 0
-                if starts:
-                    begin = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
+                begin = mail.of(row).astype(np.int64)
+                if len(begin):
                     change = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + window, minlength=len(words) + 1)
                     kept = np.cumsum(change[: len(words)]) == 0
                     edges = np.flatnonzero(np.diff(np.r_[True, kept, True]))
@@ -233,7 +286,7 @@ def _cut(window: int):
             kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
             arrays, names = [], []
             for name, values in zip(batch.schema.names, batch.columns):
-                if name not in ("starts", "repeats"):
+                if name not in OWN:
                     arrays.append(pa.array(texts, pa.string()) if name == "text" else values)
                     names.append(name)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(told, kind)], [*names, "repeats"])
@@ -255,27 +308,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     document, not a later one. An empty table gives an empty table.
     """
     block = window // 2
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substrings")
-    docs = docs.drop("repeats", "_row", "_id", "starts", "blocks")
+    scratch = Scratch(docs.sparkSession, "substrings")
+    docs = docs.drop(*OWN)
     key = F.xxhash64("doc_id", "text").alias("_row")
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id")
-    buckets = bucket_count(docs, 16 << 20)
-    bits = _bits(buckets)
+    bits = _bits(bucket_count(docs, 16 << 20))
 
     met = docs.select(key, "text").mapInArrow(_anchors(block, bits), "bucket int, kind int, owners binary, counts binary, keys binary")
     met = met.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    hits = scratch.keep(met.mapInArrow(_hits, "_row long, blocks binary"), "hits")
-    del met
+    hits = scratch.keep(met.mapInArrow(_hits(bits), ADDRESSED), "hits")
 
-    blocks = hits.groupBy("_row").agg(F.collect_list("blocks").alias("blocks"))
-    around = docs.select(key, rank, "text").join(blocks, "_row")
+    around = _delivered(docs.select(key, rank, "text"), hits, bits)
     windows = around.mapInArrow(_windows(block, window, bits), "bucket int, rows binary, docs binary, counts binary, starts binary, keys binary, checks binary")
     windows = windows.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
-    repeats = scratch.keep(windows.mapInArrow(_repeats, "_row long, starts binary"), "repeats")
-    del blocks, around, windows
+    repeats = scratch.keep(windows.mapInArrow(_repeats(bits), ADDRESSED), "repeats")
     scratch.drop("hits")
 
-    starts = repeats.groupBy("_row").agg(F.collect_list("starts").alias("starts"))
-    joined = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(starts, "_row", "left").drop("_row")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_cut(window), f"{fields}, repeats {REPEATS}")
+    return _delivered(docs.withColumn("_row", F.xxhash64("doc_id", "text")), repeats, bits).mapInArrow(_cut(window), f"{fields}, repeats {REPEATS}")

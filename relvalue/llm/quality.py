@@ -115,58 +115,53 @@ def _distance() -> Column:
     return sum((gap[i] * gap[j] * F.col(f"i{i}_{j}") for i in range(DIM) for j in range(DIM)), F.lit(0.0))
 
 
-def _fit(factor: float):
-    """From a group's count, sums and sums of products: its centre and inverse covariance."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                n = row.n
-                mean = np.array([getattr(row, f"s{i}") for i in range(DIM)]) / n
-                cov = np.array([[getattr(row, f"p{min(i, j)}_{max(i, j)}") for j in range(DIM)] for i in range(DIM)]) / n - np.outer(mean, mean)
-                cov = cov * factor
-                cov += np.diag(np.maximum(0, np.square(FLOORS) - np.diag(cov)))
-                out.append([row.group, *mean, *np.linalg.inv(cov).reshape(-1)])
-            yield pd.DataFrame(out, columns=["_key", *CENTRE, *INVERSE])
+def _upto(n: np.ndarray, share: float) -> int:
+    """The cell that holds the ``share`` of all rows, from the rows in each cell."""
+    return int(np.searchsorted(np.cumsum(n), share * n.sum()))
+
+
+def _start(frame: pd.DataFrame) -> pd.DataFrame:
+    """From the histograms of a group: its medians and the inverse of a diagonal covariance of quartile ranges."""
+    centre, spread = [], []
+    for i in range(DIM):
+        cells = frame[frame["i"] == i].sort_values("cell")
+        low, mid, high = ((cells["cell"].iloc[_upto(cells["n"].to_numpy(), p)] + 1) / STEP for p in (0.25, 0.5, 0.75))
+        centre.append(mid)
+        spread.append(max((high - low) / 1.349, FLOORS[i]))
+    return pd.DataFrame([[frame["_key"].iloc[0], *centre, *np.diag(1 / np.square(spread)).reshape(-1)]], columns=["_key", *CENTRE, *INVERSE])
+
+
+def _fit(core: float):
+    """From counts, sums and sums of products by cell of distance: centre and inverse covariance of a group's innermost cells."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cell")
+        total = frame.iloc[: _upto(frame["n"].to_numpy(), core) + 1].drop(columns=["_key", "cell"]).sum()
+        n = total["n"]
+        mean = np.array([total[f"s{i}"] for i in range(DIM)]) / n
+        cov = np.array([[total[f"p{min(i, j)}_{max(i, j)}"] for j in range(DIM)] for i in range(DIM)]) / n - np.outer(mean, mean)
+        cov = cov * consistency(core)
+        cov += np.diag(np.maximum(0, np.square(FLOORS) - np.diag(cov)))
+        return pd.DataFrame([[frame["_key"].iloc[0], *mean, *np.linalg.inv(cov).reshape(-1)]], columns=["_key", *CENTRE, *INVERSE])
 
     return run
 
 
-def _started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From a group's quartiles: its median and the inverse of a diagonal covariance."""
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False):
-            quartiles = np.array(row.quartiles).reshape(DIM, 3)
-            spread = np.maximum((quartiles[:, 2] - quartiles[:, 0]) / 1.349, FLOORS)
-            out.append([row.group, *quartiles[:, 1], *np.diag(1 / spread**2).reshape(-1)])
-        yield pd.DataFrame(out, columns=["_key", *CENTRE, *INVERSE])
-
-
-def _quantiles(cells: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
-    """The upper edge of the histogram cell that holds each of the ``shares`` of a group; exact to a cell, whatever the order of rows."""
-    counted = cells.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*by).orderBy("cell")
-    run = counted.select(*by, "cell", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy(*by)).alias("all"))
-    return run.groupBy(*by).agg(*(F.min(F.when(F.col("upto") >= p * F.col("all"), (F.col("cell") + 1) / STEP)).alias(f"q{i}") for i, p in enumerate(shares)))
-
-
 def estimates(points: DataFrame, scratch: Scratch, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """Centre and inverse covariance for each ``_key`` of ``points`` (_key, x0..x4), by concentration steps."""
-    each = points.select("_key", F.posexplode(F.array(*XS)).alias("i", "x")).withColumn("cell", F.floor(F.col("x") * STEP))
-    quartiles = _quantiles(each, ["_key", "i"], [0.25, 0.5, 0.75])
-    start = quartiles.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("i", "q0", "q1", "q2"))).alias("q"))
-    start = start.select(F.col("_key").alias("group"), F.flatten(F.transform("q", lambda r: F.array(r["q0"], r["q1"], r["q2"]))).alias("quartiles"))
-    fitted = scratch.keep(start.mapInPandas(_started, FITTED), "fit_0")
+    """Centre and inverse covariance for each ``_key`` of ``points`` (_key, x0..x4), by concentration steps.
+
+    Rows are aggregated by cells of a histogram before a group comes together, so a group is at most
+    some thousand cells, whatever the number of its documents; the core is exact to a cell.
+    """
+    n = F.count(F.lit(1)).alias("n")
+    each = points.select("_key", F.posexplode(F.array(*XS)).alias("i", "x")).groupBy("_key", "i", F.floor(F.col("x") * STEP).alias("cell")).agg(n)
+    fitted = scratch.keep(each.groupBy("_key").applyInPandas(_start, FITTED), "fit_0")
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(XS)]
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
     for step in range(1, steps + 1):
-        far = points.join(fitted, "_key").select("_key", *XS, _distance().alias("d"))
-        limit = _quantiles(far.select("_key", F.floor(F.log2(1 + F.col("d")) * STEP).alias("cell")), ["_key"], [core])
-        inner = far.join(limit, "_key").where(F.floor(F.log2(1 + F.col("d")) * STEP) + 1 <= F.col("q0") * STEP)
-        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(XS)]
-        products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
-        totals = inner.groupBy(F.col("_key").alias("group")).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
-        fitted = scratch.keep(totals.mapInPandas(_fit(consistency(core)), FITTED), f"fit_{step}")
+        far = points.join(fitted, "_key").select("_key", *XS, F.floor(F.log2(1 + _distance()) * STEP).alias("cell"))
+        cells = far.groupBy("_key", "cell").agg(n, *sums, *products)
+        fitted = scratch.keep(cells.groupBy("_key").applyInPandas(_fit(core), FITTED), f"fit_{step}")
         scratch.drop(f"fit_{step - 1}")
     return fitted
 
@@ -190,6 +185,7 @@ def judge(docs: DataFrame, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF,
     groups = scratch.keep(groups.select("_lang", "_source", key.alias("_key")), "groups")
     keyed = found.withColumns({"_lang": lang, "_source": source}).join(groups, ["_lang", "_source"], "left").drop("_lang", "_source")
     points = scratch.keep(keyed.withColumns(dict(zip(XS, transformed()))).drop("lang", "source"), "points")
+    scratch.drop("statistics", "groups")
     own = points.where(~F.col("base_failed"))
     enough = own.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows).select("_key")
     fitted = estimates(own.join(enough, "_key", "left_semi").select("_key", *XS), scratch, core)

@@ -1,0 +1,158 @@
+"""Near duplicates, repeated passages and neighbours, held against brute force."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from relvalue.llm import jaccard, neighbours, substrings
+from relvalue.llm.components import components
+from relvalue.llm.scratch import Scratch
+
+SPACE = " \t\n\r\x0b\x0c"
+
+
+def split(text):
+    return (text or "").encode().split()
+
+
+def sets_of(text):
+    w = split((text or "").encode().lower().decode())
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute_components(rows):
+    s = [sets_of(t) for _, t in rows]
+    name = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]):
+            a, b = name[i], name[j]
+            name = [a if n == b else n for n in name]
+    least = {}
+    for n, (d, _) in zip(name, rows):
+        if d is not None:
+            least[n] = min(least.get(n, d), d)
+    return sorted((d if d is not None else -1, len(x), -1 if least.get(n) is None else least[n]) for n, (d, _), x in zip(name, rows, s))
+
+
+def copies(seed=1):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(3))
+    line = " ".join(word() for _ in range(30))  # a passage that many share
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "One TWO"), (6, "one two three"), (None, "no id here at all, none"), (8, "a\x0bb\x0cc d\te"), (9, "A b c d e"), (10, "É b c d e"), (11, "é b c d e")]
+    at = 20
+    for group in range(12):
+        base = [word() for _ in range(rnd.randint(12, 120))]
+        for _ in range(rnd.choice([1, 2, 5, 25])):
+            w = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+                w[rnd.randrange(len(w))] = word()
+            text = " ".join(w) + (" " + line if rnd.random() < 0.4 else "")
+            rows.append((at, text))
+            at += 1
+    rows.append((at, rows[-1][1]))
+    rows.append((at, rows[-1][1]))  # a row twice
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed, common", [(1, 1 << 20), (2, 1 << 20), (3, 4)])
+def test_components_of_near_copies(docs, seed, common):
+    rows = copies(seed)
+    got = jaccard.near_duplicates(docs(rows), most_common=common).collect()
+    assert sorted((r[0] if r[0] is not None else -1, r[1], -1 if r[2] is None else r[2]) for r in got) == brute_components(rows)
+
+
+def test_no_documents(docs):
+    assert jaccard.near_duplicates(docs([])).collect() == []
+    got = jaccard.near_duplicates(docs([(5, ""), (None, None)])).collect()
+    assert sorted((r[0] or -1, r[1], r[2] or -1) for r in got) == [(-1, 0, -1), (5, 0, 5)]
+
+
+def test_prefixes_of_linked_sets_meet_under_every_order():
+    rnd = np.random.default_rng(1)
+    common, times = np.sort(rnd.integers(0, 1 << 63, 40).astype(np.uint64)), np.arange(40)
+    for _ in range(300):
+        both = rnd.integers(0, 1 << 63, rnd.integers(8, 200)).astype(np.uint64)
+        both = np.r_[both, rnd.choice(common, 10)]
+        extra = rnd.integers(0, 1 << 63, max(1, len(np.unique(both)) // 9)).astype(np.uint64)
+        one, two = np.unique(both), np.unique(np.r_[both, extra])
+        n = jaccard.common_count(one, two)
+        if 100 * n >= 80 * (len(one) + len(two) - n):
+            for order in range(3):
+                assert np.intersect1d(jaccard.prefix(one, order, common, times), jaccard.prefix(two, order, common, times)).size
+
+
+def test_links_to_components(spark):
+    links = [(i, i + 1) for i in range(30)] + [(100, 102), (102, 101), (7, 7), (200, 300)]
+    got = dict(components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c").collect())
+    assert got == dict.fromkeys(range(31), 0) | dict.fromkeys((100, 101, 102), 100) | dict.fromkeys((200, 300), 200)
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").collect() == []
+
+
+def brute_repeats(rows, window=20):
+    seen, out = set(), []
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        w = split(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if key in seen:
+                gone[i : i + window] = [True] * window
+            seen.add(key)
+        text = t if not any(gone) else b" ".join(x for x, g in zip(w, gone) if not g).decode()
+        out += [(-1 if d is None else d, len(w), sum(gone), text or "")] * rows.count((d, t))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pending", [1 << 20, 7])
+def test_repeated_passages(docs, monkeypatch, pending):
+    monkeypatch.setattr(substrings, "PENDING", pending)
+    rnd = random.Random(7)
+    word = lambda: rnd.choice(["ab", "cd", "ef", "gh", "é", "X"]) + str(rnd.randint(0, 40))
+    passages = [[word() for _ in range(n)] for n in (19, 20, 21, 45, 60)]
+    rows = [(1, None), (2, ""), (3, "short text"), (4, "la " * 70), (None, " ".join(passages[4]))]
+    for i in range(60):
+        parts = [[word() for _ in range(rnd.randint(0, 25))] for _ in range(3)]
+        for _ in range(rnd.randint(0, 2)):
+            parts.insert(rnd.randint(0, len(parts)), rnd.choice(passages))
+        rows.append((10 + i, rnd.choice([" ", "\n", " \t"]).join(w for p in parts for w in p)))
+    rows += [(80, rows[20][1]), (80, rows[20][1]), (81, rows[20][1])]
+    got = substrings.remove_repeats(docs(rows)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["repeats"]["n_words"], r["repeats"]["n_removed"], r["text"] or "") for r in got) == brute_repeats(rows)
+    for r in got:
+        assert sum(s["end"] - s["start"] for s in r["repeats"]["spans"]) == r["repeats"]["n_removed"]
+        assert r["lang"] == "en" and r["n_words"] == -1
+    assert substrings.remove_repeats(docs([])).collect() == []
+
+
+def test_neighbours(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(1500, 24)).astype(np.float32)
+    x[200:260] = x[5]  # many equal vectors
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(5000, None), (5050, [0.0] * 24), (5100, [float("nan")] * 24), (5150, [None] * 24), (5200, []), (None, x[3].tolist()), (5250, x[5].tolist()), (100, x[100].tolist()), (5300, [1.0, 2.0]), (5350, [2.0, 1.0])]
+    table = spark.createDataFrame([(*r, "z", 1) for r in rows], "vec_id long, embedding array<float>, key string, rank int").repartition(4)
+    got = {}
+    for r in neighbours.nearest(table, every=50, k=5, shard_rows=500).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    ids = np.array([*range(1500), 5250])
+    full = np.concatenate([x, x[5:6]]).astype(np.float64)
+    norms = np.linalg.norm(full, axis=1)
+    found = wanted = 0
+    for q in [i for i in ids if i % 50 == 0]:
+        at = np.flatnonzero(ids == q)[0]
+        scores = np.einsum("nd,d->n", full, full[at]) / (norms * norms[at])
+        scores[at] = -9
+        best = np.lexsort((ids, -scores.round(14)))[:5]
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        for v, s in got[q].values():
+            assert abs(scores[np.flatnonzero(ids == v)[0]] - s) < 1e-12
+        found += len({v for v, _ in got[q].values()} & set(ids[best].tolist()))
+        wanted += 5
+    assert found / wanted >= 0.95
+    assert got[5250] == {k + 1: (v, pytest.approx(1.0)) for k, v in enumerate([5, 200, 201, 202, 203])}
+    assert got[5300] == {1: (5350, pytest.approx(0.8))}
+    assert not {5000, 5050, 5100, 5150, 5200} & set(got)
+    assert neighbours.nearest(table.limit(0), 50, 5).collect() == []

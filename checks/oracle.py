@@ -62,7 +62,7 @@ flow AS (
 ),
 locked AS (
   SELECT l_partkey AS p_partkey, CAST(SUM(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS locked
-  FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 25 GROUP BY l_partkey
+  FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey
 ),
 listing AS (
   SELECT p.p_partkey AS pos, 'part-' || p.p_partkey AS slug, p_name AS name,
@@ -76,14 +76,19 @@ listing AS (
   FROM part p LEFT JOIN locked l ON l.p_partkey = p.p_partkey
 ),
 market AS (
-  SELECT 1 AS page, p_partkey AS pos, 'g' || p_partkey AS id, lower(replace(p_name, ' ', '')) AS symbol,
+  SELECT 1 AS page, p_partkey AS pos, CASE WHEN p_partkey % 4 = 0 THEN 'g' ELSE 'm' END || p_partkey AS id, lower(replace(p_name, ' ', '')) AS symbol,
     p_retailprice AS current_price, p_retailprice * p_size * 210 AS market_cap,
     p_retailprice * p_size * 210 * (1 + (p_partkey % 6) * CAST(0.8 AS DOUBLE)) AS fdv,
     CAST(p_size AS DOUBLE) - 20 AS price_change14d, p_size * CAST(1.5 AS DOUBLE) - 40 AS price_change30d
-  FROM part WHERE p_partkey % 4 = 0
-  ORDER BY market_cap DESC, pos LIMIT 1000
+  FROM part
 )"""
 
+
+def _exact(x: str) -> str:
+    """The sum of the shortest decimals of DOUBLEs, as the DOUBLE nearest to it."""
+    return f"CAST(CAST(SUM(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR) AS DOUBLE)"
+
+
 _GROUPS = f"""
 parent_map AS (
   SELECT slug, parent FROM (
@@ -102,9 +107,8 @@ flow_rows AS (
 ),
 flow_rollup AS (
   SELECT k, metric,
-    round(SUM(annual) * 1e6) / 1e6 AS annual, round(SUM(d7) * 1e6) / 1e6 AS d7,
-    round(SUM(prev7) * 1e6) / 1e6 AS prev7, round(SUM(d30) * 1e6) / 1e6 AS d30,
-    round(SUM(prev30) * 1e6) / 1e6 AS prev30
+    {_exact('annual')} AS annual, {_exact('d7')} AS d7, {_exact('prev7')} AS prev7,
+    {_exact('d30')} AS d30, {_exact('prev30')} AS prev30
   FROM flow_rows GROUP BY k, metric
 ),
 flow_wide AS (
@@ -126,7 +130,7 @@ representative AS (
 ),
 totals AS (
   SELECT k, MIN(pos) AS first_pos, MAX(CASE WHEN mcap > 0 THEN mcap END) AS dl_mcap,
-    round(SUM(tvl) * 1e6) / 1e6 AS tvl,
+    {_exact('tvl')} AS tvl,
     arg_min(gecko_id, pos) FILTER (WHERE gecko_id IS NOT NULL) AS gecko_id,
     arg_min(symbol, pos) FILTER (WHERE symbol <> '-') AS symbol
   FROM members GROUP BY k
@@ -312,13 +316,20 @@ def _scores(select: str) -> str:
     return _with(select, _FEEDS, _GROUPS, _ENTITIES, _RANKS, _SCORES)
 
 
-def _ranked(where: str, order: str) -> str:
+def _ranked(where: str, order: str, kind: str = "BIGINT", limit: str = "") -> str:
     return _scores(
-        f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INT) AS rank, k, value_score "
-        f"FROM published WHERE {where} ORDER BY rank LIMIT 50"
+        f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS {kind}) AS rank, k, value_score "
+        f"FROM published WHERE {where} ORDER BY rank {limit}"
     )
 
 
+_SORT_KEYS = {
+    "value_score": "value_score", "capture_score": "capture_score", "ps": "ps", "phr": "phr", "revenue_annual": "revenue_annual",
+    "holder_revenue_annual": "holder_revenue_annual", "revenue30d": "revenue_d30", "mcap": "mcap", "fdv": "fdv", "tvl": "tvl",
+    "price_change14d": "price_change14d", "price_change30d": "price_change30d", "fees_change7d": "fees_change7d",
+}
+
+
 def _fixed(x: str, digits: int) -> str:
     """Text with fixed places; true halves, which the C library rounds to even, go up."""
     half = f"abs({x}) * {2 ** (digits + 1)} % 2 = 1"
@@ -388,7 +399,14 @@ ORACLE = {
         "AND tvl >= 100000 AND phr BETWEEN 1 AND 500 AND ps <= 40 "
         "AND contains(lower(name || ' ' || COALESCE(symbol, '')), 'd')"
     ),
-    "ranked_top": _ranked("NOT low_activity", _DEFAULT_ORDER),
+    "ranked_top": _ranked("NOT low_activity", _DEFAULT_ORDER, "INT", "LIMIT 50"),
+    "ranked_all": _ranked("NOT low_activity", _DEFAULT_ORDER),
+    "ranked_by_category": _ranked("TRUE", f"lower(COALESCE(category, '')), {_DEFAULT_ORDER}"),
+    "sort_ranks": _scores(" UNION ALL ".join(
+        f"SELECT '{key}' AS sort_key, {way == 'DESC'} AS descending, "
+        f"row_number() OVER (ORDER BY {column} {way} NULLS LAST, {_DEFAULT_ORDER}) AS rank, k FROM published"
+        for key, column in _SORT_KEYS.items() for way in ("DESC", "ASC")
+    )),
     "ranked_by_name": _ranked("TRUE", f"lower(name), {_DEFAULT_ORDER}"),
     "ranked_by_phr": _ranked("NOT low_activity", f"phr ASC NULLS LAST, {_DEFAULT_ORDER}"),
     "sector_list": _entities("SELECT DISTINCT category FROM entity WHERE category IS NOT NULL"),

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from relvalue.functions import formats
 from relvalue.operators import percentiles, quotes, rollup
-from relvalue.operators.screen import ScreenSpec, screen, top
+from relvalue.operators.materialize import materialize
+from relvalue.operators.screen import SORT_COLUMNS, ScreenSpec, numbered, screen, top
 from relvalue.plans import screener
 from relvalue.plans.report import report as report_rows
 from relvalue.sources.feeds import Feeds
@@ -21,7 +22,7 @@ COMBINED = ScreenSpec(
     holder_revenue_only=True,
     exclude_high_dilution=True,
 )
-# A top-k report shows this many rows.
+# The top-k report shows this many rows.
 TOP_ROWS = 50
 
 
@@ -60,11 +61,11 @@ def _quotes(table: DataFrame) -> DataFrame:
 
 
 def market_by_id(spark, folder):
-    return _quotes(quotes.market_by_id(quotes.top_market(read_star(spark, folder).market)))
+    return _quotes(quotes.market_by_id(quotes.market_rows(read_star(spark, folder).market)))
 
 
 def market_by_symbol(spark, folder):
-    return _quotes(quotes.market_by_symbol(quotes.top_market(read_star(spark, folder).market)))
+    return _quotes(quotes.market_by_symbol(quotes.market_rows(read_star(spark, folder).market)))
 
 
 def quote_match(spark, folder):
@@ -148,12 +149,17 @@ def screen_combined(spark, folder):
     return _screen(spark, folder, COMBINED)
 
 
+def ranked_top(spark, folder):
+    rows = screen(screener.published(_scored(spark, folder)), ScreenSpec())
+    return top(rows, ScreenSpec(), TOP_ROWS).select("rank", F.col("slug").alias("k"), "value_score")
+
+
 def _ranked(spark, folder, spec: ScreenSpec) -> DataFrame:
     rows = screen(screener.published(_scored(spark, folder)), spec)
-    return top(rows, spec, TOP_ROWS).select("rank", F.col("slug").alias("k"), "value_score")
+    return numbered(rows, spec).select("rank", F.col("slug").alias("k"), "value_score")
 
 
-def ranked_top(spark, folder):
+def ranked_all(spark, folder):
     return _ranked(spark, folder, ScreenSpec())
 
 
@@ -161,11 +167,30 @@ def ranked_by_name(spark, folder):
     return _ranked(spark, folder, ScreenSpec(hide_low_activity=False).select_sort("name"))
 
 
+def ranked_by_category(spark, folder):
+    """Rows without a sector come first: their key is the empty text."""
+    return _ranked(spark, folder, ScreenSpec(hide_low_activity=False).select_sort("category"))
+
+
 def ranked_by_phr(spark, folder):
     """Ascending: the second selection of the same key flips its direction."""
     return _ranked(spark, folder, ScreenSpec().select_sort("phr").select_sort("phr"))
 
 
+def sort_ranks(spark, folder):
+    """Every row's rank under each numeric sort key, both directions."""
+    rows = materialize(screener.published(_scored(spark, folder)), "published")
+    out = None
+    for key in SORT_COLUMNS:
+        if key in ("name", "category"):
+            continue
+        for descending in (True, False):
+            one = numbered(rows, ScreenSpec(sort_key=key, descending=descending))
+            one = one.select(F.lit(key).alias("sort_key"), F.lit(descending).alias("descending"), "rank", F.col("slug").alias("k"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def sector_list(spark, folder):
     return screener.sector_list(_entities(read_star(spark, folder)))
 
@@ -192,6 +217,6 @@ QUERIES = {
         parent_map, flow_rollup, group_meta, market_by_id, market_by_symbol, quote_match, entities, growth,
         multiples, gates, pool_sizes, sector_percentiles, value_scores, value_capture,
         screen_default, screen_undervalued, screen_overvalued, screen_combined,
-        ranked_top, ranked_by_name, ranked_by_phr, sector_list, result_meta, report,
+        ranked_top, ranked_all, ranked_by_name, ranked_by_category, ranked_by_phr, sort_ranks, sector_list, result_meta, report,
     )
 }

@@ -42,10 +42,14 @@ def count_present(columns: Sequence[Column]) -> Column:
     return total
 
 
-def to_micros(total: Column) -> Column:
-    """A summed USD amount rounded to millionths.
+def exact_sum(amount: str) -> str:
+    """SQL for the sum of a DOUBLE expression that is the same in whatever order rows arrive.
 
-    A sum of fractions depends in its last bits on the order in which rows arrive; rounding
-    takes that out. From 9e9 on a DOUBLE holds no exact millionths, and the sum stays as it is.
+    Amounts add as decimals of 18 places (below 1e20; what lies beyond counts as missing); turn
+    the total into a DOUBLE once, at the end, with ``to_double``.
     """
-    return F.when(F.abs(total) < 9e9, F.rint(total * 1e6) / 1e6).otherwise(total)
+    return f"sum(try_cast({amount} AS DECIMAL(38, 18)))"
+
+
+def to_double(total: Column) -> Column:
+    return total.cast("double")

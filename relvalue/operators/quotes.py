@@ -7,20 +7,15 @@ from relvalue import schemas as S
 from relvalue.functions.guards import conform
 from relvalue.functions.maths import change_pct
 
-TOP_QUOTES = S.MARKET_PAGES * S.MARKET_PAGE_SIZE
-
-# Broadcast the quotes only up to this many rows (each a few hundred bytes).
-BROADCAST_QUOTES = 100_000
+# A symbol may be shared by a large part of all groups; its groups are dealt to so many tasks.
+SYMBOL_SALTS = 16
 
 _QUOTE = ("id", *[name for name, kind in S.MARKET.items() if kind == "DOUBLE"])
 
 
-def top_market(market: DataFrame, rows: int | None = TOP_QUOTES) -> DataFrame:
-    """The quotes with the largest market value: the feed itself goes no deeper than ``rows``."""
-    quotes = conform(market, S.MARKET)
-    if rows is None:
-        return quotes
-    return quotes.orderBy(F.col("market_cap").desc_nulls_last(), "page", "pos").limit(rows)
+def market_rows(market: DataFrame) -> DataFrame:
+    """All quotes of the feed, guarded."""
+    return conform(market, S.MARKET)
 
 
 def market_by_id(market: DataFrame) -> DataFrame:
@@ -36,21 +31,20 @@ def market_by_symbol(market: DataFrame) -> DataFrame:
     return market.where("symbol IS NOT NULL").groupBy(F.lower("symbol").alias("key")).agg(best.alias("quote"))
 
 
-def match_quotes(groups: DataFrame, market: DataFrame, rows: int | None = TOP_QUOTES) -> DataFrame:
+def match_quotes(groups: DataFrame, market: DataFrame) -> DataFrame:
     """Add ``quote`` and ``match_kind``, settle ``mcap`` and the id, drop groups with neither value nor lock-up.
 
     A group with an id is looked up by that id alone. One without an id is looked up by its
     symbol, and only if it has cash flow. Either way a group has one key, so one join serves both.
-    Up to ``rows`` quotes per key kind are broadcast while that bound is small; without a small
-    bound Spark picks the join from measured sizes and splits overlong partitions of the groups.
+    All quotes take part and Spark picks the join from measured sizes. Groups that share a symbol
+    are dealt out over ``SYMBOL_SALTS`` copies of its quote.
     """
-    quotes = top_market(market, rows)
+    quotes = market_rows(market)
+    salts = F.sequence(F.lit(0), F.lit(SYMBOL_SALTS - 1))
     lookup = (
-        market_by_id(quotes).withColumn("match_kind", F.lit("id"))
-        .unionByName(market_by_symbol(quotes).withColumn("match_kind", F.lit("symbol")))
+        market_by_id(quotes).withColumns({"match_kind": F.lit("id"), "salt": F.lit(0)})
+        .unionByName(market_by_symbol(quotes).withColumns({"match_kind": F.lit("symbol"), "salt": F.explode(salts)}))
     )
-    if rows is not None and 2 * rows <= BROADCAST_QUOTES:
-        lookup = F.broadcast(lookup)
 
     annuals = [F.col(f"{m}_annual") for m in ("fees", "revenue", "holder_revenue")]
     has_cashflow = F.coalesce(F.greatest(*annuals), F.lit(0.0)) > 0
@@ -60,12 +54,13 @@ def match_quotes(groups: DataFrame, market: DataFrame, rows: int | None = TOP_QU
     # A group without a lookup has no kind, so its key matches nothing; as its own name it spreads evenly.
     want_key = F.when(by_id, F.col("gecko_id")).when(by_symbol, F.lower("symbol")).otherwise(F.col("k"))
 
-    probe = groups.withColumn("want_kind", want_kind).withColumn("want_key", want_key)
+    want_salt = F.when(by_symbol, F.pmod(F.xxhash64("k"), F.lit(SYMBOL_SALTS)).cast("int")).otherwise(0)
+    probe = groups.withColumns({"want_kind": want_kind, "want_key": want_key, "want_salt": want_salt})
     matched = probe.join(
         lookup,
-        (probe.want_kind == lookup.match_kind) & (probe.want_key == lookup.key),
+        (probe.want_kind == lookup.match_kind) & (probe.want_key == lookup.key) & (probe.want_salt == lookup.salt),
         "left",
-    ).drop("want_kind", "want_key", "key")
+    ).drop("want_kind", "want_key", "want_salt", "key", "salt")
     return (
         matched
         .withColumn("mcap", F.coalesce("dl_mcap", "quote.market_cap"))

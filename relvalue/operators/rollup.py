@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.functions.guards import conform
-from relvalue.functions.maths import positive, to_micros
+from relvalue.functions.maths import exact_sum, positive, to_double
 from relvalue.functions.text import PARENT_PREFIX, pretty_parent
 
 WINDOWS = ("annual", "d7", "prev7", "d30", "prev30")
@@ -67,8 +67,8 @@ def _per_slug(rows: DataFrame) -> DataFrame:
     aggregates = ["max(parent_key) AS parent_key"]
     for m in S.METRICS:
         aggregates.append(f"max(CASE WHEN metric = '{m}' THEN true END) AS {m}_seen")
-        aggregates += [f"sum(CASE WHEN metric = '{m}' THEN {w} END) AS {m}_{w}" for w in WINDOWS]
-    aggregates += [f"{reduce}({c}) AS {c}" for c, reduce in _MEMBER.items() if c in columns]
+        aggregates += [f"{exact_sum(f"CASE WHEN metric = '{m}' THEN {w} END")} AS {m}_{w}" for w in WINDOWS]
+    aggregates += [f"{exact_sum(c) if reduce == 'sum' else f'{reduce}({c})'} AS {c}" for c, reduce in _MEMBER.items() if c in columns]
     return rows.groupBy("slug").agg(*map(F.expr, aggregates))
 
 
@@ -77,14 +77,14 @@ def _grouped(rows: DataFrame) -> DataFrame:
     per_slug = _per_slug(rows)
     columns = set(per_slug.columns)
     aggregates = [f"max({m}_seen) AS {m}_seen" for m in S.METRICS]
-    aggregates += [f"sum({c}) AS {c}" for c in _FLOWS]
-    aggregates += [f"{reduce}({c}) AS {c}" for c, reduce in _MEMBER.items() if c in columns]
+    aggregates += [f"{exact_sum(c)} AS {c}" for c in _FLOWS]
+    aggregates += [f"{exact_sum(c) if reduce == 'sum' else f'{reduce}({c})'} AS {c}" for c, reduce in _MEMBER.items() if c in columns]
     key = F.coalesce("parent_key.parent", "slug").alias("k")
     return per_slug.groupBy(key).agg(*map(F.expr, aggregates))
 
 
 def _flow_value(name: str) -> Column:
-    return positive(to_micros(F.col(name))).alias(name)
+    return positive(to_double(F.col(name))).alias(name)
 
 
 def flow_rollup(flow: DataFrame) -> DataFrame:
@@ -125,6 +125,6 @@ def group_rollup(listing: DataFrame, flow: DataFrame) -> DataFrame:
         F.col("rep.change_1d").alias("change1d"),
         F.col("rep.change_7d").alias("change7d"),
         "dl_mcap",
-        to_micros(F.col("tvl")).alias("tvl"),
+        to_double(F.col("tvl")).alias("tvl"),
         *[_flow_value(c) for c in _FLOWS],
     )

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.functions.text import collation_key, haystack
+from relvalue.operators.materialize import materialize
 
-# Sort key -> column. The two text keys compare by collation, the rest as numbers.
+# The sort keys, each with its column. The two text keys compare by collation, the rest as numbers.
 SORT_COLUMNS = {
     "value_score": "value_score",
     "capture_score": "value_capture.score",
@@ -152,3 +153,20 @@ def top(rows: DataFrame, spec: ScreenSpec, k: int) -> DataFrame:
     order = order_by(spec)
     head = rows.orderBy(*order).limit(k)
     return head.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def numbered(rows: DataFrame, spec: ScreenSpec) -> DataFrame:
+    """All rows of a screen with their ``rank`` in its order, from 1.
+
+    Rows are dealt to ranges of the order and written; a row's rank is its place in its range and the
+    sizes of the ranges before. No task sees more than a range. Writes when called.
+    """
+    order = order_by(spec)
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranges.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    placed = materialize(placed, "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    ranked = placed.join(before, "_range").withColumn("rank", F.col("_before") + F.col("_place") + 1)
+    return ranked.drop("_range", "_place", "_before", "_size")

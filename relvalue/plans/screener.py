@@ -9,7 +9,7 @@ from relvalue import schemas as S
 from relvalue.operators.gates import with_gates, with_multiples
 from relvalue.operators.materialize import materialize
 from relvalue.operators.percentiles import with_percentiles
-from relvalue.operators.quotes import TOP_QUOTES, match_quotes, to_entities
+from relvalue.operators.quotes import match_quotes, to_entities
 from relvalue.operators.rollup import group_rollup
 from relvalue.operators.scores import with_value_capture, with_value_score
 from relvalue.operators.screen import ScreenSpec, default_order, passes
@@ -24,11 +24,9 @@ class ScreenerResult:
     meta: DataFrame
 
 
-def entities(
-    listing: DataFrame, flow: DataFrame, market: DataFrame, quotes: int | None = TOP_QUOTES
-) -> DataFrame:
+def entities(listing: DataFrame, flow: DataFrame, market: DataFrame) -> DataFrame:
     """One row per parent entity, fundamentals and market fields joined."""
-    return to_entities(match_quotes(group_rollup(listing, flow), market, quotes))
+    return to_entities(match_quotes(group_rollup(listing, flow), market))
 
 
 def gated(rows: DataFrame, tvl_sector: Column | None = None) -> DataFrame:
@@ -77,11 +75,10 @@ def build_screener(
     flow: DataFrame,
     market: DataFrame,
     tvl_sector: Column | None = None,
-    quotes: int | None = TOP_QUOTES,
     spec: ScreenSpec = ScreenSpec(),
 ) -> ScreenerResult:
     """Run everything once; the scored rows are written, since three outputs read them."""
-    scored = materialize(score(entities(listing, flow, market, quotes), tvl_sector), "scored")
+    scored = materialize(score(entities(listing, flow, market), tvl_sector), "scored")
     return ScreenerResult(
         rows=scored.orderBy(*default_order()),
         categories=sector_list(scored),

@@ -111,8 +111,6 @@ WEIGHT_PS = 0.25
 WEIGHT_MCAP_TVL = 0.2
 WEIGHT_PF = 0.15
 
-MARKET_PAGES = 4
-MARKET_PAGE_SIZE = 250
 
 # Seconds after which a landed snapshot counts as expired.
 TTL_SECONDS = {

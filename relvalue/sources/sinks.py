@@ -1,10 +1,12 @@
 """Publish a result as JSON, whole or not at all."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relvalue.operators.screen import ScreenSpec, numbered
 from relvalue.plans.screener import ScreenerResult
 
 # Field names of a published row, and the failure message.
@@ -52,8 +54,9 @@ FAILURE = "데이터를 불러오지 못했습니다."
 
 
 def response_rows(rows: DataFrame) -> DataFrame:
-    """Scored rows under their published field names."""
-    return rows.select(
+    """Scored rows under their published field names, with their ``rank`` in the default order."""
+    return numbered(rows, ScreenSpec()).select(
+        "rank",
         *[F.col(ours).alias(theirs) for ours, theirs in ROW_FIELDS.items()],
         F.expr(
             "named_struct('pf', multiples.pf, 'ps', multiples.ps, 'phr', multiples.phr, "
@@ -71,26 +74,34 @@ def response_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def publish(result: ScreenerResult, folder: str) -> None:
-    """Rows and sectors first, the one metadata row last: its ``_SUCCESS`` marks the result as whole."""
+def _write(df: DataFrame, folder: str) -> None:
+    df.write.option("ignoreNullFields", "false").json(folder)
 
-    def write(df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
 
-    write(response_rows(result.rows), "rows")
-    write(result.categories, "categories")
+def publish(result: ScreenerResult, folder: str) -> str:
+    """Write a run folder of its own, then let ``<folder>/current`` point to it; return the run's name.
+
+    Readers follow ``current`` (one object, ``{"run": name}``), so a run is seen whole or not at all, and
+    a run that fails leaves what they saw before.
+    """
+    run = f"run-{uuid.uuid4().hex}"
+    _write(response_rows(result.rows), f"{folder}/{run}/rows")
+    _write(result.categories, f"{folder}/{run}/categories")
     meta = result.meta.select(
         F.col("updated_at").alias("updatedAt"), F.col("fdv_coverage").alias("fdvCoverage"), "shown", "total", "preset"
     )
-    write(meta.coalesce(1), "meta")
+    _write(meta.coalesce(1), f"{folder}/{run}/meta")
+    pointer = result.rows.sparkSession.createDataFrame([(run,)], "run STRING")
+    pointer.coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    return run
 
 
 def publish_run(spark: SparkSession, build: Callable[[], ScreenerResult], folder: str) -> bool:
-    """Build and publish into a fresh folder; on any failure leave one error object and no result."""
+    """Build and publish; on any failure leave one error object in a folder of its own, and no pointer to it."""
     try:
         publish(build(), folder)
-    except Exception as failure:  # whatever stops the run is reported, none of it is half-published
+    except Exception as failure:  # whatever stops the run is reported, none of it is shown
         error = spark.createDataFrame([(FAILURE, str(failure))], "error STRING, detail STRING")
-        error.coalesce(1).write.mode("overwrite").json(f"{folder}/error")
+        _write(error.coalesce(1), f"{folder}/failed-{uuid.uuid4().hex}")
         return False
     return True

@@ -3,12 +3,12 @@
 Layout: ``<root>/<source>/snapshot_ts=<yyyy-MM-ddTHH-mm-ss>/*.json`` for the sources listing,
 fees, revenue, holder_revenue, volume and market, the time in UTC; market files lie in
 ``page=<n>`` folders.
-A large feed lands as many files, numbered in their names: the number orders the files,
-and each file is read by one task.
+A large feed lands as many files, whose paths in text order give the order of their rows;
+each file is read by one task.
 """
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
@@ -24,10 +24,9 @@ _ROWS_PER_FILE = 1 << 40
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: its text, its path and the base of its row positions. Scans skip empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
-    number = F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("bigint")
-    return files.withColumn("text", F.col("content").cast("string")).withColumn(
-        "base", F.coalesce(number, F.lit(0)) * _ROWS_PER_FILE
-    )
+    # One row per file, without its content: a small table whatever the size of the feed.
+    order = files.select("path").distinct().withColumn("nth", F.row_number().over(Window.orderBy("path")).cast("bigint"))
+    return files.join(order, "path").withColumns({"text": F.col("content").cast("string"), "base": (F.col("nth") - 1) * _ROWS_PER_FILE})
 
 
 def _required(documents: DataFrame, path: str) -> DataFrame:
@@ -91,23 +90,27 @@ def read_flows(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return flows
 
 
-def read_market(spark: SparkSession, path: str | None, pages: int = S.MARKET_PAGES) -> DataFrame:
-    """The paged market feed. The first page that is missing or unreadable ends it; earlier pages count.
+def read_market(spark: SparkSession, path: str | None) -> DataFrame:
+    """The paged market feed. The first page that is missing or unreadable ends it; all earlier pages count.
 
-    The feed is optional: without a folder there are no quotes.
+    The feed is optional: without a folder there are no quotes. Any other failure to read it is one.
     """
     columns = _typed(S.MARKET, {"page", "pos"})
+    nothing = spark.createDataFrame([], S.ddl(S.MARKET))
+    if path is None:
+        return nothing
     try:
-        if path is None:
-            raise FileNotFoundError
         documents = _documents(spark, path)
-    except (AnalysisException, FileNotFoundError):
-        return spark.createDataFrame([], S.ddl(S.MARKET))
+    except AnalysisException as failure:
+        if failure.getCondition() == "PATH_NOT_FOUND":
+            return nothing
+        raise
     read = documents.withColumn("items", F.from_json("text", "array<variant>"))
+    landed = read.select(F.col("page").cast("bigint").alias("id")).distinct()
     unreadable = read.where("items IS NULL").select(F.col("page").cast("bigint").alias("id"))
-    missing = spark.range(1, pages + 1).join(read.select(F.col("page").cast("bigint").alias("id")), "id", "left_anti")
-    stop = F.coalesce(F.min("id"), F.lit(pages + 1))
-    first_gap = missing.unionByName(unreadable).select(stop).scalar()
+    # The page after a landed one (or the first) that did not land itself; there always is one.
+    following = landed.select((F.col("id") + 1).alias("id")).unionByName(spark.range(1, 2))
+    first_gap = following.join(landed, "id", "left_anti").unionByName(unreadable).select(F.min("id")).scalar()
     good = read.where(F.col("page") < first_gap)
     return _array_rows(good, F.col("items"), "page").select(F.col("page").cast("int").alias("page"), "pos", *columns)
 
@@ -145,17 +148,27 @@ def freshness(spark: SparkSession, root: str, now: Column | None = None) -> Data
     )
 
 
-def read_latest(spark: SparkSession, root: str) -> Feeds:
-    """The newest snapshot of every source. All but the market feed are required."""
-    newest = {r.source: r.snapshot_ts for r in freshness(spark, root).collect()}  # one row per source: six
-
+def _feeds(spark: SparkSession, root: str, taken: dict[str, str]) -> Feeds:
     def folder(source: str) -> str:
-        if source not in newest:
+        if source not in taken:
             raise FileNotFoundError(f"no snapshot of {source} in {root}")
-        return f"{root}/{source}/snapshot_ts={newest[source]}"
+        return f"{root}/{source}/snapshot_ts={taken[source]}"
 
     return Feeds(
         listing=read_listing(spark, folder("listing")),
         flow=read_flows(spark, {m: folder(m) for m in S.METRICS}),
-        market=read_market(spark, folder("market") if "market" in newest else None),
+        market=read_market(spark, folder("market") if "market" in taken else None),
     )
+
+
+def read_latest(spark: SparkSession, root: str) -> Feeds:
+    """The newest snapshot of every source. All but the market feed are required."""
+    return _feeds(spark, root, {r.source: r.snapshot_ts for r in freshness(spark, root).collect()})  # one row per source: six
+
+
+def read_snapshot(spark: SparkSession, root: str, snapshot_ts: str) -> Feeds:
+    """Exactly the snapshots of this time; the market feed, which is taken less often, the newest up to it."""
+    upto = snapshots(spark, root).where(F.col("snapshot_ts") <= snapshot_ts)
+    newest = upto.groupBy("source").agg(F.max("snapshot_ts").alias("snapshot_ts"))
+    taken = newest.where((F.col("snapshot_ts") == snapshot_ts) | (F.col("source") == "market")).collect()  # one row per source
+    return _feeds(spark, root, {r.source: r.snapshot_ts for r in taken})

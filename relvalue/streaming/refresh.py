@@ -1,8 +1,8 @@
 """Rebuild and publish the result whenever new snapshots have landed.
 
 The loader drops one small JSON object ``{"snapshot_ts": ..., "root": ...}`` into a ready
-folder once a set of snapshots is complete. The stream watches that folder; a batch that holds
-several notices is served by its newest, since every snapshot is a full one.
+folder once a set of snapshots is complete. The stream watches that folder and serves every notice
+of a batch, oldest first, from exactly the snapshots it names.
 """
 
 from collections.abc import Callable
@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from relvalue.operators.materialize import shared_dir
 from relvalue.plans.screener import ScreenerResult, build_screener
 from relvalue.sources.sinks import publish_run
-from relvalue.sources.snapshots import read_latest
+from relvalue.sources.snapshots import read_snapshot
 
 
-def build_from_snapshots(spark: SparkSession, root: str) -> ScreenerResult:
-    feeds = read_latest(spark, root)
+def build_from_snapshots(spark: SparkSession, root: str, snapshot_ts: str) -> ScreenerResult:
+    feeds = read_snapshot(spark, root, snapshot_ts)
     return build_screener(feeds.listing, feeds.flow, feeds.market)
 
 
@@ -26,24 +25,25 @@ def refresh(
     spark: SparkSession,
     ready: str,
     target: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     once: bool = True,
-    build: Callable[[SparkSession, str], ScreenerResult] = build_from_snapshots,
+    build: Callable[[SparkSession, str, str], ScreenerResult] = build_from_snapshots,
 ) -> StreamingQuery:
     """Start the stream; with ``once`` it serves what has landed and ends.
 
-    A restarted batch publishes into the same folder again, so a lost driver does no harm.
+    ``checkpoint`` belongs to this stream alone. A notice that can't be served leaves its error object and
+    fails the stream, so the batch is served again at the next start; runs already published stay.
     """
 
     def serve(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(F.struct("snapshot_ts", "root")).alias("notice")).first().notice
-        if newest is not None:
-            publish_run(spark, lambda: build(spark, newest.root), f"{target}/snapshot_ts={newest.snapshot_ts}")
+        # one row for each set of snapshots that landed since the last batch
+        for notice in batch.distinct().orderBy("snapshot_ts", "root").toLocalIterator():
+            folder = f"{target}/snapshot_ts={notice.snapshot_ts}"
+            if not publish_run(spark, lambda: build(spark, notice.root, notice.snapshot_ts), folder):  # noqa: B023
+                raise RuntimeError(f"no result for {notice.snapshot_ts}; see {folder}")
 
     notices = spark.readStream.schema("snapshot_ts STRING, root STRING").json(ready)
-    writer = notices.writeStream.foreachBatch(serve).option(
-        "checkpointLocation", checkpoint or f"{shared_dir(spark).rstrip('/')}/refresh"
-    )
+    writer = notices.writeStream.foreachBatch(serve).option("checkpointLocation", checkpoint)
     if once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime="1 minute").start()

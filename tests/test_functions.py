@@ -72,5 +72,7 @@ def test_weighted_mean(spark):
     assert [r.x for r in rows.select(mean.alias("x")).collect()] == [1.0, None, 2.5]
 
 
-def test_micros(spark):
-    assert evaluate(spark, maths.to_micros, [0.1 + 0.2, 1e15 + 0.25, None, -0.1 - 0.2]) == [0.3, 1e15 + 0.25, None, -0.3]
+def test_exact_sum(spark):
+    rows = spark.createDataFrame([(0.1,), (0.2,), (None,), (1e300,), (-1e15,)], "a DOUBLE")
+    total = maths.to_double(F.expr(maths.exact_sum("a")))
+    assert rows.agg(total).first()[0] == -999999999999999.7

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,13 +16,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, FOLDER)
-    assert difference(df.columns, df.collect(), con, entry.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, FOLDER)
+    assert difference(df.columns, df.collect(), con, ORACLE[name]) is None
 
 
 def test_entry(spark):

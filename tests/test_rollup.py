@@ -1,7 +1,7 @@
 import pytest
 
 from relvalue import schemas as S
-from relvalue.operators.quotes import market_by_id, market_by_symbol, match_quotes, to_entities, top_market
+from relvalue.operators.quotes import market_by_id, market_by_symbol, market_rows, match_quotes, to_entities
 from relvalue.operators.rollup import flow_rollup, group_rollup, parent_map
 from rows import flow, listing, market
 
@@ -103,8 +103,7 @@ QUOTES = [
 ]
 
 
-@pytest.mark.parametrize("bound", [1000, None])
-def test_quote_match(spark, bound):
+def test_quote_match(spark):
     entries = [
         dict(slug="has-id", gecko_id="big", symbol="zzz", mcap=7.0, change_7d=4.0),
         dict(slug="id-missing", gecko_id="unknown", symbol="SYM", tvl=1.0, change_7d=4.0),
@@ -116,7 +115,7 @@ def test_quote_match(spark, bound):
     ]
     cash = [dict(metric="holder_revenue", slug=s, total30d=1.0) for s in ("by-symbol", "id-missing", "tie", "nothing")]
     cash.append(dict(metric="volume", slug="no-cash", total1y=5.0))
-    matched = match_quotes(group_rollup(listing(spark, *entries), flow(spark, *cash)), market(spark, *QUOTES), bound)
+    matched = match_quotes(group_rollup(listing(spark, *entries), flow(spark, *cash)), market(spark, *QUOTES))
     kinds = {r.k: (r.match_kind, r.gecko_id, r.mcap) for r in matched.collect()}
     assert kinds == {
         "has-id": ("id", "big", 7.0),
@@ -152,8 +151,25 @@ def test_market_lookups(spark):
     assert ids["big"] == 1.0, "the last row of an id wins"
     symbols = {r.key: r.quote.id for r in market_by_symbol(quotes).collect()}
     assert symbols["sym"] == "big" and symbols["twin"] == "twin"
-    assert {r.id for r in top_market(quotes, 2).collect()} == {"big", "small"}
-    assert top_market(quotes, None).count() == 6
+    assert market_rows(quotes).count() == 6
+
+
+def test_every_quote_is_found(spark):
+    """No limit on the feed, and a symbol that most groups share."""
+    n = 3000
+    entries = [dict(slug=f"i{i}", gecko_id=f"q{i}", tvl=1.0) for i in range(n)] + [dict(slug=f"s{i}", symbol="HOT", tvl=1.0) for i in range(n)]
+    flows = [dict(metric="fees", slug=f"s{i}", total1y=5.0) for i in range(n)]
+    quotes = market(spark, *[dict(id=f"q{i}", symbol=f"x{i}", market_cap=1.0 + i) for i in range(n)], dict(id="hot", symbol="hot", market_cap=0.5))
+    rows = match_quotes(group_rollup(listing(spark, *entries), flow(spark, *flows)), quotes).groupBy("match_kind").count().collect()
+    assert {r.match_kind: r["count"] for r in rows} == {"id": n, "symbol": n}
+
+
+@pytest.mark.parametrize("amounts, total", [([4e-7], 4e-7), ([1.23456789], 1.23456789), ([4.5e9 + 0.1, 4.5e9 + 0.2], 9000000000.3), ([9.1e9, 0.1, 1e15, 0.7, 3.3e-9], 1000009100000000.8)])
+def test_sums_are_exact_in_any_order(spark, amounts, total):
+    flows = [dict(metric="fees", slug=f"s{i}", parent=P, total1y=x) for i, x in enumerate(amounts)]
+    for order in (flows, flows[::-1]):
+        rows = flow_rollup(flow(spark, *order).repartition(3)).collect()
+        assert [r.annual for r in rows] == [total]
 
 
 def test_order_of_rows_does_not_matter(spark):

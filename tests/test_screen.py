@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
-from relvalue.operators.screen import SORT_COLUMNS, ScreenSpec, in_range, order_by, screen, top
+from relvalue.operators.screen import SORT_COLUMNS, ScreenSpec, in_range, numbered, order_by, screen, top
 from relvalue.plans.screener import published, result_meta, sector_list
 
 DDL = """
@@ -113,6 +113,11 @@ def test_order(spark):
     # a missing sector sorts as an empty name; case does not count
     assert order(ScreenSpec().select_sort("category")) == ["r1", "r4", "r3", "r2", "r0"]
     assert [(r.rank, r.slug) for r in top(rows, ScreenSpec(), 2).collect()] == [(1, "r2"), (2, "r4")]
+    for key in SORT_COLUMNS:
+        spec = ScreenSpec(sort_key=key)
+        want = [r.slug for r in rows.orderBy(*order_by(spec)).collect()]
+        assert [r.slug for r in sorted(numbered(rows.repartition(4), spec).collect(), key=lambda r: r.rank)] == want
+    assert numbered(rows.limit(0), ScreenSpec()).collect() == []
 
 
 def test_every_sort_key(spark):

@@ -54,6 +54,15 @@ def test_files_keep_their_order(spark, tmp_path):
     assert [r.slug for r in rows] == ["9-0", "9-1", "10-0", "10-1"]
 
 
+def test_files_as_spark_names_them_and_dates(spark, tmp_path):
+    land(tmp_path / "spark", "part-00001-0a-c000.json", [{"slug": "c"}, {"slug": "d"}])
+    land(tmp_path / "spark", "part-00000-ff-c000.json", [{"slug": "a"}, {"slug": "b"}])
+    rows = snapshots.read_listing(spark, str(tmp_path / "spark")).orderBy("pos").collect()
+    assert [r.slug for r in rows] == ["a", "b", "c", "d"] and len({r.pos for r in rows}) == 4
+    land(tmp_path / "date", "listing-20260715.json", [{"slug": "a"}])
+    assert snapshots.read_listing(spark, str(tmp_path / "date")).first().slug == "a"
+
+
 @pytest.mark.parametrize("content", ['[{"slug": "a"', "", '{"error": 1}'])
 def test_broken_listing_fails(spark, tmp_path, content):
     land(tmp_path, "a.json", content)
@@ -84,7 +93,7 @@ def test_flow_feed(spark, tmp_path):
 @pytest.mark.parametrize(
     "pages, kept",
     [
-        ({1: "ok", 2: "ok", 3: "ok", 4: "ok", 5: "ok"}, {1, 2, 3, 4}),
+        ({p: "ok" for p in range(1, 13)}, set(range(1, 13))),
         ({1: "ok", 2: "ok", 4: "ok"}, {1, 2}),
         ({1: "ok", 2: '[{"id": ', 3: "ok"}, {1}),
         ({2: "ok"}, set()),
@@ -135,40 +144,71 @@ def test_publish(spark, tmp_path):
     assert sinks.publish_run(spark, lambda: result, target)
     shown = headed(report(published(result.rows)))
     assert len(shown.columns) == 15 and shown.first()["시총"] == "$5.00B"
-    rows = read_json(f"{target}/rows")
-    assert [r["slug"] for r in rows] == ["a", "b"]
+    run = f"{target}/{read_json(f'{target}/current')[0]['run']}"
+    rows = sorted(read_json(f"{run}/rows"), key=lambda r: r["rank"])
+    assert [(r["rank"], r["slug"]) for r in rows] == [(1, "a"), (2, "b")]
     assert rows[0]["multiples"]["pf"] == 5000.0 and rows[0]["geckoId"] is None
     assert set(rows[0]["valueCapture"]) == {"score", "label", "holderRevenueShare", "signals", "risks"}
-    assert [r["category"] for r in read_json(f"{target}/categories")] == ["Dexs"]
-    meta = read_json(f"{target}/meta")[0]
+    assert [r["category"] for r in read_json(f"{run}/categories")] == ["Dexs"]
+    meta = read_json(f"{run}/meta")[0]
     assert meta["fdvCoverage"] == 0 and meta["total"] == 1 and meta["updatedAt"].endswith("Z")
-    assert os.path.exists(f"{target}/meta/_SUCCESS")
+    assert os.path.exists(f"{run}/meta/_SUCCESS")
 
 
-def test_failed_run_leaves_one_error(spark, tmp_path):
+def test_failed_run_leaves_one_error(spark, tmp_path, monkeypatch):
     target = str(tmp_path / "out")
 
     def broken():
         raise RuntimeError("feed is down")
 
     assert not sinks.publish_run(spark, broken, target)
-    assert os.listdir(target) == ["error"]
-    assert read_json(f"{target}/error") == [{"error": sinks.FAILURE, "detail": "feed is down"}]
+    (failed,) = os.listdir(target)
+    assert failed.startswith("failed-")
+    assert read_json(f"{target}/{failed}") == [{"error": sinks.FAILURE, "detail": "feed is down"}]
+
+    # a good run, then one that fails in its last write: readers keep the good one
+    result = tiny_result(spark)
+    assert sinks.publish_run(spark, lambda: result, target)
+    pointer = read_json(f"{target}/current")
+    write = sinks._write
+
+    def fails_late(df, folder):
+        if folder.endswith("/meta"):
+            raise OSError("disk full")
+        write(df, folder)
+
+    monkeypatch.setattr(sinks, "_write", fails_late)
+    with pytest.raises(OSError):
+        sinks.publish(result, target)
+    assert read_json(f"{target}/current") == pointer
 
 
 def test_refresh(spark, tmp_path):
     root, ready, target = (str(tmp_path / x) for x in ("landing", "ready", "out"))
     land_all(root)
-    land(ready, "1.json", {"snapshot_ts": "2026-07-15T01-00-00", "root": "/nowhere"})
+    land(f"{root}/listing/snapshot_ts=2026-07-15T04-00-00", "listing.json", [{"slug": "half", "mcap": 5e9}])  # not complete
     land(ready, "2.json", {"snapshot_ts": TS, "root": root})
     query = refresh(spark, ready, target, checkpoint=str(tmp_path / "state"))
     query.awaitTermination(120)
-    rows = read_json(f"{target}/snapshot_ts={TS}/rows")
+    shown = f"{target}/snapshot_ts={TS}"
+    rows = read_json(f"{shown}/{read_json(f'{shown}/current')[0]['run']}/rows")
     assert [(r["slug"], r["name"], r["symbol"], r["mcap"]) for r in rows] == [("a", "Alpha", "AL", 5e9)]
     assert os.listdir(target) == [f"snapshot_ts={TS}"]
     refresh(spark, ready, target, checkpoint=str(tmp_path / "state")).awaitTermination(120)
 
 
+def test_failed_refresh_is_served_again(spark, tmp_path):
+    root, ready, target = (str(tmp_path / x) for x in ("landing", "ready", "out"))
+    land(ready, "1.json", {"snapshot_ts": TS, "root": root})
+    query = refresh(spark, ready, target, checkpoint=str(tmp_path / "state"))
+    with pytest.raises(PySparkException):
+        query.awaitTermination(120)
+    assert all(name.startswith("failed-") for name in os.listdir(f"{target}/snapshot_ts={TS}"))
+    land_all(root)
+    refresh(spark, ready, target, checkpoint=str(tmp_path / "state")).awaitTermination(120)
+    assert "current" in os.listdir(f"{target}/snapshot_ts={TS}")
+
+
 def test_materialize_uses_the_named_folder(spark):
     before = set(os.listdir(shared_dir(spark)))
     table = materialize(spark.range(3), "numbers")

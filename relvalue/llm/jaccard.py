@@ -5,8 +5,10 @@ share a token among the first ``n - ceil(t * n) + 1`` of each set. Three orders
 of them tokens that many documents share come last, by how often they were met, and the others
 in a scrambled order of its own.
 
-1. Every document becomes a set; equal sets are one set from here on.
-2. Prefix tokens under the first order meet in hash buckets; those of two sets or more are kept.
+1. Every document becomes a set; equal sets are one set from here on. All tokens meet in hash
+   buckets, and each set learns how many of its tokens others have too. One with fewer than
+   ``t * n`` of them can't link: under an order that puts rare tokens first, its prefix meets nobody.
+2. Prefix tokens of the other sets under the first order meet in hash buckets; those of two sets or more are kept.
 3. Each set is tried against one pivot, the set that heads most of its prefix tokens. What links
    is joined into components; that takes a group of near copies in as many pairs as it has sets.
 4. Pairs that share a prefix token and are still in different components are the rest of the
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from relvalue.llm.arrow import column, portions, strings
 from relvalue.llm.components import components
 from relvalue.llm.hashing import chunks_by, mix, runs, word_hashes
+from relvalue.llm.messages import ADDRESSED, addressed
 from relvalue.llm.scratch import Scratch, bucket_count
 
 WORDS = 5
@@ -67,45 +70,120 @@ def prefix(tokens: np.ndarray, order: int, common: np.ndarray, times: np.ndarray
 
 
 def _sets(words: int):
-    """_row, doc_id, n_shingles, set_id, check; a batch's first row carries the tokens its sets share."""
+    """_row, doc_id, n_shingles, set_id, check of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
-            n, ids, checks, distinct = [], [], [], {}
+            n, ids, checks = [], [], []
             for text in strings(column(batch, "text")):
                 tokens = shingles(text, words)
                 one, two = identity(tokens)
                 n.append(len(tokens))
                 ids.append(one if len(tokens) else None)
                 checks.append(two)
-                distinct[one] = tokens
-            all_tokens = np.sort(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]))
-            starts = np.flatnonzero(np.r_[True, all_tokens[1:] != all_tokens[:-1]]) if len(all_tokens) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[starts, len(all_tokens)])
-            shared = [all_tokens[starts[times > 1]].astype("<u8").tobytes(), times[times > 1].astype("<i8").tobytes()]
-            blank = [None] * (batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "_row"), column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(checks, pa.int64()),
-                 *(pa.array([x, *blank], pa.binary()) for x in shared)],
-                ["_row", "doc_id", "n_shingles", "set_id", "check", "tokens", "times"])
+                [column(batch, "_row"), column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(checks, pa.int64())],
+                ["_row", "doc_id", "n_shingles", "set_id", "check"])
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def dealt(tokens: np.ndarray, owner: np.ndarray, ids: np.ndarray, bits: int, kind: str) -> pa.RecordBatch:
+    """Tokens by bucket, in each bucket by the set that owns them; ``kind`` u4 keeps 32 bits beside the bucket's."""
+    bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, tokens, owner = bucket[order], tokens[order], owner[order]
+    if kind == "<u4":
+        tokens = tokens >> np.uint64(32 - bits)
+    out = []
+    for b, low, high in chunks_by(bucket):
+        inside = chunks_by(owner[low:high])
+        own = np.array([o for o, _, _ in inside])
+        counts = np.array([e - s for _, s, e in inside], "<u4")
+        out.append((b, ids[own].tobytes(), counts.tobytes(), tokens[low:high].astype(kind).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32()] + [pa.binary()] * 3)], ["bucket", "ids", "counts", "tokens"])
+
+
+DEALT = "bucket int, ids binary, counts binary, tokens binary"
+
+
+def _all_tokens(words: int, bits: int):
+    """The tokens of all sets, by bucket; a batch's equal sets count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text"):
+            distinct = {}
+            for text in strings(column(batch, "text")):
+                tokens = shingles(text, words)
+                if len(tokens):
+                    distinct.setdefault(identity(tokens)[0], tokens)
+            if distinct:
+                owner = np.repeat(np.arange(len(distinct)), [len(x) for x in distinct.values()])
+                yield dealt(np.concatenate(list(distinct.values())), owner, np.array(list(distinct), "<i8"), bits, "<u4")
+
+    return run
+
+
+def _repeated(bits: int):
+    """How many tokens of a bucket each set shares with others, addressed to the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, current = Recurring(), -1
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if seen.size:
+                ids, times = np.unique(seen.settle()[1], return_counts=True)
+                yield addressed(ids, times.astype("<u4"), bits)
+
+        for batch in batches:
+            for b, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != current:
+                    yield from settled()
+                    seen, current = Recurring(), b
+                ids, counts, tokens = (np.frombuffer(x, t) for x, t in zip(blobs, ("<i8", "<u4", "<u4")))
+                seen.add(tokens, np.repeat(ids, counts))
+                if seen.size >= PENDING:
+                    yield from settled()
+        yield from settled()
+
+    return run
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of what each set of a part was told."""
+    rows, told = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for batch in batches:
-        for tokens, times in zip(*(c.to_pylist() for c in batch.columns)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tokens, "<i8")), pa.array(np.frombuffer(times, "<i8"))], ["token", "times"])
+        rows += [np.frombuffer(x, "<i8") for x in column(batch, "_rows").to_pylist()]
+        told += [np.frombuffer(x, "<u4") for x in column(batch, "_told").to_pylist()]
+        if sum(map(len, rows[1:])) >= PENDING:
+            rows, told = ([x] for x in _summed(rows, told))
+    ids, total = _summed(rows, told)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64())], ["set_id", "total"])
+
+
+def _summed(rows: list[np.ndarray], told: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids, which = np.unique(np.concatenate(rows), return_inverse=True)
+    return ids, np.bincount(which, np.concatenate(told), len(ids)).astype(np.int64)
+
 
+def _batch_tokens(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in column(batch, "tokens").to_pylist()]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens that a batch holds more than once, and how often."""
+    for batch in portions(batches, "tokens"):
+        tokens, times = np.unique(np.concatenate(_batch_tokens(batch)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[times > 1].view(np.int64)), pa.array(times[times > 1].astype(np.int64))], ["token", "times"])
 
-def common_tokens(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+
+def common_tokens(vectors: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """At most ``most`` tokens, sorted, and how often they were met more than once within a batch.
 
     The bound holds because of the threshold: no more than ``most`` tokens can each have a
     ``most``-th part of the sum.
     """
-    met = sets.where("tokens is not null").select("tokens", "times").mapInArrow(_met, "token long, times long")
-    met = met.groupBy("token").agg(F.sum("times").alias("times"))
+    met = vectors.select("tokens").mapInArrow(_met, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     total = met.agg(F.sum("times")).first()[0] or 0
     found = met.where(F.col("times") >= max(2, -(-total // most))).toPandas()
     tokens, times = found["token"].to_numpy(np.int64).view(np.uint64), found["times"].to_numpy(np.int64)
@@ -113,35 +191,14 @@ def common_tokens(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], times[order]
 
 
-def _prefixes(words: int, percent: int, bits: int, common):
-    """Prefix tokens under the first order, by bucket; a batch's equal sets count once."""
+def _prefixes(percent: int, bits: int, common):
+    """Prefix tokens under the first order, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text"):
-            distinct = {}
-            for text in strings(column(batch, "text")):
-                tokens = shingles(text, words)
-                if len(tokens):
-                    distinct.setdefault(identity(tokens)[0], tokens)
-            if not distinct:
-                continue
-            first = [prefix(x, 0, *common.value, percent) for x in distinct.values()]
-            sizes = [len(x) for x in first]
-            tokens = np.concatenate(first)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            ids = np.array(list(distinct), "<i8")
-            n = np.array([len(x) for x in distinct.values()], "<u4")
-            bucket = (tokens >> np.uint64(64 - bits)).astype(np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, tokens, owner = bucket[order], tokens[order], owner[order]
-            out = []
-            for b, low, high in chunks_by(bucket):
-                inside = chunks_by(owner[low:high])
-                own = np.array([o for o, _, _ in inside])
-                counts = np.array([e - s for _, s, e in inside], "<u4")
-                out.append((b, ids[own].tobytes(), n[own].tobytes(), counts.tobytes(), tokens[low:high].tobytes()))
-            types = [pa.int32()] + [pa.binary()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["bucket", "ids", "n", "counts", "tokens"])
+        for batch in portions(batches, "tokens"):
+            first = [prefix(x, 0, *common.value, percent) for x in _batch_tokens(batch)]
+            owner = np.repeat(np.arange(len(first)), [len(x) for x in first])
+            yield dealt(np.concatenate(first), owner, column(batch, "set_id").to_numpy(), bits, "<u8")
 
     return run
 
@@ -150,45 +207,45 @@ class Recurring:
     """A bucket's tokens; those of a second set are given out with both sets, and with every later one."""
 
     def __init__(self) -> None:
-        self.held = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.uint32, np.bool_))  # token, a set of it, its size, given out or not
+        self.held: tuple[np.ndarray, ...] | None = None  # each token once, with a set of it, and whether that is given out
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, tokens: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        self.parts.append((tokens, ids, n, np.zeros(len(tokens), np.bool_)))
+    def add(self, tokens: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((tokens, ids, np.zeros(len(tokens), np.bool_)))
         self.size += len(tokens)
 
-    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        tokens, ids, n, out = (np.concatenate(x) for x in zip(self.held, *self.parts))
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and sets to give out now."""
+        tokens, ids, out = (np.concatenate(x) for x in zip(*([self.held] if self.held else []), *self.parts))
         self.parts, self.size = [], 0
         order = np.lexsort((~out, ids, tokens))
-        tokens, ids, n, out = (x[order] for x in (tokens, ids, n, out))
-        opens = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.zeros(0, bool)
-        fresh = opens | np.r_[True, ids[1:] != ids[:-1]][: len(tokens)]  # a set counts once
-        tokens, ids, n, out, opens = (x[fresh] for x in (tokens, ids, n, out, opens))
-        starts = np.flatnonzero(opens)
-        many = np.diff(np.r_[starts, len(tokens)]) > 1
-        done = np.logical_or.reduceat(out, starts) if len(starts) else np.zeros(0, bool)
-        give = np.repeat(many, np.diff(np.r_[starts, len(tokens)])) & ~out
-        self.held = (tokens[starts], ids[starts], n[starts], many | done)
-        return tokens[give], ids[give], n[give]
+        tokens, ids, out = (x[order] for x in (tokens, ids, out))
+        fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])]  # a set counts once
+        tokens, ids, out = (x[fresh] for x in (tokens, ids, out))
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        sizes = np.diff(np.r_[starts, len(tokens)])
+        give = np.repeat(sizes > 1, sizes) & ~out
+        self.held = (tokens[starts], ids[starts], (sizes > 1) | np.logical_or.reduceat(out, starts))
+        return tokens[give], ids[give]
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens that more than one set has in its prefix, with each of those sets; a partition is one bucket."""
     seen, current = Recurring(), -1
 
     def settled() -> Iterator[pa.RecordBatch]:
         if seen.size:
-            tokens, ids, n = seen.settle()
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(ids), pa.array(n.astype(np.int64))], ["token", "set_id", "n"])
+            tokens, ids = seen.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(ids)], ["token", "set_id"])
 
     for batch in batches:
         for b, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
             if b != current:
                 yield from settled()
                 seen, current = Recurring(), b
-            ids, n, counts, tokens = (np.frombuffer(x, t) for x, t in zip(blobs, ("<i8", "<u4", "<u4", "<u8")))
-            seen.add(tokens, np.repeat(ids, counts), np.repeat(n, counts))
+            ids, counts, tokens = (np.frombuffer(x, t) for x, t in zip(blobs, ("<i8", "<u4", "<u8")))
+            seen.add(tokens, np.repeat(ids, counts))
             if seen.size >= PENDING:
                 yield from settled()
     yield from settled()
@@ -199,19 +256,25 @@ def _short(tokens: np.ndarray) -> np.ndarray:
     return np.unique((tokens >> np.uint64(16)).astype(np.uint32))
 
 
-def _vectors(words: int, percent: int, orders: int, common):
-    """set_id, its size, its prefixes under the other orders, its tokens."""
+def _vectors(words: int):
+    """set_id, its size, its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
-            n, filters, all_tokens = [], [], []
-            for text in strings(column(batch, "text")):
-                tokens = shingles(text, words)
-                n.append(len(tokens))
-                filters.append([_short(prefix(tokens, k, *common.value, percent)).tobytes() for k in range(1, orders)])
-                all_tokens.append(tokens.astype("<u8").tobytes())
+            tokens = [shingles(text, words) for text in strings(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "set_id"), pa.array(n, pa.int64()), pa.array(filters, pa.list_(pa.binary())), pa.array(all_tokens, pa.binary())], ["set_id", "n", "filters", "tokens"])
+                [column(batch, "set_id"), pa.array(map(len, tokens), pa.int64()), pa.array([x.astype("<u8").tobytes() for x in tokens], pa.binary())], ["set_id", "n", "tokens"])
+
+    return run
+
+
+def _filters(percent: int, orders: int, common):
+    """set_id, its size, its prefixes under the other orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "tokens"):
+            filters = [[_short(prefix(x, k, *common.value, percent)).tobytes() for k in range(1, orders)] for x in _batch_tokens(batch)]
+            yield pa.RecordBatch.from_arrays([column(batch, "set_id"), column(batch, "n"), pa.array(filters, pa.list_(pa.binary()))], ["set_id", "n", "filters"])
 
     return run
 
@@ -243,13 +306,13 @@ def _verified(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, vectors: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _links(pairs: DataFrame, vectors: DataFrame, filters: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that link: first the filters of all orders together, then the exact check."""
-    side = lambda s, *columns: vectors.select(F.col("set_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
+    side = lambda table, s, *columns: table.select(F.col("set_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
     low = lambda one, two: F.lit(100) * F.col(one) >= F.lit(percent) * F.col(two)
-    sized = pairs.join(side("a", "n", "filters"), "a").join(side("b", "n", "filters"), "b").where(low("n_a", "n_b") & low("n_b", "n_a"))
+    sized = pairs.join(side(filters, "a", "n", "filters"), "a").join(side(filters, "b", "n", "filters"), "b").where(low("n_a", "n_b") & low("n_b", "n_a"))
     candidates = scratch.keep(sized.select("a", "b", "filters_a", "filters_b").mapInArrow(_filtered, "a long, b long"), f"{name}_candidates")
-    full = candidates.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
+    full = candidates.join(side(vectors, "a", "tokens"), "a").join(side(vectors, "b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
     return scratch.keep(full.mapInArrow(_verified(percent), "a long, b long"), f"{name}_links")
 
 
@@ -268,31 +331,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = max(1, (bucket_count(docs, 16 << 20) - 1).bit_length())
-    sets = scratch.keep(docs.mapInArrow(_sets(words), "_row long, doc_id long, n_shingles long, set_id long, check long, tokens binary, times binary"), "sets")
+    sets = scratch.keep(docs.mapInArrow(_sets(words), "_row long, doc_id long, n_shingles long, set_id long, check long"), "sets")
     distinct = scratch.keep(
-        sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row"), F.min("check").alias("one"), F.max("check").alias("two")), "distinct")
+        sets.where("set_id is not null").groupBy("set_id").agg(
+            F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row"), F.max("n_shingles").alias("n"), F.min("check").alias("one"), F.max("check").alias("two")), "distinct")
     if not distinct.where("one <> two").isEmpty():
         raise ValueError("two different sets share the first half of their digest")
-    common = spark.sparkContext.broadcast(common_tokens(sets, most_common))
-
-    met = docs.select("text").mapInArrow(_prefixes(words, percent, bits, common), "bucket int, ids binary, n binary, counts binary, tokens binary")
-    met = met.repartitionById(1 << bits, F.col("bucket"))
-    postings = scratch.keep(met.mapInArrow(_postings, "token long, set_id long, n long"), "postings")
-    del met
 
-    wanted = postings.select("set_id").distinct().join(distinct.select("set_id", "_row"), "set_id")
+    met = docs.select("text").mapInArrow(_all_tokens(words, bits), DEALT).repartitionById(1 << bits, F.col("bucket"))
+    repeated = scratch.keep(met.mapInArrow(_repeated(bits), ADDRESSED), "repeated")
+    totals = repeated.repartitionById(1 << bits, F.col("_part")).mapInArrow(_totals, "set_id long, total long")
+    wanted = distinct.join(totals, "set_id").where(F.lit(100) * F.col("total") >= F.lit(percent) * F.col("n")).select("set_id", "_row")
     texts = docs.select("_row", "text").join(wanted, "_row").groupBy("set_id").agg(F.first("text").alias("text"))
-    vectors = scratch.keep(texts.mapInArrow(_vectors(words, percent, orders, common), "set_id long, n long, filters array<binary>, tokens binary"), "vectors")
-    del wanted, texts
+    vectors = scratch.keep(texts.mapInArrow(_vectors(words), "set_id long, n long, tokens binary"), "vectors")
+    scratch.drop("repeated")
+
+    common = spark.sparkContext.broadcast(common_tokens(vectors, most_common))
+    filters = scratch.keep(vectors.mapInArrow(_filters(percent, orders, common), "set_id long, n long, filters array<binary>"), "filters")
+    met = vectors.select("set_id", "tokens").mapInArrow(_prefixes(percent, bits, common), DEALT).repartitionById(1 << bits, F.col("bucket"))
+    postings = scratch.keep(met.mapInArrow(_postings, "token long, set_id long"), "postings")
 
     heads = postings.groupBy("token").agg(F.min("set_id").alias("head"))
     tried = postings.join(heads, "token").where("set_id <> head").groupBy("set_id", "head").agg(F.count(F.lit(1)).alias("shared"))
     tried = scratch.keep(tried.groupBy("set_id").agg(F.max_by("head", F.struct("shared", "head")).alias("b")).select(F.col("set_id").alias("a"), "b"), "pivots")
-    links = _links(tried, vectors, percent, scratch, "pivots")
+    links = _links(tried, vectors, filters, percent, scratch, "pivots")
     joined = components(links, scratch, "near")
 
     label = joined.select(F.col("node").alias("set_id"), F.col("component"))
-    labelled = scratch.keep(postings.distinct().join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "labelled")
+    sized = postings.distinct().join(filters.select("set_id", "n"), "set_id")
+    labelled = scratch.keep(sized.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = scratch.keep(labelled.join(mixed, "token", "left_semi"), "open")
     main = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
@@ -303,9 +370,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rest = left.join(right, "token").where(near & (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y"))))
     rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(_links(scratch.keep(rest, "rest"), vectors, percent, scratch, "rest"))
+    links = links.unionByName(_links(scratch.keep(rest, "rest"), vectors, filters, percent, scratch, "rest"))
     joined = scratch.keep(components(links, scratch, "all"), "components")
-    scratch.drop("postings", "vectors", "labelled", "open", "rest", "pivots")
+    scratch.drop("postings", "vectors", "filters", "labelled", "open", "rest", "pivots")
 
     placed = distinct.select("set_id", "doc_id").join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from relvalue.llm.arrow import column, portions, strings
 from relvalue.llm.hashing import chunks_by, runs, word_hashes
+from relvalue.llm.messages import ADDRESSED, addressed, delivered
 from relvalue.llm.scratch import Scratch, bucket_count
 
 WINDOW = 20
@@ -100,26 +101,6 @@ class Anchors:
         return np.r_[self.first[late], owners[keep]], np.r_[self.index[late], self.index[at[keep]]]
 
 
-def _addressed(rows: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
-    """One row for each part of the documents: the documents' keys, and what each is told."""
-    part = rows & (1 << bits) - 1
-    order = np.lexsort((rows, part))
-    rows, values, part = rows[order], values[order], part[order]
-    out = [(p, rows[a:b].tobytes(), values[a:b].tobytes()) for p, a, b in chunks_by(part)]
-    parts, keys, told = zip(*out) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(told, pa.binary())], ["_part", "_rows", "_told"])
-
-
-ADDRESSED = "_part int, _rows binary, _told binary"
-
-
-def _delivered(docs: DataFrame, messages: DataFrame, bits: int) -> DataFrame:
-    """Documents (with ``_row``) and what they are told in one partition for each part, messages first."""
-    docs = docs.withColumn("_part", F.col("_row").bitwiseAND((1 << bits) - 1).cast("int"))
-    both = docs.unionByName(messages, allowMissingColumns=True).withColumn("_kind", F.col("_rows").isNull())
-    return both.repartitionById(1 << bits, F.col("_part")).sortWithinPartitions("_kind")
-
-
 class Told:
     """The messages of one part, and what they tell each document."""
 
@@ -163,10 +144,10 @@ def _hits(bits: int):
                 blocks.append(what.astype(np.uint64) | np.uint64(b) << np.uint64(32))
                 size += len(who)
                 if size >= PENDING:
-                    yield _addressed(np.concatenate(owners), np.concatenate(blocks), bits)
+                    yield addressed(np.concatenate(owners), np.concatenate(blocks), bits)
                     owners, blocks, size = [], [], 0
         if size:
-            yield _addressed(np.concatenate(owners), np.concatenate(blocks), bits)
+            yield addressed(np.concatenate(owners), np.concatenate(blocks), bits)
 
     return run
 
@@ -246,7 +227,7 @@ def _repeats(bits: int):
 
         def settled() -> Iterator[pa.RecordBatch]:
             if seen.size:
-                yield _addressed(*seen.settle(), bits)
+                yield addressed(*seen.settle(), bits)
 
         for batch in batches:
             for b, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
@@ -318,11 +299,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = met.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket", "kind")
     hits = scratch.keep(met.mapInArrow(_hits(bits), ADDRESSED), "hits")
 
-    around = _delivered(docs.select(key, rank, "text"), hits, bits)
+    around = delivered(docs.select(key, rank, "text"), hits, bits)
     windows = around.mapInArrow(_windows(block, window, bits), "bucket int, rows binary, docs binary, counts binary, starts binary, keys binary, checks binary")
     windows = windows.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
     repeats = scratch.keep(windows.mapInArrow(_repeats(bits), ADDRESSED), "repeats")
     scratch.drop("hits")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _delivered(docs.withColumn("_row", F.xxhash64("doc_id", "text")), repeats, bits).mapInArrow(_cut(window), f"{fields}, repeats {REPEATS}")
+    return delivered(docs.withColumn("_row", F.xxhash64("doc_id", "text")), repeats, bits).mapInArrow(_cut(window), f"{fields}, repeats {REPEATS}")

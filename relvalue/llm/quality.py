@@ -25,8 +25,8 @@ from relvalue.llm.scratch import Scratch
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: A group of fewer documents is judged with the rest of its language, or with all that is left.
-LEAST_ROWS = 100
+#: A group of fewer documents is judged with the rest of its language, and a rest of fewer by all documents.
+LEAST_ROWS = 50
 CORE = 0.75
 STEPS = 4
 #: The chi-square quantile of five statistics that one in about seven million exceeds.
@@ -170,8 +170,8 @@ def judge(docs: DataFrame, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF,
     """_row, doc_id, the statistics, base_failed, distance and kept for each row of ``docs`` (doc_id, text, lang, source).
 
     Documents that pass the base rules make up the groups: a language and source, with fewer than
-    ``least_rows`` of them the rest of the language, else the rest of all; a last rest of fewer
-    has no verdict (distance is null) and is kept. Null languages and sources count as empty
+    ``least_rows`` of them the rest of the language; where that is too small as well, all
+    documents. If these are fewer, too, there is no verdict (distance is null) and they are kept. Null languages and sources count as empty
     ones, null texts as empty texts, which fail the base rules. Missing lang or source columns
     count as null. Repeated rows each keep their row.
     """
@@ -186,9 +186,11 @@ def judge(docs: DataFrame, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF,
     keyed = found.withColumns({"_lang": lang, "_source": source}).join(groups, ["_lang", "_source"], "left").drop("_lang", "_source")
     points = scratch.keep(keyed.withColumns(dict(zip(XS, transformed()))).drop("lang", "source"), "points")
     scratch.drop("statistics", "groups")
-    own = points.where(~F.col("base_failed"))
+    own = points.where(~F.col("base_failed")).select("_key", *XS)
+    if not own.where("_key = 'c'").isEmpty():
+        own = own.where("_key <> 'c'").unionByName(own.withColumn("_key", F.lit("c")))
     enough = own.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows).select("_key")
-    fitted = estimates(own.join(enough, "_key", "left_semi").select("_key", *XS), scratch, core)
+    fitted = estimates(own.join(enough, "_key", "left_semi"), scratch, core)
     distance = F.when(~F.col("base_failed"), _distance()).alias("distance")
     judged = points.join(fitted, "_key", "left").select("_row", "doc_id", *STATISTICS, "base_failed", distance)
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))

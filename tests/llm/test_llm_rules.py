@@ -177,7 +177,7 @@ def test_boosting_learns_an_interaction():
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
-    from tests.llm.test_llm_near import brute_components, brute_repeats
+    from test_llm_near import brute_components, brute_repeats
 
     rows = make_docs(5, 200)[:-2]
     rnd = random.Random(1)

@@ -9,10 +9,13 @@ in a scrambled order of its own.
    buckets, and each set learns how many of its tokens others have too. One with fewer than
    ``t * n`` of them can't link: under an order that puts rare tokens first, its prefix meets nobody.
 2. Prefix tokens of the other sets under the first order meet in hash buckets; those of two sets or more are kept.
-3. Each set is tried against one pivot, the set that heads most of its prefix tokens. What links
-   is joined into components; that takes a group of near copies in as many pairs as it has sets.
+3. Each set is tried against one pivot, the set that heads most of its prefix tokens: the one with
+   the least of its own. What links is joined into components; that takes a group of near copies in
+   as many pairs as it has sets.
 4. Pairs that share a prefix token and are still in different components are the rest of the
-   candidates. Where one component holds most sets of a token, only the others are paired up.
+   candidates, if both share enough tokens with others, inside and outside a pivot they have in common, for
+   a link of sets of their sizes. Where
+   one component holds most sets of a token, only the others are paired up.
 5. Candidates must share prefix tokens under the other orders too. What is left is verified.
 """
 
@@ -294,26 +297,29 @@ def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(percent: int):
+    """Each pair with the size of its intersection, and whether it links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            shared, linked = [], []
             for x, y in zip(column(batch, "tokens_a").to_pylist(), column(batch, "tokens_b").to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = common_count(x, y)
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                shared.append(both)
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "shared", "linked"])
 
     return run
 
 
 def _links(pairs: DataFrame, vectors: DataFrame, filters: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link: first the filters of all orders together, then the exact check."""
+    """The pairs (a, b) that pass the filters of all orders together, with the exact ``shared`` and ``linked``."""
     side = lambda table, s, *columns: table.select(F.col("set_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
     low = lambda one, two: F.lit(100) * F.col(one) >= F.lit(percent) * F.col(two)
     sized = pairs.join(side(filters, "a", "n", "filters"), "a").join(side(filters, "b", "n", "filters"), "b").where(low("n_a", "n_b") & low("n_b", "n_a"))
     candidates = scratch.keep(sized.select("a", "b", "filters_a", "filters_b").mapInArrow(_filtered, "a long, b long"), f"{name}_candidates")
     full = candidates.join(side(vectors, "a", "tokens"), "a").join(side(vectors, "b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
-    return scratch.keep(full.mapInArrow(_verified(percent), "a long, b long"), f"{name}_links")
+    return scratch.keep(full.mapInArrow(_verified(percent), "a long, b long, shared long, linked boolean"), f"{name}_links")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, most_common: int = MOST_COMMON) -> DataFrame:
@@ -341,8 +347,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     met = docs.select("text").mapInArrow(_all_tokens(words, bits), DEALT).repartitionById(1 << bits, F.col("bucket"))
     repeated = scratch.keep(met.mapInArrow(_repeated(bits), ADDRESSED), "repeated")
     totals = repeated.repartitionById(1 << bits, F.col("_part")).mapInArrow(_totals, "set_id long, total long")
-    wanted = distinct.join(totals, "set_id").where(F.lit(100) * F.col("total") >= F.lit(percent) * F.col("n")).select("set_id", "_row")
-    texts = docs.select("_row", "text").join(wanted, "_row").groupBy("set_id").agg(F.first("text").alias("text"))
+    wanted = distinct.join(totals, "set_id").where(F.lit(100) * F.col("total") >= F.lit(percent) * F.col("n")).select("set_id", "_row", F.least("total", "n").alias("total"))
+    wanted = scratch.keep(wanted, "wanted")
+    texts = docs.select("_row", "text").join(wanted.select("set_id", "_row"), "_row").groupBy("set_id").agg(F.first("text").alias("text"))
     vectors = scratch.keep(texts.mapInArrow(_vectors(words), "set_id long, n long, tokens binary"), "vectors")
     scratch.drop("repeated")
 
@@ -351,28 +358,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     met = vectors.select("set_id", "tokens").mapInArrow(_prefixes(percent, bits, common), DEALT).repartitionById(1 << bits, F.col("bucket"))
     postings = scratch.keep(met.mapInArrow(_postings, "token long, set_id long"), "postings")
 
-    heads = postings.groupBy("token").agg(F.min("set_id").alias("head"))
+    postings = postings.distinct().join(filters.select("set_id", "n"), "set_id").join(wanted.select("set_id", "total"), "set_id")
+    postings = scratch.keep(postings, "sized")
+    heads = postings.groupBy("token").agg(F.max_by("set_id", F.col("total") / F.col("n")).alias("head"))
     tried = postings.join(heads, "token").where("set_id <> head").groupBy("set_id", "head").agg(F.count(F.lit(1)).alias("shared"))
     tried = scratch.keep(tried.groupBy("set_id").agg(F.max_by("head", F.struct("shared", "head")).alias("b")).select(F.col("set_id").alias("a"), "b"), "pivots")
-    links = _links(tried, vectors, filters, percent, scratch, "pivots")
+    checked = _links(tried, vectors, filters, percent, scratch, "pivots")
+    links = checked.where("linked").select("a", "b")
     joined = components(links, scratch, "near")
 
     label = joined.select(F.col("node").alias("set_id"), F.col("component"))
-    sized = postings.distinct().join(filters.select("set_id", "n"), "set_id")
-    labelled = scratch.keep(sized.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "labelled")
+    pivots = checked.select(F.col("a").alias("set_id"), F.col("b").alias("pivot"), F.col("shared").alias("within"))
+    labelled = scratch.keep(postings.join(label, "set_id", "left").join(pivots, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = scratch.keep(labelled.join(mixed, "token", "left_semi"), "open")
     main = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     with_main = open_.join(main, "token")
-    left = with_main.where("component <> main").select("token", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    right = with_main.select("token", F.col("set_id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), "main")
+    left = with_main.where("component <> main").select("token", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("total").alias("t_x"), F.col("component").alias("c_x"), F.col("pivot").alias("p_x"), F.col("within").alias("w_x"))
+    right = with_main.select("token", F.col("set_id").alias("y"), F.col("n").alias("n_y"), F.col("total").alias("t_y"), F.col("component").alias("c_y"), F.col("pivot").alias("p_y"), F.col("within").alias("w_y"), "main")
     near = (F.lit(100) * F.col("n_x") >= F.lit(percent) * F.col("n_y")) & (F.lit(100) * F.col("n_y") >= F.lit(percent) * F.col("n_x"))
-    rest = left.join(right, "token").where(near & (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y"))))
+    enough = F.lit(100 + percent) * F.least("t_x", "t_y") >= F.lit(percent) * (F.col("n_x") + F.col("n_y"))  # of tokens that others have at all
+    # Of two sets tried against the same pivot: inside it they share no more than the lesser part, outside it only what others have too.
+    most = F.least("w_x", "w_y") + F.least(F.col("t_x") - F.col("w_x"), F.col("t_y") - F.col("w_y"))
+    apart = (F.col("p_x") == F.col("p_y")) & (F.lit(100 + percent) * most < F.lit(percent) * (F.col("n_x") + F.col("n_y")))
+    enough = enough & ~F.coalesce(apart, F.lit(False))
+    rest = left.join(right, "token").where(near & enough & (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y"))))
     rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(_links(scratch.keep(rest, "rest"), vectors, filters, percent, scratch, "rest"))
+    more = _links(scratch.keep(rest, "rest"), vectors, filters, percent, scratch, "rest")
+    links = links.unionByName(more.where("linked").select("a", "b"))
     joined = scratch.keep(components(links, scratch, "all"), "components")
-    scratch.drop("postings", "vectors", "filters", "labelled", "open", "rest", "pivots")
+    scratch.drop("postings", "sized", "wanted", "vectors", "filters", "labelled", "open", "rest", "pivots")
 
     placed = distinct.select("set_id", "doc_id").join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -33,7 +33,8 @@ _SUMS = ",\n    ".join(
     for window, span in _WINDOWS.items()
 )
 _FLOW = "\n  UNION ALL\n  ".join(
-    f"SELECT '{metric}' AS metric, {i} AS list_ord, p_partkey AS pos, slug, parent, "
+    f"SELECT '{metric}' AS metric, {i} AS list_ord, p_partkey AS pos, slug, "
+    + ("CASE WHEN p_partkey % 20 = 2 THEN parent || '_x' ELSE parent END AS parent, " if i == 3 else "parent, ")
     + ", ".join(f"{metric}_{w} AS {w}" for w in list(_WINDOWS)[:4])
     + f", CASE WHEN p_partkey % 13 <> 5 THEN {metric}_total1y END AS total1y FROM entry_sums"
     for i, metric in enumerate(_AMOUNTS)
@@ -72,15 +73,20 @@ listing AS (
     CASE WHEN p.p_partkey % 3 = 0 THEN 'g' || p.p_partkey END AS gecko_id,
     CASE WHEN p.p_partkey % 5 <> 0 THEN p_retailprice * p_size * 200 END AS mcap,
     CASE WHEN p.p_partkey % 7 <> 0 THEN locked * p_retailprice END AS tvl,
-    CAST(p_size AS DOUBLE) - 25 AS change_7d
+    CAST(p_size AS DOUBLE) - 25 AS change_7d, CAST(p_size AS DOUBLE) / 4 - 3 AS change_1d,
+    CASE WHEN p_size % 4 = 0 THEN 'logo/' || p.p_partkey END AS logo
   FROM part p LEFT JOIN locked l ON l.p_partkey = p.p_partkey
 ),
 market AS (
-  SELECT 1 AS page, p_partkey AS pos, CASE WHEN p_partkey % 4 = 0 THEN 'g' ELSE 'm' END || p_partkey AS id, lower(replace(p_name, ' ', '')) AS symbol,
-    p_retailprice AS current_price, p_retailprice * p_size * 210 AS market_cap,
+  SELECT page, p_partkey AS pos, CASE WHEN p_partkey % 4 = 0 THEN 'g' ELSE 'm' END || p_partkey AS id, lower(replace(p_name, ' ', '')) AS symbol,
+    p_retailprice * page AS current_price, p_retailprice * p_size * 210 * page AS market_cap,
+    CAST(p_partkey % 997 AS DOUBLE) AS market_cap_rank, p_retailprice * p_size AS total_volume,
+    CAST(p_size AS DOUBLE) * 1000 AS circulating_supply, CAST(p_size AS DOUBLE) * 1500 AS total_supply,
+    CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) * 2000 END AS max_supply,
+    CASE WHEN p_size % 9 <> 0 THEN p_size * CAST(0.5 AS DOUBLE) - 10 END AS price_change7d,
     p_retailprice * p_size * 210 * (1 + (p_partkey % 6) * CAST(0.8 AS DOUBLE)) AS fdv,
     CAST(p_size AS DOUBLE) - 20 AS price_change14d, p_size * CAST(1.5 AS DOUBLE) - 40 AS price_change30d
-  FROM part
+  FROM (SELECT *, unnest(CASE WHEN p_partkey % 8 = 0 THEN [1, 2] ELSE [1] END) AS page FROM part)
 )"""
 
 
@@ -136,7 +142,7 @@ totals AS (
   FROM members GROUP BY k
 ),
 groups AS (
-  SELECT t.*, r.category, r.chains, r.change_7d AS change7d,
+  SELECT t.*, r.category, r.chains, r.change_7d AS change7d, r.change_1d AS change1d, r.logo,
     CASE WHEN t.k LIKE 'parent#%' THEN
       array_to_string(list_transform(string_split_regex(substr(t.k, 8), '[-_]'),
         lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')
@@ -156,13 +162,16 @@ by_symbol AS (
   WHERE rn = 1
 ),
 entity AS (
-  SELECT g.k, g.first_pos, g.name, g.symbol, g.category, g.change7d, f.* EXCLUDE (k), g.tvl,
+  SELECT g.k, g.first_pos, g.name, g.symbol, g.category, g.change7d, g.change1d, g.logo, f.* EXCLUDE (k), g.tvl,
+    COALESCE(i.market_cap_rank, s.market_cap_rank) AS market_cap_rank, COALESCE(i.total_volume, s.total_volume) AS total_volume,
+    COALESCE(i.circulating_supply, s.circulating_supply) AS circulating_supply,
+    COALESCE(i.total_supply, s.total_supply) AS total_supply, COALESCE(i.max_supply, s.max_supply) AS max_supply,
     COALESCE(g.gecko_id, i.id, s.id) AS gecko_id,
     COALESCE(g.dl_mcap, i.market_cap, s.market_cap) AS mcap,
     COALESCE(i.fdv, s.fdv) AS fdv,
     CASE WHEN i.id IS NOT NULL THEN 'id' WHEN s.id IS NOT NULL THEN 'symbol' END AS match_kind,
     COALESCE(i.current_price, s.current_price) AS price,
-    CASE WHEN COALESCE(i.id, s.id) IS NULL THEN g.change7d END AS price_change7d,
+    CASE WHEN COALESCE(i.id, s.id) IS NULL THEN g.change7d ELSE COALESCE(i.price_change7d, s.price_change7d) END AS price_change7d,
     COALESCE(i.price_change14d, s.price_change14d) AS price_change14d,
     COALESCE(i.price_change30d, s.price_change30d) AS price_change30d
   FROM groups g
@@ -375,7 +384,8 @@ ORACLE = {
         "SELECT k, name, symbol, category, gecko_id, mcap, tvl, change7d, price, "
         "price_change7d, price_change14d, price_change30d, fees_annual, fees_d7 AS fees7d, fees_d30 AS fees30d, "
         "revenue_annual, revenue_d30 AS revenue30d, holder_revenue_annual, holder_revenue_d30 AS holder_revenue30d, "
-        "volume_annual, volume_d30 AS volume30d, fdv FROM clean"
+        "volume_annual, volume_d30 AS volume30d, fdv, logo, change1d, market_cap_rank, total_volume, "
+        "circulating_supply, total_supply, max_supply FROM clean"
     ),
     "growth": _entities("SELECT k, fees_change7d, fees_change30d FROM clean"),
     "multiples": _entities("SELECT k, pf, ps, phr, mcap_tvl, fdv_tvl, dilution FROM gated"),

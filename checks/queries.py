@@ -82,6 +82,7 @@ def entities(spark, folder):
         "price", "price_change7d", "price_change14d", "price_change30d",
         "fees_annual", "fees7d", "fees30d", "revenue_annual", "revenue30d",
         "holder_revenue_annual", "holder_revenue30d", "volume_annual", "volume30d", "fdv",
+        "logo", "change1d", "market_cap_rank", "total_volume", "circulating_supply", "total_supply", "max_supply",
     )
 
 

@@ -48,10 +48,10 @@ def _listing(part: DataFrame, lineitem: DataFrame) -> DataFrame:
         "CASE WHEN p_size = 1 THEN NULL WHEN p_size = 50 THEN p_name ELSE p_brand END AS category",
         "array(lower(p_type)) AS chains",
         "CASE WHEN p_partkey % 3 = 0 THEN concat('g', p_partkey) END AS gecko_id",
-        "CAST(NULL AS STRING) AS logo",
+        "CASE WHEN p_size % 4 = 0 THEN concat('logo/', p_partkey) END AS logo",
         "CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice * p_size * 200 END AS mcap",
         "CASE WHEN p_partkey % 7 <> 0 THEN locked * p_retailprice END AS tvl",
-        "CAST(NULL AS DOUBLE) AS change_1d",
+        "CAST(p_size AS DOUBLE) / 4 - 3 AS change_1d",
         "CAST(p_size AS DOUBLE) - 25 AS change_7d",
     )
 
@@ -80,7 +80,9 @@ def _flow(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     ])
     # Young entries have no full year yet.
     per_feed = ", ".join(
+        # The last feed names another parent for some entries.
         f"struct('{metric}' AS metric, {i} AS list_ord, "
+        + ("CASE WHEN p_partkey % 20 = 2 THEN concat(named, '_x') ELSE named END AS parent, " if i == 3 else "named AS parent, ")
         + "".join(f"{metric}_{column} AS {column}, " for column in list(_WINDOWS)[:-1])
         + f"CASE WHEN p_partkey % 13 <> 5 THEN {metric}_total1y END AS total1y)"
         for i, metric in enumerate(S.METRICS)
@@ -89,20 +91,30 @@ def _flow(part: DataFrame, lineitem: DataFrame) -> DataFrame:
         "p_partkey AS pos",
         "concat('part-', p_partkey) AS slug",
         f"CASE WHEN p_partkey % 10 < 3 THEN concat('{PARENT_PREFIX}', lower(replace(p_brand, '#', '-')), '_', "
-        "lower(p_type)) END AS parent",
+        "lower(p_type)) END AS named",
+        "*",
+    ).selectExpr(
+        "pos", "slug",
         f"inline(array({per_feed}))",
     )
 
 
 def _market(part: DataFrame) -> DataFrame:
     # Three of four quotes bear ids that no listed entry names.
-    return part.selectExpr(
-        "1 AS page",
+    # One in eight comes again on the second page, with other values.
+    return part.selectExpr("*", "explode(CASE WHEN p_partkey % 8 = 0 THEN array(1, 2) ELSE array(1) END) AS page").selectExpr(
+        "page",
         "p_partkey AS pos",
         "concat(CASE WHEN p_partkey % 4 = 0 THEN 'g' ELSE 'm' END, p_partkey) AS id",
         "lower(replace(p_name, ' ', '')) AS symbol",
-        "p_retailprice AS current_price",
-        "p_retailprice * p_size * 210 AS market_cap",
+        "p_retailprice * page AS current_price",
+        "p_retailprice * p_size * 210 * page AS market_cap",
+        "CAST(p_partkey % 997 AS DOUBLE) AS market_cap_rank",
+        "p_retailprice * p_size AS total_volume",
+        "CAST(p_size AS DOUBLE) * 1000 AS circulating_supply",
+        "CAST(p_size AS DOUBLE) * 1500 AS total_supply",
+        "CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) * 2000 END AS max_supply",
+        "CASE WHEN p_size % 9 <> 0 THEN p_size * 0.5D - 10 END AS price_change_percentage_7d_in_currency",
         "p_retailprice * p_size * 210 * (1 + (p_partkey % 6) * 0.8D) AS fully_diluted_valuation",
         "CAST(p_size AS DOUBLE) - 20 AS price_change_percentage_14d_in_currency",
         "p_size * 1.5D - 40 AS price_change_percentage_30d_in_currency",

@@ -372,6 +372,11 @@ _DEFAULT_ORDER = "value_score DESC NULLS LAST, first_pos"
 _SECTORS = ", ".join(f"'Brand#{i}'" for i in range(1, 16))
 
 ORACLE = {
+    "type_guards": (
+        "SELECT p_partkey AS k, CASE WHEN p_partkey % 5 > 1 THEN 's' || p_partkey END AS slug, "
+        "CASE WHEN p_partkey % 4 = 3 THEN p_retailprice END AS mcap, "
+        "CASE WHEN p_partkey % 3 = 1 THEN 'a,b' ELSE '' END AS chains FROM part"
+    ),
     "parent_map": _groups("SELECT slug, parent FROM parent_map"),
     "flow_rollup": _groups("SELECT * FROM flow_rollup"),
     "group_meta": _groups(

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relvalue.functions import formats
+from relvalue.functions import formats, guards
 from relvalue.operators import percentiles, quotes, rollup
 from relvalue.operators.materialize import materialize
 from relvalue.operators.screen import SORT_COLUMNS, ScreenSpec, numbered, screen, top
@@ -212,12 +212,24 @@ def report(spark, folder):
     return report_rows(screener.published(_scored(spark, folder))).withColumnRenamed("slug", "k")
 
 
+def type_guards(spark, folder):
+    """Listing fields of every part as JSON text with values of wrong types, read back."""
+    text = F.expr("""concat('{"slug": ', CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN '""' ELSE concat('"s', p_partkey, '"') END,
+        ', "mcap": ', CASE p_partkey % 4 WHEN 0 THEN '"12"' WHEN 1 THEN '1e400' WHEN 2 THEN 'null' ELSE CAST(p_retailprice AS STRING) END,
+        CASE p_partkey % 3 WHEN 0 THEN ', "chains": "x"' WHEN 1 THEN ', "chains": ["a", "b"]' ELSE '' END, '}')""")
+    v = F.parse_json(text)
+    return spark.read.parquet(f"{folder}/part.parquet").select(
+        F.col("p_partkey").alias("k"), guards.variant_string(v, "slug").alias("slug"), guards.variant_number(v, "mcap").alias("mcap"),
+        F.array_join(guards.variant_strings(v, "chains"), ",").alias("chains"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         parent_map, flow_rollup, group_meta, market_by_id, market_by_symbol, quote_match, entities, growth,
         multiples, gates, pool_sizes, sector_percentiles, value_scores, value_capture,
         screen_default, screen_undervalued, screen_overvalued, screen_combined,
-        ranked_top, ranked_all, ranked_by_name, ranked_by_category, ranked_by_phr, sort_ranks, sector_list, result_meta, report,
+        ranked_top, ranked_all, ranked_by_name, ranked_by_category, ranked_by_phr, sort_ranks, sector_list, result_meta, report, type_guards,
     )
 }

@@ -18,7 +18,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def portions(batches: Iterable[pa.RecordBatch], name: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterable[pa.RecordBatch], name: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts in column ``name`` come to about ``size`` bytes, one row at least."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -68,7 +68,7 @@ class Stretches:
     ``encode`` gives the ids of one stretch, ``whole`` those of a text that may not be split.
     """
 
-    def __init__(self, encode: Callable[[bytes], bytes], whole: Callable[[str], bytes], split: Callable[[bytes], list[bytes]] = STRETCH.findall, most: int = 350_000):
+    def __init__(self, encode: Callable[[bytes], bytes], whole: Callable[[str], bytes], split: Callable[[bytes], list[bytes]] = STRETCH.findall, most: int = 200_000):
         self.encode, self.whole, self.split, self.most = encode, whole, split, most
         self.known = Memory(encode)
 

@@ -13,9 +13,9 @@ in a scrambled order of its own.
    the least of its own. What links is joined into components; that takes a group of near copies in
    as many pairs as it has sets.
 4. Pairs that share a prefix token and are still in different components are the rest of the
-   candidates, if both share enough tokens with others, inside and outside a pivot they have in common, for
-   a link of sets of their sizes. Where
-   one component holds most sets of a token, only the others are paired up.
+   candidates, if both share enough tokens with others, inside and outside a pivot they have in
+   common, for a link of sets of their sizes. Where one component holds most sets of a token, only
+   the others are paired up.
 5. Candidates must share prefix tokens under the other orders too. What is left is verified.
 """
 

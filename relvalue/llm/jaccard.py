@@ -14,7 +14,8 @@ in a scrambled order of its own.
    as many pairs as it has sets.
 4. Pairs that share a prefix token and are still in different components are the rest of the
    candidates, if both share enough tokens with others, inside and outside a pivot they have in
-   common, for a link of sets of their sizes. Where one component holds most sets of a token, only
+   common, for a link of sets of their sizes, and the token is early enough in both prefixes for the
+   number of tokens these must share. Where one component holds most sets of a token, only
    the others are paired up.
 5. Candidates must share prefix tokens under the other orders too. What is left is verified.
 """
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relvalue.llm.arrow import column, portions, strings
@@ -359,9 +360,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     postings = scratch.keep(met.mapInArrow(_postings, "token long, set_id long"), "postings")
 
     postings = postings.distinct().join(filters.select("set_id", "n"), "set_id").join(wanted.select("set_id", "total"), "set_id")
+    heads = postings.groupBy("token").agg(F.max_by("set_id", F.col("total") / F.col("n")).alias("head"), F.count(F.lit(1)).alias("times"))
+    own = Window.partitionBy("set_id")  # a set's prefix
+    postings = postings.join(heads, "token").withColumns(
+        {"rank": F.row_number().over(own.orderBy("times", "token")), "last": F.count(F.lit(1)).over(own)})
     postings = scratch.keep(postings, "sized")
-    heads = postings.groupBy("token").agg(F.max_by("set_id", F.col("total") / F.col("n")).alias("head"))
-    tried = postings.join(heads, "token").where("set_id <> head").groupBy("set_id", "head").agg(F.count(F.lit(1)).alias("shared"))
+    tried = postings.where("set_id <> head").groupBy("set_id", "head").agg(F.count(F.lit(1)).alias("shared"))
     tried = scratch.keep(tried.groupBy("set_id").agg(F.max_by("head", F.struct("shared", "head")).alias("b")).select(F.col("set_id").alias("a"), "b"), "pivots")
     checked = _links(tried, vectors, filters, percent, scratch, "pivots")
     links = checked.where("linked").select("a", "b")
@@ -374,14 +378,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     open_ = scratch.keep(labelled.join(mixed, "token", "left_semi"), "open")
     main = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     with_main = open_.join(main, "token")
-    left = with_main.where("component <> main").select("token", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("total").alias("t_x"), F.col("component").alias("c_x"), F.col("pivot").alias("p_x"), F.col("within").alias("w_x"))
-    right = with_main.select("token", F.col("set_id").alias("y"), F.col("n").alias("n_y"), F.col("total").alias("t_y"), F.col("component").alias("c_y"), F.col("pivot").alias("p_y"), F.col("within").alias("w_y"), "main")
+    left = with_main.where("component <> main").select("token", F.col("set_id").alias("x"), F.col("n").alias("n_x"), F.col("total").alias("t_x"), F.col("component").alias("c_x"), F.col("pivot").alias("p_x"), F.col("within").alias("w_x"), (F.col("last") - F.col("rank")).alias("r_x"))
+    right = with_main.select("token", F.col("set_id").alias("y"), F.col("n").alias("n_y"), F.col("total").alias("t_y"), F.col("component").alias("c_y"), F.col("pivot").alias("p_y"), F.col("within").alias("w_y"), (F.col("last") - F.col("rank")).alias("r_y"), "main")
     near = (F.lit(100) * F.col("n_x") >= F.lit(percent) * F.col("n_y")) & (F.lit(100) * F.col("n_y") >= F.lit(percent) * F.col("n_x"))
     enough = F.lit(100 + percent) * F.least("t_x", "t_y") >= F.lit(percent) * (F.col("n_x") + F.col("n_y"))  # of tokens that others have at all
     # Of two sets tried against the same pivot: inside it they share no more than the lesser part, outside it only what others have too.
     most = F.least("w_x", "w_y") + F.least(F.col("t_x") - F.col("w_x"), F.col("t_y") - F.col("w_y"))
     apart = (F.col("p_x") == F.col("p_y")) & (F.lit(100 + percent) * most < F.lit(percent) * (F.col("n_x") + F.col("n_y")))
-    enough = enough & ~F.coalesce(apart, F.lit(False))
+    # Prefixes of a linked pair share so many tokens at least; so the rarest that they share has as many less one behind it in both.
+    least = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent)) - F.ceil(F.lit(percent) * F.greatest("n_x", "n_y") / 100) + 1
+    enough = enough & ~F.coalesce(apart, F.lit(False)) & (F.least("r_x", "r_y") >= least - 1)
     rest = left.join(right, "token").where(near & enough & (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("main")) | (F.col("x") < F.col("y"))))
     rest = rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")

@@ -350,7 +350,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     totals = repeated.repartitionById(1 << bits, F.col("_part")).mapInArrow(_totals, "set_id long, total long")
     wanted = distinct.join(totals, "set_id").where(F.lit(100) * F.col("total") >= F.lit(percent) * F.col("n")).select("set_id", "_row", F.least("total", "n").alias("total"))
     wanted = scratch.keep(wanted, "wanted")
-    texts = docs.select("_row", "text").join(wanted.select("set_id", "_row"), "_row").groupBy("set_id").agg(F.first("text").alias("text"))
+    # what is wanted grows with the corpus, so it is never broadcast: one plan at every size
+    texts = docs.select("_row", "text").join(wanted.select("set_id", "_row").hint("merge"), "_row").groupBy("set_id").agg(F.first("text").alias("text"))
     vectors = scratch.keep(texts.mapInArrow(_vectors(words), "set_id long, n long, tokens binary"), "vectors")
     scratch.drop("repeated")
 

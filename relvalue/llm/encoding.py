@@ -17,7 +17,7 @@ from functools import lru_cache
 
 STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Characters that are white space but not ASCII, and controls some libraries count as such.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*")
 ASCII_CONTROL = re.compile(rb"[\x1c-\x1f]")
 

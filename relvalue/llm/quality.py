@@ -27,7 +27,8 @@ SYMBOLS = b"#*$%&|<>"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: A group of fewer documents is judged with the rest of its language, and a rest of fewer by all documents.
 LEAST_ROWS = 50
-CORE = 0.75
+#: What most of a group is taken to be sound: the estimates stand up to nearly so many outliers in one group.
+CORE = 0.5
 STEPS = 4
 #: The chi-square quantile of five statistics that one in about seven million exceeds.
 CUTOFF = 40.0
@@ -147,7 +148,7 @@ def _fit(core: float):
     return run
 
 
-def estimates(points: DataFrame, scratch: Scratch, core: float = CORE, steps: int = STEPS) -> DataFrame:
+def estimates(points: DataFrame, scratch: Scratch, core: float = 0.75, steps: int = STEPS) -> DataFrame:
     """Centre and inverse covariance for each ``_key`` of ``points`` (_key, x0..x4), by concentration steps.
 
     Rows are aggregated by cells of a histogram before a group comes together, so a group is at most

@@ -57,6 +57,20 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(r["distance"] is None and r["kept"] for r in few)
 
 
+@pytest.mark.parametrize("share", [0.35, 0.4])
+def test_a_source_filled_with_one_kind_of_junk(spark, share):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
+    rows = []
+    for i in range(300):
+        words = [word() for _ in range(rnd.randint(60, 300))]
+        junk = i < 300 * share
+        rows.append((i, " ".join(w + "%%%" if junk else w for w in words), "en", "a", junk))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean").repartition(3)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(table).collect()}
+    assert [i for i, *_, junk in rows if got[i] == junk] == []
+
+
 def test_estimates_follow_the_definition(spark):
     """The same steps over one group in numpy."""
     rnd = np.random.default_rng(2)

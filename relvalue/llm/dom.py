@@ -11,8 +11,13 @@ import numpy as np
 BLOCKS = ("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody tfoot tr td th "
           "blockquote pre figure figcaption details summary address center hgroup dialog menu").split()
 BREAKS = {"br", "hr"}
-#: No text of a page's own: left out with all they hold.
-SILENT = "script style noscript template title select textarea button svg iframe object canvas head".split()
+#: No text of a page's own: left out with all they hold. What RAW ones hold is no markup and goes up to their end tag; where others have no end tag, they end at the next block border.
+RAW = "script style title textarea".split()
+SILENT = set("noscript template select button svg iframe object canvas head".split())
+#: Silent elements that may hold one of their own name, and those that the end tag of a block around them can't end.
+NESTING, CLOSED_OFF = {"template", "svg", "object", "canvas"}, {"template", "object"}
+#: Blocks whose end tag may be left out, so it ends nothing else.
+LOOSE = {"p", "li", "dt", "dd", "thead", "tbody", "tfoot", "tr", "td", "th"}
 #: What the start of a block ends, if it is open.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "body": set(), "html": set()}
 FENCES = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html", "menu"}
@@ -37,7 +42,7 @@ for _i, _words in enumerate(KINDS.values()):
 TAG_ID = {t: i for i, t in enumerate(["#text", *BLOCKS])}
 _ATTRIBUTES = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<silent>{'|'.join(SILENT)})\b{_ATTRIBUTES}(?:(?<=/)>|>.*?(?:</(?P=silent)\s*>|\Z))"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){_ATTRIBUTES}(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"""
     rf"""|</(?P<close>[a-z][a-z0-9:-]*)[^>]*>|<(?P<open>[a-z][a-z0-9:-]*)(?P<attributes>(?=[\s/>]){_ATTRIBUTES})>|<[!?/][^>]*>|(?P<text>[^<]+|<)""",
     re.I | re.S,
 )
@@ -54,6 +59,45 @@ def kinds(attributes: str) -> int:
     return found
 
 
+def silent_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """For the start tag of each silent element its end tag, by places in ``tokens``; elements that lack theirs aren't listed.
+
+    An end tag is lacking where a block around the element ends first, where one that can't hold its
+    like starts again, and, for head, where a block starts.
+    """
+    found: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []  # open silent elements, and blocks
+    opened: dict[str, int] = {}
+
+    def cut(depth: int) -> None:
+        for name, _ in stack[depth:]:
+            opened[name] -= 1
+        del stack[depth:]
+
+    for at, m in enumerate(tokens):
+        if m["open"]:
+            name = m["open"].lower()
+            if name in TAG_ID and stack and stack[-1][0] == "head":
+                cut(len(stack) - 1)
+            if (name in SILENT or name in TAG_ID and name not in LOOSE) and not m["attributes"].endswith("/"):
+                if name in SILENT and name not in NESTING and opened.get(name):
+                    depth = max(i for i, x in enumerate(stack) if x[0] == name)
+                    if not any(x in CLOSED_OFF for x, _ in stack[depth:]):
+                        cut(depth)
+                stack.append((name, at))
+                opened[name] = opened.get(name, 0) + 1
+        elif m["close"] and opened.get(name := m["close"].lower()):
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == name:
+                    if name in SILENT:
+                        found[stack[depth][1]] = at
+                    cut(depth)
+                    break
+                if stack[depth][0] in CLOSED_OFF and name not in CLOSED_OFF and name != "body":
+                    break
+    return found
+
+
 class Page:
     """Nodes in page order: block elements, and the runs of text between block borders."""
 
@@ -72,15 +116,35 @@ class Page:
                 run.clear()
                 state[1] = 0
 
-        for m in TOKEN.finditer(html):
+        tokens = list(TOKEN.finditer(html))
+        ends = silent_ends(tokens) if any(m["open"] and m["open"].lower() in SILENT for m in tokens) else {}
+        skip, silent = -1, ""  # the end tag of a silent element, and the one that lacks it
+        for at, m in enumerate(tokens):
+            if at <= skip:
+                continue
             what = m.lastgroup
+            if silent:
+                name = (m["open"] or m["close"] or "").lower()
+                if name in TAG_ID or name in BREAKS or silent == "head" and what == "text" and m["text"].strip():
+                    silent = ""
+                elif name not in SILENT or not m["open"]:
+                    if name == "a":
+                        state[0] = 1 if m["open"] else 0
+                    continue
             if what == "text":
                 run.append(m["text"])
                 if state[0]:
                     state[1] += len(m["text"])
             elif what == "attributes" or m["open"]:
                 name = m["open"].lower()
-                if name == "a":
+                if name in SILENT:
+                    if not m["attributes"].endswith("/"):
+                        skip = ends.get(at, -1)
+                        if at not in ends:
+                            silent = name
+                        elif silent == name and name not in NESTING:
+                            silent = ""
+                elif name == "a":
                     state[0] = 1
                 elif name in BREAKS:
                     border()
@@ -88,10 +152,10 @@ class Page:
                     border()
                     if name in ("html", "body") and any(t == name for t, _ in stack):
                         continue
-                    ends = ENDS.get(name, {"p"})
+                    over = ENDS.get(name, {"p"})
                     depth = len(stack) - 1
                     while depth > 0 and stack[depth][0] not in FENCES:
-                        if stack[depth][0] in ends:
+                        if stack[depth][0] in over:
                             del stack[depth:]
                         depth -= 1
                         depth = min(depth, len(stack) - 1)

@@ -139,6 +139,24 @@ def test_tree_of_a_page():
     assert kept_text(deep, np.ones(len(deep.tag))) == "x"
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<html><head><title>t</title><body><article><p>text</p></article>", ["text"]),
+        ("<head><meta name=a><title>t</title><script>x</script>bare text", ["bare text"]),
+        ("<head><title>t</title></head><p>a<head-line>b</head-line><button-group>c</button-group>", ["abc"]),
+        *((f"<article><p>a</p><{x}><p>b</p></article><{x}>no</{x}><p>c</p>", ["a", "b", "c"]) for x in "svg button select object canvas iframe noscript template".split()),
+        *((f"<p>a</p><{x}><i>no</i><div><p>no</p></div></{x}>b", ["a", "b"]) for x in "svg button object canvas iframe noscript template".split()),
+        ("<div>a<svg>no</div>b</svg>c", ["a", "bc"]),
+        ("<div>a<svg><svg>no</svg>no</svg>b</div>", ["ab"]),
+        ("<button>no<button>no</button>a<a>b<svg></a>no<br>c", ["ab", "c"]),
+        ("<template><article><p>no</p></article></div></template>a<title>no<p>no", ["a"]),
+    ],
+)
+def test_silent_elements_end_where_they_have_to(html, want):
+    assert [t for t in Page(html).text if t] == want
+
+
 def test_a_dropped_node_takes_all_below():
     page = Page("<body><div><p>aa</p></div><section><p>bb</p></section></body>")
     score = np.array([1.0, 1, -20, 3, 3, 1, 1, 1])

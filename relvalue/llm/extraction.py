@@ -8,6 +8,7 @@ and attribute words, side columns, notices, forms, reader comments, before, afte
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
 from collections.abc import Iterator
@@ -22,13 +23,14 @@ from relvalue.llm.arrow import column, portions
 from relvalue.llm.boosting import Boosted
 from relvalue.llm.dom import KINDS, TAG_ID, Page, features, kept_text
 
-#: The model is trained on at most so many pages, those with the smallest hash of their id, and so many layouts of each.
+#: The model is trained on at most so many pages that mark their article, those with the smallest hash of their id, and so many layouts of each.
 SAMPLE_PAGES = 240
 LAYOUTS = 3
 CONTENT_TAGS = {TAG_ID["article"], TAG_ID["main"]}
 FURNITURE_TAGS = {TAG_ID[t] for t in ("nav", "aside", "footer", "form")}
 CONTENT_KIND = 1 << list(KINDS).index("content")
 LABEL = re.compile(r"data-y=(\d)")
+MARK = re.compile(r"<(?:article|main)[\s/>]", re.I)
 
 
 def marked(page: Page) -> np.ndarray:
@@ -142,17 +144,35 @@ def train(htmls: list[str], seed: int = 1) -> Boosted | None:
     return Boosted(x, y, weight / weight.mean())
 
 
+def first_marked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (_hash, page_id, html) those that mark their article and may be among the ``most`` with the smallest hash; no others are parsed."""
+    best: list[int] = []  # the smallest hashes so far, negative, as a heap
+    for batch in portions(batches, "html", 2 << 20):
+        keep = []
+        for key, html in zip(column(batch, "_hash").to_pylist(), column(batch, "html").to_pylist()):
+            keep.append((len(best) < most or key < -best[0]) and bool(MARK.search(html)) and bool(marked(Page(html)).any()))
+            if keep[-1]:
+                (heapq.heappush if len(best) < most else heapq.heapreplace)(best, -key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def sample(pages: DataFrame, most: int = SAMPLE_PAGES) -> DataFrame:
+    """page_id and html of the ``most`` pages of smallest hash among all that mark their article."""
+    rows = pages.select(F.xxhash64("page_id").alias("_hash"), "page_id", "html").where("html is not null")
+    found = rows.mapInArrow(lambda batches: first_marked(batches, most), rows.schema) if most > 0 else rows
+    return found.orderBy("_hash", "page_id").limit(most).select("page_id", "html")
+
+
 def extract(pages: DataFrame, model: Boosted | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text for each row of ``pages`` (page_id, url, html; other columns are ignored).
 
-    Without a ``model`` one is trained on a sample of ``pages`` (at most ``sample_pages``). White
+    Without a ``model`` one is trained on a sample of those ``pages`` that mark their article (at most ``sample_pages``). White
     space inside a block becomes one space, blocks are joined by one space in page order. A null or
     empty html, or a page without an article, gives the empty text; null ids and repeated rows each keep
-    their row. If no sampled page marks its article, all text outside scripts and the like is kept.
+    their row. If no page of the table marks its article, all text outside scripts and the like is kept.
     """
     if model is None:
-        chosen = pages.select("page_id", "html").where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
-        model = train([r["html"] for r in chosen.toLocalIterator()])
+        model = train([r["html"] for r in sample(pages, sample_pages).toLocalIterator()])
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -185,6 +185,16 @@ def test_main_text_on_held_out_pages(spark):
     assert extraction.extract(plain).collect()[0]["text"] == "a b c"
 
 
+def test_rare_marked_pages_are_all_sampled(spark):
+    rnd = random.Random(3)
+    rows = [(i, raw_page(rnd, article(rnd)) if i % 40 == 3 else "<script>'<article>'</script><p>plain</p>" if i % 2 else "<article></article><p>plain</p>") for i in range(400)]
+    table = spark.createDataFrame([*rows, (None, None)], "page_id long, html string").repartition(3)
+    assert sorted(r["page_id"] for r in extraction.sample(table, 240).collect()) == [i for i in range(400) if i % 40 == 3]
+    few = [r["page_id"] for r in extraction.sample(table, 4).collect()]
+    every = [r["page_id"] for r in extraction.sample(table, 10).collect()]
+    assert few == every[:4] and len(every) == 10
+
+
 def test_main_text_on_other_layouts():
     rnd = random.Random(9)
     model = extraction.train([raw_page(rnd, article(rnd)) for _ in range(80)])

@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
+from contextlib import suppress
 from functools import lru_cache
 
 STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -20,6 +21,9 @@ STRETCH = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*")
 ASCII_CONTROL = re.compile(rb"[\x1c-\x1f]")
+#: tiktoken's word pattern keeps a state for each character of a run of white space, and raises on a run of about a million.
+LONG_SPACE = 100_000
+LONG_RUN = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
 
 
 @lru_cache(maxsize=4)
@@ -178,7 +182,7 @@ def second_library(path: str):
 
 
 def fast_ids(path: str) -> Callable[[Iterable[bytes]], list[bytes]]:
-    """Ids of whole texts as the tokenizers library gives them for a byte-level file."""
+    """Ids of whole texts as the tokenizers library gives them for a byte-level file, of any length."""
     whole = library_ids(path)
     other, unsure = second_library(path)
 
@@ -186,7 +190,11 @@ def fast_ids(path: str) -> Callable[[Iterable[bytes]], list[bytes]]:
         out = []
         for x in texts:
             text = x.decode()
-            out.append(whole([text])[0] if unsure.search(text) else other.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes())
+            found = None
+            if not unsure.search(text) and not (len(text) >= LONG_SPACE and LONG_RUN.search(text)):
+                with suppress(ValueError):  # what it can't take is left to tokenizers
+                    found = other.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            out.append(whole([text])[0] if found is None else found)
         return out
 
     return ids

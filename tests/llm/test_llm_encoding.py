@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from relvalue.llm import bpe, counts, idfiles, packing
+from relvalue.llm import bpe, counts, encoding, idfiles, packing
 from relvalue.llm.encoding import fast_ids, library_ids, second_library, stretches, words
 from relvalue.llm.scratch import Scratch
 
@@ -35,6 +35,22 @@ def test_unsure_characters_are_left_to_the_library(byte_file):
     assert unsure.search("中") and not unsure.search("plain é text")
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n", "\t"])
+@pytest.mark.parametrize("n", [99_998, 100_000, 2_000_000])
+def test_long_white_space(space, n, byte_file):
+    text = "Before" + space * (n // len(space)) + "after it"
+    assert fast_ids(byte_file)([text.encode(), b"next"]) == library_ids(byte_file)([text, "next"])
+
+
+def test_what_the_second_library_raises_on_is_left_to_the_first(byte_file, monkeypatch):
+    class Raising:
+        def encode_to_numpy(self, *args, **more):
+            raise ValueError("Max stack size exceeded for backtracking")
+
+    monkeypatch.setattr(encoding, "second_library", lambda path: (Raising(), second_library(path)[1]))
+    assert fast_ids(byte_file)([b"some text"]) == library_ids(byte_file)(["some text"])
+
+
 def test_backtracking_is_exact_on_every_entry_and_on_chance_texts(texts, byte_file):
     coder, memory = bpe.codec(byte_file)
     assert all(coder.word(t) == [i] == coder._walk(t, t.decode("latin-1")) for t, i in coder.vocab.items())

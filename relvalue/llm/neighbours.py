@@ -25,6 +25,7 @@ RELAX = 1.2
 BUILD_BEAM = 48
 SEARCH_BEAM = 160
 BATCH = 256
+PART = 2048  # pairs that are scored at a time
 
 
 class Graph:
@@ -147,16 +148,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(k: int, beam: int):
-    """For each query of a shard its nearest nodes, with exact scores; nodes come first."""
+    """For each query of a shard the nearest of all nodes its beam holds, by exact scores; nodes come first.
+
+    ``k + 1`` nodes are enough, ties going to the smaller first id: each brings a row of its own, but for
+    the query's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, keys, vectors, graph, exact, norms = None, [], [], None, None, None
+        shard, keys, firsts, vectors, graph, exact, norms = None, [], [], [], None, None, None
         for batch in batches:
             for (one, query), group in _groups(batch):
                 if one != shard:
-                    shard, keys, vectors, graph = one, [], [], None
+                    shard, keys, firsts, vectors, graph = one, [], [], [], None
                 if not query:
                     keys += column(group, "key").to_pylist()
+                    firsts += column(group, "id").to_pylist()
                     vectors += column(group, "vec").to_pylist()
                     continue
                 if not vectors:
@@ -170,10 +176,14 @@ def _search(k: int, beam: int):
                 for at in range(0, len(ids), BATCH):
                     q, who = asked[at : at + BATCH], ids[at : at + BATCH]
                     size = np.linalg.norm(q, axis=1)
-                    found = graph.search((q / size[:, None]).astype(np.float32), min(beam, max(2, len(vectors))))[:, : 2 * (k + 1)]
+                    found = graph.search((q / size[:, None]).astype(np.float32), min(beam, max(2, len(vectors))))
                     i, j = np.nonzero(found >= 0)
                     node = found[i, j]
-                    scores = np.einsum("nd,nd->n", q[i], exact[node]) / (size[i] * norms[node])
+                    scores = np.concatenate([np.einsum("nd,nd->n", q[i[a : a + PART]], exact[node[a : a + PART]]) for a in range(0, len(i), PART)]) / (size[i] * norms[node])
+                    order = np.lexsort((np.array(firsts)[node], -scores, i))
+                    i, node, scores = i[order], node[order], scores[order]
+                    near = np.arange(len(i)) - np.searchsorted(i, i) <= k
+                    i, node, scores = i[near], node[near], scores[near]
                     yield pa.RecordBatch.from_arrays([pa.array(who[i]), pa.array([keys[n] for n in node], pa.string()), pa.array(scores)], ["query_id", "key", "score"])
 
     return run

@@ -156,3 +156,24 @@ def test_neighbours(spark):
     assert got[5300] == {1: (5350, pytest.approx(0.8))}
     assert not {5000, 5050, 5100, 5150, 5200} & set(got)
     assert neighbours.nearest(table.limit(0), 50, 5).collect() == []
+
+
+def test_equally_near_nodes_beyond_a_dozen():
+    """Scaled copies of a vector are nodes of equal cosine: the smallest ids count, wherever they stand."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(6)
+    base = rnd.normal(size=8)
+    x = np.concatenate([[base * 2.0**j for j in range(30)], rnd.normal(size=(70, 8))])
+    ids = [*range(130, 100, -1), *range(200, 270)]
+
+    def batch(rows, query):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(rows), pa.int32()), pa.array([query] * len(rows)), pa.array([ids[r] for r in rows]), pa.array([str(ids[r]) for r in rows]), pa.array([x[r].tobytes() for r in rows], pa.binary())],
+            ["shard", "query", "id", "key", "vec"])
+
+    got = pa.Table.from_batches(neighbours._search(5, 160)(iter([batch(range(100), False), batch([0, 50], True)]))).to_pylist()
+    for r in (0, 50):
+        exact = (x @ x[r]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[r]))
+        want = sorted(range(100), key=lambda n: (-exact[n].round(12), ids[n]))[:6]
+        assert [g["key"] for g in got if g["query_id"] == ids[r]] == [str(ids[n]) for n in want]

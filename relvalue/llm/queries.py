@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relvalue.llm import bpe, counts, extraction, idfiles, jaccard, neighbours, packing, quality, substrings, warc
+from relvalue.llm import alignment, bpe, counts, decontamination, extraction, idfiles, jaccard, merkle, neighbours, packing, quality, substrings, warc
 from relvalue.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-BYTE_FILE, WORD_FILE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_FILE, WORD_FILE, PIECE_FILE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,6 +89,23 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), every=50, k=5)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers, and how common the links are."""
+    return alignment.align(table(spark, folder, "documents"), vocabulary(BYTE_FILE), vocabulary(PIECE_FILE))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf and proof; where the id's checksum is even, its fold starts from the text without line ends."""
+    docs = table(spark, folder, "documents")
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.verified_manifest(docs, F.replace("text", F.lit("\n"), F.lit("")), altered)
+
+
+def op13_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of every document that lie in a window of a benchmark item, and the items."""
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -100,6 +117,9 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 #: Base32 in SQL: the digest's 160 bits, five at a time, as letters.
@@ -140,4 +160,50 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8, "op3_warc_round_trip": _OP3}
+#: Level by level: nodes of all trees, then each leaf's way up. The checksum is the bitwise one of zlib.
+_OP12 = """
+WITH RECURSIVE
+     f AS (SELECT doc_id, source, text, 'x' || coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') AS head,
+                  concat_ws('', coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+                            coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS middle,
+                  replace(text, chr(10), '') AS cut,
+                  list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::UBIGINT)),
+                    lambda c, x: list_reduce(list_prepend(xor(c, x), list_transform(range(8), lambda j: 0::UBIGINT)),
+                      lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))) AS crc FROM documents),
+     d AS (SELECT doc_id, source, sha256(substr(head, 2) || middle || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                  CASE WHEN xor(crc, 4294967295::UBIGINT) % 2 = 0 THEN sha256(substr(head, 2) || middle || coalesce(octet_length(encode(cut)) || ':' || cut, '-')) END AS altered FROM f),
+     l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                  count(*) OVER (PARTITION BY source) AS n FROM d),
+     nodes AS (SELECT tree, 0 AS level, idx, n, leaf AS hash FROM l
+               UNION ALL SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+     subs AS (SELECT tree, hash, max(level) OVER () AS deepest FROM nodes WHERE n = 1),
+     tops AS (SELECT 0 AS level, tree AS idx, (SELECT count(*) FROM subs) AS n, hash FROM subs
+              UNION ALL SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 3, n),
+     kin AS (SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lefts, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rights
+             FROM (SELECT tree, level, idx, n, hash FROM nodes UNION ALL SELECT -1, level, idx, n, hash FROM tops) a
+             JOIN (SELECT tree, level, idx, hash FROM nodes UNION ALL SELECT -1, level, idx, hash FROM tops) b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3
+             WHERE a.n > 1 GROUP BY a.tree, a.level, a.idx),
+     way AS (SELECT doc_id, leaf, tree AS home, tree, 0 AS level, idx, n, coalesce(altered, leaf) AS now, '' AS proof, row_number() OVER () AS row FROM l
+             UNION ALL
+             SELECT doc_id, leaf, home, CASE WHEN up THEN -1 ELSE w.tree END, CASE WHEN up THEN 0 ELSE w.level + 1 END, CASE WHEN up THEN home ELSE w.idx // 3 END,
+                    CASE WHEN up THEN (SELECT count(*) FROM subs) ELSE (w.n + 2) // 3 END, CASE WHEN up THEN now ELSE sha256(lefts || now || rights) END, CASE WHEN up THEN proof ELSE proof || lefts || rights END, row
+             FROM (SELECT *, n = 1 AS up FROM way WHERE n > 1 OR tree >= 0) w LEFT JOIN kin k ON NOT up AND k.tree = w.tree AND k.level = w.level AND k.idx = w.idx)
+SELECT doc_id, leaf, subs.hash AS subroot, t.hash AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t.hash AS verified
+FROM way JOIN subs ON subs.tree = way.home JOIN (SELECT hash FROM tops WHERE n = 1) t ON true WHERE way.tree = -1 AND way.n = 1
+"""
+
+_OP13 = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+     i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+     s AS (SELECT item, least(len(words), 10) AS size, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS start, words FROM i WHERE len(words) > 0),
+     w AS (SELECT DISTINCT item, size, array_to_string(words[start : start + size - 1], ' ') AS wind FROM s),
+     z AS (SELECT DISTINCT size FROM w),
+     p AS (SELECT row, size, unnest(range(1, len(words) - size + 2)) AS start, words FROM d JOIN z ON len(words) >= size),
+     h AS (SELECT row, start, p.size, item FROM p JOIN w ON w.size = p.size AND w.wind = array_to_string(words[start : start + p.size - 1], ' ')),
+     n AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(start, start + size)) AS place FROM (SELECT DISTINCT row, start, size FROM h)) GROUP BY row),
+     t AS (SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN t USING (row)
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op8_substring_dedup": _OP8, "op3_warc_round_trip": _OP3, "op12_merkle_manifest": _OP12, "op13_benchmark_decontamination": _OP13}

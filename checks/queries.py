@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from relvalue.functions import formats, guards
 from relvalue.operators import percentiles, quotes, rollup
-from relvalue.operators.materialize import materialize
-from relvalue.operators.screen import SORT_COLUMNS, ScreenSpec, numbered, screen, top
+from relvalue.operators.screen import SORT_COLUMNS, TEXT_KEYS, ScreenSpec, numbered, ranks, screen, top
 from relvalue.plans import screener
 from relvalue.plans.report import report as report_rows
 from relvalue.sources.feeds import Feeds
@@ -180,16 +179,8 @@ def ranked_by_phr(spark, folder):
 
 def sort_ranks(spark, folder):
     """Every row's rank under each numeric sort key, both directions."""
-    rows = materialize(screener.published(_scored(spark, folder)), "published")
-    out = None
-    for key in SORT_COLUMNS:
-        if key in ("name", "category"):
-            continue
-        for descending in (True, False):
-            one = numbered(rows, ScreenSpec(sort_key=key, descending=descending))
-            one = one.select(F.lit(key).alias("sort_key"), F.lit(descending).alias("descending"), "rank", F.col("slug").alias("k"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    specs = [ScreenSpec(sort_key=key, descending=down) for key in SORT_COLUMNS if key not in TEXT_KEYS for down in (True, False)]
+    return ranks(screener.published(_scored(spark, folder)).withColumnRenamed("slug", "k"), specs, "k")
 
 
 def sector_list(spark, folder):

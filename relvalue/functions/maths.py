@@ -42,14 +42,100 @@ def count_present(columns: Sequence[Column]) -> Column:
     return total
 
 
-def exact_sum(amount: str) -> str:
-    """SQL for the sum of a DOUBLE expression that is the same in whatever order rows arrive.
-
-    Amounts add as decimals of 18 places (below 1e20; what lies beyond counts as missing); turn
-    the total into a DOUBLE once, at the end, with ``to_double``.
-    """
-    return f"sum(try_cast({amount} AS DECIMAL(38, 18)))"
-
-
-def to_double(total: Column) -> Column:
-    return total.cast("double")
+# --- sums that are the same in any order, at any size --------------------------------------
+#
+# Amounts add as decimals of 18 places, each in the range its size falls in, so a sum can neither
+# overflow nor lose small amounts beside large ones. Ranges are a grouping key: amounts of usual size
+# need one or two, and only odd ones any more. ``joined`` puts the sums of the ranges together once.
+#
+#   0         below 1e9, as it is
+#   1         from 1e9, below 1e19, in units of 1e10
+#   100 + b   from 1e19, and what 18 places leave of an amount in range 0, in units of 2^(32 b)
+
+_SMALL, _LARGE = "1e9D", "1e19D"
+_OUTER = 100
+
+
+def _outer(amount: str) -> str:
+    """SQL for the part of a DOUBLE that belongs to an outer range; null or 0 if there is none."""
+    return (
+        f"CASE WHEN abs({amount}) >= {_LARGE} THEN {amount} "
+        f"WHEN abs({amount}) < {_SMALL} THEN {amount} - CAST(CAST({amount} AS DECIMAL(38, 18)) AS DOUBLE) END"
+    )
+
+
+def _outer_range(amount: str) -> str:
+    return f"{_OUTER} + CAST(floor(log2(nullif(abs({_outer(amount)}), 0D)) / 32) AS INT)"
+
+
+def sum_ranges(amounts: Sequence[str]) -> str:
+    """SQL for the array of ranges that the DOUBLE expressions fall in; range 0 is always among them."""
+    large = " OR ".join(f"(abs({a}) >= {_SMALL} AND abs({a}) < {_LARGE})" for a in amounts)
+    odd = " OR ".join(f"coalesce({_outer(a)}, 0D) <> 0" for a in amounts)
+    outer = f"array_distinct(array_compact(array({', '.join(_outer_range(a) for a in amounts)})))"
+    return (
+        f"CASE WHEN {odd} THEN concat(CASE WHEN {large} THEN array(0, 1) ELSE array(0) END, {outer}) "
+        f"WHEN {large} THEN array(0, 1) ELSE array(0) END"
+    )
+
+
+def _scaled(amount: str, exponent: str) -> str:
+    """SQL for amount * 2^exponent; in two steps, since 2^exponent alone may be out of range."""
+    return f"{amount} * pow(2D, {exponent} / 2) * pow(2D, {exponent} / 2)"
+
+
+def in_sum_range(amount: str, range_: str) -> str:
+    """SQL for the DECIMAL that an amount adds to the sum of a range; null where it adds none."""
+    return (
+        f"CASE WHEN {range_} = 0 THEN CASE WHEN abs({amount}) < {_SMALL} THEN CAST({amount} AS DECIMAL(38, 18)) END "
+        f"WHEN {range_} = 1 THEN CASE WHEN abs({amount}) >= {_SMALL} AND abs({amount}) < {_LARGE} "
+        f"THEN CAST(CAST({amount} AS DECIMAL(27, 8)) * 0.0000000001BD AS DECIMAL(38, 18)) END "
+        f"WHEN {range_} = {_outer_range(amount)} THEN CAST({_scaled(f'({_outer(amount)})', f'(32 * ({_OUTER} - {range_}))')} AS DECIMAL(38, 18)) END"
+    )
+
+
+def range_sums(total: str, range_: str, where: str = "true") -> dict[str, str]:
+    """SQL aggregates over the totals of one sum's ranges, for ``joined``."""
+    outer = _scaled(f"CAST({total} AS DOUBLE)", f"(32 * ({range_} - {_OUTER}))")
+    return {
+        "small": f"max(CASE WHEN {where} AND {range_} = 0 THEN {total} END)",
+        "large": f"max(CASE WHEN {where} AND {range_} = 1 THEN {total} END)",
+        "outer": f"sum(CASE WHEN {where} AND {range_} > 1 AND {total} <> 0 THEN {outer} END)",
+    }
+
+
+def joined(name: str) -> str:
+    """SQL for the DOUBLE total of what ``range_sums`` gave as ``<name>_small``, ``_large`` and ``_outer``; null if there is no amount."""
+    small, large, outer = f"{name}_small", f"{name}_large", f"{name}_outer"
+    both = (
+        f"coalesce(CAST(try_add(try_cast({large} AS DECIMAL(28, 18)) * 10000000000BD, coalesce({small}, 0BD)) AS DOUBLE), "
+        f"CAST({large} AS DOUBLE) * 1e10D + coalesce(CAST({small} AS DOUBLE), 0D))"
+    )
+    inner = f"CASE WHEN {large} IS NULL THEN CAST({small} AS DOUBLE) ELSE {both} END"
+    return f"CASE WHEN {outer} IS NULL THEN {inner} ELSE {outer} + coalesce({inner}, 0D) END"
+
+
+# --- numbers that order as several values do ------------------------------------------------
+
+
+def place_key(major: str, minor: str) -> str:
+    """SQL for a DECIMAL that orders by an INT, then a BIGINT; null comes first in both."""
+    return (
+        f"CAST(coalesce({major}, -2147483648) AS DECIMAL(10, 0)) * 18446744073709551616BD "
+        f"+ CAST(coalesce({minor}, -9223372036854775808) AS DECIMAL(19, 0))"
+    )
+
+
+def order_key(c: str) -> str:
+    """SQL for a BIGINT that orders as a finite, non-null DOUBLE does; equal only for equal values."""
+    size = f"abs({c})"
+    guess = f"CAST(floor(log2({size})) AS INT)"
+    share = f"({size} * pow(2D, -({guess})))"  # in [1, 2), or just beyond where the logarithm was rounded
+    normal = (
+        f"CASE WHEN {share} >= 2 THEN ({guess} + 1024) * 4503599627370496L + CAST(({share} / 2 - 1) * 4503599627370496D AS BIGINT) "
+        f"WHEN {share} < 1 THEN ({guess} + 1022) * 4503599627370496L + CAST(({share} * 2 - 1) * 4503599627370496D AS BIGINT) "
+        f"ELSE ({guess} + 1023) * 4503599627370496L + CAST(({share} - 1) * 4503599627370496D AS BIGINT) END"
+    )
+    # below the least normal number the step between neighbours is 2^-1074
+    tiny = f"CAST({size} * pow(2D, 537) * pow(2D, 537) AS BIGINT)"
+    return f"(CASE WHEN {c} < 0 THEN -1L ELSE 1L END * CASE WHEN {size} >= 2.2250738585072014E-308D THEN {normal} ELSE {tiny} END)"

@@ -1,32 +1,26 @@
 """Percentile of each multiple within its sector, or within the whole market for small sectors.
 
 A window over the sector (or over nothing, for the market) would sort all rows of the largest
-sector in one task. Here the number of pool values above a value is put together from three
-parts. However the data are skewed, no window sees more than about a million rows (the
-histogram would if values spanned more than 26 orders of magnitude):
-
-* values are reduced to distinct values with counts, so copies of a value are one row;
-* ``floor(ln(value) * 2^34)`` puts each value into a cell, a fixed and monotone rule; 2^20 cells
-  in a row form a bucket, so a factor e of value range holds 2^14 buckets;
-* members in higher buckets of the pool: a window over the pool's histogram by bucket;
-* members in higher cells of the bucket: a window over at most 2^20 cells;
-* higher values in the cell: a window over at most the 2^18 doubles or so that fit in a cell.
-
-The count is exact. The sector size decides per metric which pool a row uses.
+sector in one task. Here values are reduced to distinct values with counts and dealt to ranges of
+the value once. Of the pool members above a value,
+
+* those in later ranges are a sum over a small table, a row for each range and pool;
+* those in its own range are counted by a window over the range, which holds no more than its share.
+
+One pass gives both the sector's and the market's count. It is exact. All rows of a value are in one range,
+so ties never count as above. The sector size decides per metric which pool a row uses.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.operators.materialize import materialize
+from relvalue.operators.ranges import RANGE, before, dealt
 
 CASH_FLOW = ("pf", "ps", "phr")
 RANKED = ("pf", "ps", "phr", "mcap_tvl")
 
-CELLS_PER_E = 1 << 34
-CELL_BITS_PER_BUCKET = 20
-
 # A value is hot if it makes up more than one part in HOT_SHARE of a metric's pool. There can
 # be at most HOT_SHARE such values per metric, which bounds what is broadcast.
 HOT_SHARE = 1000
@@ -61,28 +55,6 @@ def pool_sizes(df: DataFrame) -> DataFrame:
     )
 
 
-def _higher(partition: str, order: str) -> str:
-    return (
-        f"coalesce(sum(members) OVER (PARTITION BY {partition} ORDER BY {order} DESC "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    )
-
-
-def _above(values: str, cells: str, pool: str) -> str:
-    """Values with ``above`` (members of their pool that are greater) and the pool size ``n``."""
-    return f"""
-      SELECT v.* EXCEPT (higher), c.n, c.above + v.higher AS above
-      FROM (SELECT *, {_higher(f'{pool}, bucket, cell', 'value')} AS higher FROM {values}) v
-      JOIN (
-        SELECT {pool}, bucket, cell, b.n, b.higher + c.higher AS above
-        FROM (SELECT *, {_higher(f'{pool}, bucket', 'cell')} AS higher FROM {cells}) c
-        JOIN (
-          SELECT *, {_higher(pool, 'bucket')} AS higher, sum(members) OVER (PARTITION BY {pool}) AS n
-          FROM (SELECT {pool}, bucket, sum(members) AS members FROM {cells} GROUP BY {pool}, bucket)
-        ) b USING ({pool}, bucket)
-      ) c USING ({pool}, bucket, cell)"""
-
-
 def _lookup(rows: str, table: str, pool: str, spread: str) -> str:
     """Rows with the ``percentile`` of their pool and value; ``table`` is unique on those.
 
@@ -102,58 +74,25 @@ def _lookup(rows: str, table: str, pool: str, spread: str) -> str:
       LEFT JOIN (SELECT {pool}, value AS cold_value, percentile FROM {table}) cold USING ({pool}, cold_value)"""
 
 
-_PERCENTILE = "CASE WHEN n <= 1 THEN 50D ELSE above / (n - 1) * 100 END AS percentile"
-_HOT = f"members * {HOT_SHARE} > market_n AS hot"
-
-# Every distinct pool value with its rank within the sector.
-_BY_SECTOR = f"""
-WITH market_sizes AS (  -- one row per metric: four
-  SELECT metric, count(*) AS market_n FROM {{ranked}} WHERE pooled GROUP BY metric
-),
-counts AS (
-  SELECT metric, sector, shiftright(cell, {CELL_BITS_PER_BUCKET}) AS bucket, cell, value, count(*) AS members
-  FROM (
-    -- ln is null for 0, which only an underflowing ratio gives; it goes below all others.
-    SELECT metric, sector, value, coalesce(floor(ln(value) * {CELLS_PER_E}), -4611686018427387904L) AS cell
-    FROM {{ranked}} WHERE pooled
-  )
-  GROUP BY metric, sector, cell, value
-),
-cells AS (
-  SELECT metric, sector, bucket, cell, sum(members) AS members FROM counts GROUP BY metric, sector, bucket, cell
-)
-SELECT /*+ BROADCAST(market_sizes) */ *
-FROM ({_above('counts', 'cells', 'metric, sector')}) JOIN market_sizes USING (metric)
-"""
-
-# The percentile of every distinct pool value: its sector's, or the market's for small sectors.
-# Market ranks are needed for the values of small sectors only, so only their cells are ranked.
-_TABLE = f"""
-WITH small AS (
-  SELECT metric, sector, bucket, cell, value, members, market_n FROM {{by_sector}} WHERE n < {S.MIN_SECTOR_SAMPLE}
-),
-market AS (
-  SELECT metric, bucket, cell, value, sum(members) AS members, max(market_n) AS market_n
-  FROM {{by_sector}} GROUP BY metric, bucket, cell, value
-),
-near AS (
-  SELECT * FROM market LEFT SEMI JOIN (SELECT DISTINCT metric, bucket, cell FROM small) USING (metric, bucket, cell)
-),
-cells AS (
-  SELECT metric, bucket, cell, sum(members) AS members FROM {{by_sector}} GROUP BY metric, bucket, cell
-),
-by_market AS (
-  SELECT metric, value, {_PERCENTILE}, {_HOT} FROM ({_above('near', 'cells', 'metric')})
+# The window counts the members from the highest value down to (and without) the row's own.
+_PERCENTILE_TABLE = f"""
+WITH in_range AS (
+  SELECT {RANGE}, metric, sector, value, members,
+    sum(members) OVER (PARTITION BY {RANGE}, metric, sector ORDER BY value DESC) - members AS sector_above,
+    sum(members) OVER (PARTITION BY {RANGE}, metric ORDER BY value DESC) - sum(members) OVER (PARTITION BY {RANGE}, metric, value) AS market_above
+  FROM {{placed}}
 )
-SELECT metric, sector, value, {_PERCENTILE}, {_HOT} FROM {{by_sector}} WHERE n >= {S.MIN_SECTOR_SAMPLE}
-UNION ALL
-SELECT metric, sector, value, percentile, {_HOT} FROM ({_lookup('small', 'by_market', 'metric', 'r.sector')})
+SELECT metric, sector, value, members * {{hot_share}} > m.n AS hot, m.n AS market_n,
+  CASE WHEN s.n >= {S.MIN_SECTOR_SAMPLE} THEN (s.before + sector_above) / (s.n - 1) * 100
+    WHEN m.n <= 1 THEN 50D
+    ELSE (m.before + market_above) / (m.n - 1) * 100 END AS percentile
+FROM in_range JOIN {{sectors}} s USING ({RANGE}, metric, sector) JOIN {{markets}} m USING ({RANGE}, metric)
 """
 
 # A value above the cap has no pool member above it: 0, or 50 in a pool of at most one, which
 # a pool of five or more never is, so the market size decides.
 _ANSWER = f"""
-WITH market_sizes AS (SELECT metric, max(market_n) AS market_n FROM {{by_sector}} GROUP BY metric),
+WITH market_sizes AS (SELECT metric, max(market_n) AS market_n FROM {{table}} GROUP BY metric),
 asked AS (
   SELECT slug, metric, sector, pooled, CASE WHEN pooled THEN value END AS value FROM {{ranked}}
 ),
@@ -172,14 +111,27 @@ FROM {{gated}} g LEFT JOIN per_entity p ON p.slug = g.slug
 """
 
 
+def _pool_shares(placed: DataFrame, *pool: str) -> DataFrame:
+    """For each range and pool: members of the pool in later ranges (``before``) and in all (``n``)."""
+    shares = placed.groupBy(RANGE, *pool).agg(F.sum("members").alias("here"))
+    return before(shares, "here", *pool, later=True).withColumn("n", F.sum("here").over(Window.partitionBy(*pool))).drop("here")
+
+
+def percentile_table(ranked: DataFrame) -> DataFrame:
+    """The percentile of every distinct pool value of a metric and sector, written; ``hot`` marks values to broadcast."""
+    counts = ranked.where("pooled").groupBy("metric", "sector", "value").agg(F.count(F.lit(1)).alias("members"))
+    placed = dealt(counts, [F.col("metric"), F.col("value")], [F.col("sector")], label="values")
+    table = placed.sparkSession.sql(
+        _PERCENTILE_TABLE, placed=placed.repartition(RANGE, "metric"), hot_share=HOT_SHARE,
+        sectors=_pool_shares(placed, "metric", "sector"), markets=_pool_shares(placed, "metric"))
+    return materialize(table, "percentiles")
+
+
 def with_percentiles(df: DataFrame) -> DataFrame:
     """Add ``sector_percentiles``. Reads ``df`` more than once: hand in a written table.
 
-    ``slug`` identifies the rows. The ranks and the lookup table, which are read several times
-    as well, are written in turn.
+    ``slug`` identifies the rows. The distinct values in their ranges and the lookup table, which are read
+    several times as well, are written in turn.
     """
-    spark = df.sparkSession
     ranked = ranked_values(df, "slug")
-    by_sector = materialize(spark.sql(_BY_SECTOR, ranked=ranked), "sector_ranks")
-    table = materialize(spark.sql(_TABLE, by_sector=by_sector), "percentiles")
-    return spark.sql(_ANSWER, ranked=ranked, by_sector=by_sector, table=table, gated=df)
+    return df.sparkSession.sql(_ANSWER, ranked=ranked, table=percentile_table(ranked), gated=df)

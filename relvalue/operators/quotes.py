@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.functions.guards import conform
-from relvalue.functions.maths import change_pct
+from relvalue.functions.maths import change_pct, place_key
 
 # A symbol may be shared by a large part of all groups; its groups are dealt to so many tasks.
 SYMBOL_SALTS = 16
@@ -19,9 +19,13 @@ def market_rows(market: DataFrame) -> DataFrame:
 
 
 def market_by_id(market: DataFrame) -> DataFrame:
-    """key = id; the last row of an id wins."""
-    last = F.max(F.struct("page", "pos", F.struct(*_QUOTE).alias("quote")))["quote"]
-    return market.where("id IS NOT NULL").groupBy(F.col("id").alias("key")).agg(last.alias("quote"))
+    """key = id; the last row of an id wins. Its place is found first, then its quote is fetched.
+
+    ``page`` and ``pos`` identify a row.
+    """
+    rows = market.where("id IS NOT NULL").withColumn("turn", F.expr(place_key("page", "pos")))
+    last = rows.groupBy("id").agg(F.max("turn").alias("turn"))
+    return rows.join(last, ["id", "turn"]).select(F.col("id").alias("key"), F.struct(*_QUOTE).alias("quote"))
 
 
 def market_by_symbol(market: DataFrame) -> DataFrame:

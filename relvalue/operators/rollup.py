@@ -1,130 +1,185 @@
 """Roll listing and flow rows up to their parent entity.
 
-Both feeds are stacked into one table and reduced twice: per slug, which also finds the
-slug's parent, then per group key (parent, or the slug itself). That takes two shuffles and
-no join. Every aggregate can be merged, so rows are combined before each shuffle and a slug
-or parent that holds a large share of all rows reaches one task as one row per map task.
+Aggregates hash: they hold numbers only, and text that must come along is a grouping key or is
+fetched afterwards.
+
+1. Both feeds are stacked into rows of a slug, the parent it names, a kind (one of the flow metrics, or
+   listing) and a range of amounts (see ``maths.sum_ranges``), and reduced by these. That combines
+   before the shuffle, so a slug that holds a large share of all rows arrives as a row per map task.
+2. A window over the reduced rows of a slug finds its parent: the row that ranks highest names it.
+3. The rows are reduced again per group (parent, or the slug itself), kind and range, then put side by side.
+4. The members that lend a group its descriptive fields are known by position; one join on the
+   position fetches the fields.
+
+``pos`` identifies a listing row and lies in [0, 2^61).
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.functions.guards import conform
-from relvalue.functions.maths import exact_sum, positive, to_double
+from relvalue.functions.maths import in_sum_range, joined, order_key, place_key, positive, range_sums, sum_ranges
 from relvalue.functions.text import PARENT_PREFIX, pretty_parent
 
 WINDOWS = ("annual", "d7", "prev7", "d30", "prev30")
-# Listing columns and the aggregate that reduces each.
-_MEMBER = {
-    "first_pos": "min", "dl_mcap": "max", "tvl": "sum", "id_key": "min", "symbol_key": "min", "rep": "min",
-}
-
 _FLOWS = tuple(f"{m}_{w}" for m in S.METRICS for w in WINDOWS)
 
+# Kinds of stacked rows: a metric's place, or this for listing rows, whose one amount is the locked value.
+_LISTED = len(S.METRICS)
+_POS_LIMIT = 1 << 61
+# What listing rows add beside amounts, and the aggregate that reduces each.
+_MEMBER = {"first_pos": "min", "dl_mcap": "max", "id_pos": "min", "symbol_pos": "min", "rep_0": "min", "rep_1": "min", "rep_2": "min"}
+# Fields that a group takes from a member.
+_LENT = ("gecko_id", "symbol", "name", "category", "chains", "logo", "change_1d", "change_7d")
+
+
+def _strongest(rows: DataFrame) -> DataFrame:
+    """``parent``: the one that the slug's highest claim names. The rows are reduced by slug and parent."""
+    return rows.withColumn("parent", F.max_by("parent", "claim").over(Window.partitionBy("slug")))
+
 
 def parent_map(flow: DataFrame) -> DataFrame:
     """slug -> parent; the last feed (then the last row) that names a parent wins."""
     rows = conform(flow, S.FLOW).where("slug IS NOT NULL AND parent IS NOT NULL")
-    return rows.groupBy("slug").agg(F.max(F.struct("list_ord", "pos", "parent"))["parent"].alias("parent"))
+    claims = rows.groupBy("slug", "parent").agg(F.max(F.expr(place_key("list_ord", "pos"))).alias("claim"))
+    highest = F.max("claim").over(Window.partitionBy("slug"))
+    return claims.withColumn("highest", highest).where("claim = highest").select("slug", "parent")
+
+
+def _ranged(rows: DataFrame, keep: list[str], amounts: list[str]) -> DataFrame:
+    """A row for each range of amounts that a row's amounts fall in, with what they add to it."""
+    spread = rows.withColumn("range", F.explode(F.expr(sum_ranges(amounts))))
+    return spread.selectExpr(*keep, "range", *[f"{in_sum_range(a, 'range')} AS {a}" for a in amounts])
 
 
 def _flow_rows(flow: DataFrame) -> DataFrame:
     """Positive amounts only. A year's total stands as it is, else 30 days are scaled to a year."""
-    return conform(flow, S.FLOW).where("slug IS NOT NULL").selectExpr(
-        "slug", "metric",
-        "CASE WHEN parent IS NOT NULL THEN struct(list_ord, pos, parent) END AS parent_key",
+    kind = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(S.METRICS))
+    rows = conform(flow, S.FLOW).where("slug IS NOT NULL").selectExpr(
+        "slug", "parent",
+        f"CASE metric {kind} ELSE {_LISTED + 1} END AS kind",
+        f"CASE WHEN parent IS NOT NULL THEN {place_key('list_ord', 'pos')} END AS claim",
         "CASE WHEN total1y > 0 THEN total1y WHEN total30d > 0 THEN total30d * 365 / 30 END AS annual",
         "CASE WHEN total7d > 0 THEN total7d END AS d7",
         "CASE WHEN total14dto7d > 0 THEN total14dto7d END AS prev7",
         "CASE WHEN total30d > 0 THEN total30d END AS d30",
         "CASE WHEN total60dto30d > 0 THEN total60dto30d END AS prev30",
     )
+    return _ranged(rows, ["slug", "parent", "kind", "claim"], list(WINDOWS))
 
 
 def _listing_rows(listing: DataFrame) -> DataFrame:
-    """``rep`` orders the members by who lends the descriptive fields: tier, locked value, position."""
-    return (
+    """``rep_0`` to ``rep_2`` order the members of a tier by who lends the descriptive fields.
+
+    Tiers: those with an id, with a market value, the rest by locked value; then by position.
+    """
+    by_tvl = f"CAST(-{order_key('coalesce(tvl, 0D)')} AS DECIMAL(19, 0)) * {_POS_LIMIT}BD + CAST(pos AS DECIMAL(19, 0))"
+    rows = (
         conform(listing, S.LISTING)
         .where("slug IS NOT NULL")
-        .selectExpr("*", "CASE WHEN gecko_id IS NOT NULL THEN 0 WHEN mcap > 0 THEN 1 ELSE 2 END AS tier")
         .selectExpr(
             "slug",
+            f"{_LISTED} AS kind",
+            "tvl AS annual",
             "pos AS first_pos",
             "CASE WHEN mcap > 0 THEN mcap END AS dl_mcap",
-            "tvl",
-            "CASE WHEN gecko_id IS NOT NULL THEN struct(pos, gecko_id) END AS id_key",
-            "CASE WHEN symbol <> '-' THEN struct(pos, symbol) END AS symbol_key",
-            "struct(tier, CASE WHEN tier = 2 THEN -coalesce(tvl, 0D) ELSE 0D END AS by_tvl, pos, "
-            "name, category, chains, logo, change_1d, change_7d) AS rep",
+            "CASE WHEN gecko_id IS NOT NULL THEN pos END AS id_pos",
+            "CASE WHEN symbol <> '-' THEN pos END AS symbol_pos",
+            "CASE WHEN gecko_id IS NOT NULL THEN pos END AS rep_0",
+            "CASE WHEN gecko_id IS NULL AND mcap > 0 THEN pos END AS rep_1",
+            f"CASE WHEN gecko_id IS NULL AND NOT coalesce(mcap > 0, false) THEN {by_tvl} END AS rep_2",
         )
     )
+    return _ranged(rows, ["slug", "kind", *_MEMBER], ["annual"])
 
 
-def _per_slug(rows: DataFrame) -> DataFrame:
-    """First reduction. Each aggregate picks its metric itself, which keeps the stacked rows narrow."""
+def _reduced(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of the amounts by ``keys``, and the members' numbers where the rows have them."""
     columns = set(rows.columns)
-    aggregates = ["max(parent_key) AS parent_key"]
-    for m in S.METRICS:
-        aggregates.append(f"max(CASE WHEN metric = '{m}' THEN true END) AS {m}_seen")
-        aggregates += [f"{exact_sum(f"CASE WHEN metric = '{m}' THEN {w} END")} AS {m}_{w}" for w in WINDOWS]
-    aggregates += [f"{exact_sum(c) if reduce == 'sum' else f'{reduce}({c})'} AS {c}" for c, reduce in _MEMBER.items() if c in columns]
-    return rows.groupBy("slug").agg(*map(F.expr, aggregates))
+    aggregates = [f"sum({w}) AS {w}" for w in WINDOWS]
+    aggregates += [f"max({c}) AS {c}" for c in ("claim",) if c in columns]
+    aggregates += [f"{reduce}({c}) AS {c}" for c, reduce in _MEMBER.items() if c in columns]
+    return rows.groupBy(*keys).agg(*map(F.expr, aggregates))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """Second reduction, per group key: the same aggregates over the results of the first."""
-    per_slug = _per_slug(rows)
-    columns = set(per_slug.columns)
-    aggregates = [f"max({m}_seen) AS {m}_seen" for m in S.METRICS]
-    aggregates += [f"{exact_sum(c)} AS {c}" for c in _FLOWS]
-    aggregates += [f"{exact_sum(c) if reduce == 'sum' else f'{reduce}({c})'} AS {c}" for c, reduce in _MEMBER.items() if c in columns]
-    key = F.coalesce("parent_key.parent", "slug").alias("k")
-    return per_slug.groupBy(key).agg(*map(F.expr, aggregates))
+    """Stacked rows reduced per slug, then per group key ``k``; still one row for each kind and range."""
+    per_slug = _strongest(_reduced(rows, "slug", "parent", "kind", "range"))
+    return _reduced(per_slug.withColumn("k", F.coalesce("parent", "slug")).drop("claim"), "k", "kind", "range")
 
 
-def _flow_value(name: str) -> Column:
-    return positive(to_double(F.col(name))).alias(name)
+def _totals(sums: dict[str, tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """SQL aggregates, and SQL for the totals; ``sums`` names the amount and condition of each."""
+    aggregates, totals = [], []
+    for name, (amount, where) in sums.items():
+        aggregates += [f"{sql} AS {name}_{part}" for part, sql in range_sums(amount, "range", where).items()]
+        totals.append(f"{joined(name)} AS {name}")
+    return aggregates, totals
 
 
 def flow_rollup(flow: DataFrame) -> DataFrame:
     """Positive flows summed per group and metric, groups without a listing row included."""
-    grouped = _grouped(_flow_rows(flow))
-    per_metric = F.array(*[
-        F.struct(
-            F.lit(m).alias("metric"),
-            F.col(f"{m}_seen").alias("seen"),
-            *[_flow_value(f"{m}_{w}").alias(w) for w in WINDOWS],
-        )
-        for m in S.METRICS
-    ])
+    aggregates, totals = _totals({w: (w, "true") for w in WINDOWS})
+    names = F.array(*map(F.lit, S.METRICS))
     return (
-        grouped.select("k", F.explode(per_metric).alias("row"))
-        .where("row.seen")
-        .select("k", "row.metric", *[f"row.{w}" for w in WINDOWS])
+        _grouped(_flow_rows(flow)).where(f"kind < {_LISTED}")
+        .groupBy("k", "kind").agg(*map(F.expr, aggregates))
+        .selectExpr("k", "kind", *totals)
+        .select("k", names[F.col("kind")].alias("metric"), *[positive(F.col(w)).alias(w) for w in WINDOWS])
     )
 
 
+def _with_lent(groups: DataFrame, listing: DataFrame) -> DataFrame:
+    """Groups with the fields of the members at ``id_pos``, ``symbol_pos`` and ``rep_pos``.
+
+    A group goes along with its representative only. A group needs three members at most.
+    """
+    numbers = [c for c in groups.columns if c != "k"]
+    wanted = groups.select(
+        "k", F.struct(*numbers).alias("g"), F.explode(F.array_distinct(F.array_compact(F.array("rep_pos", "id_pos", "symbol_pos")))).alias("pos")
+    ).withColumn("g", F.when(F.col("pos") == F.col("g.rep_pos"), F.col("g")))
+    members = conform(listing, S.LISTING).where("slug IS NOT NULL").select("pos", F.struct(*_LENT).alias("member"))
+    found = wanted.join(members, "pos").groupBy("k").agg(F.collect_list(F.struct("pos", "g", "member")).alias("found"))
+    rep = found.withColumn("rep", F.filter("found", lambda x: x["g"].isNotNull())[0])
+
+    def lent(pos: str, field: str):
+        return F.filter("found", lambda x: x["pos"] == F.col(f"rep.g.{pos}"))
+
+    one = {field: F.get(lent(pos, field), F.lit(0))["member"][field].alias(field) for field, pos in (("gecko_id", "id_pos"), ("symbol", "symbol_pos"))}
+    return rep.select("k", "rep.g.*", *one.values(), *[F.col(f"rep.member.{c}").alias(c) for c in _LENT if c not in one])
+
+
 def group_rollup(listing: DataFrame, flow: DataFrame) -> DataFrame:
     """One row per listed group: descriptive fields, market value, locked value and its flows.
 
     Groups known from flows only have no listing row and drop out.
     """
     rows = _flow_rows(flow).unionByName(_listing_rows(listing), allowMissingColumns=True)
-    grouped = _grouped(rows).where(F.col("first_pos").isNotNull())
+    sums = {f"{m}_{w}": (w, f"kind = {i}") for i, m in enumerate(S.METRICS) for w in WINDOWS}
+    aggregates, totals = _totals(sums | {"tvl": ("annual", f"kind = {_LISTED}")})
+    groups = (
+        _grouped(rows)
+        .groupBy("k").agg(*map(F.expr, aggregates), *[F.expr(f"{reduce}({c}) AS {c}") for c, reduce in _MEMBER.items()])
+        .where("first_pos IS NOT NULL")
+        .selectExpr(
+            "k", "first_pos", "dl_mcap", "id_pos", "symbol_pos",
+            f"coalesce(rep_0, rep_1, CAST(pmod(rep_2, {_POS_LIMIT}BD) AS BIGINT)) AS rep_pos", *totals,
+        )
+    )
     is_parent = F.col("k").startswith(PARENT_PREFIX)
-    return grouped.select(
+    return _with_lent(groups, listing).select(
         "k",
         "first_pos",
-        F.when(is_parent, pretty_parent(F.col("k"))).otherwise(F.coalesce("rep.name", "k")).alias("name"),
-        F.col("symbol_key.symbol").alias("symbol"),
-        F.col("id_key.gecko_id").alias("gecko_id"),
-        F.col("rep.category").alias("category"),
-        F.col("rep.chains").alias("chains"),
-        F.col("rep.logo").alias("logo"),
-        F.col("rep.change_1d").alias("change1d"),
-        F.col("rep.change_7d").alias("change7d"),
+        F.when(is_parent, pretty_parent(F.col("k"))).otherwise(F.coalesce("name", "k")).alias("name"),
+        "symbol",
+        "gecko_id",
+        "category",
+        "chains",
+        "logo",
+        F.col("change_1d").alias("change1d"),
+        F.col("change_7d").alias("change7d"),
         "dl_mcap",
-        to_double(F.col("tvl")).alias("tvl"),
-        *[_flow_value(c) for c in _FLOWS],
+        "tvl",
+        *[positive(F.col(c)).alias(c) for c in _FLOWS],
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.functions.text import collation_key, haystack
-from relvalue.operators.materialize import materialize
+from relvalue.operators.ranges import PLACE, RANGE, before, dealt
 
 # The sort keys, each with its column. The two text keys compare by collation, the rest as numbers.
 SORT_COLUMNS = {
@@ -161,12 +161,33 @@ def numbered(rows: DataFrame, spec: ScreenSpec) -> DataFrame:
     Rows are dealt to ranges of the order and written; a row's rank is its place in its range and the
     sizes of the ranges before. No task sees more than a range. Writes when called.
     """
-    order = order_by(spec)
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranges.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    placed = materialize(placed, "ranges")
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    ranked = placed.join(before, "_range").withColumn("rank", F.col("_before") + F.col("_place") + 1)
-    return ranked.drop("_range", "_place", "_before", "_size")
+    placed = dealt(rows, order_by(spec))
+    sizes = placed.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_size"))
+    ranked = placed.join(before(sizes, "_size").drop("_size"), RANGE).withColumn("rank", F.col("before") + F.col(PLACE) + 1)
+    return ranked.drop(RANGE, PLACE, "before")
+
+
+def ranks(rows: DataFrame, specs: Sequence[ScreenSpec], *keep: str) -> DataFrame:
+    """sort_key, descending, rank and the columns ``keep`` of every row under the order of every screen; filters don't count.
+
+    Each row is taken once for each order, with its key as a number that sorts ascending, and all orders
+    are dealt to ranges together: one range exchange and one written table for any number of orders.
+    Text keys have no such number. Writes when called.
+    """
+    text = [s.sort_key for s in specs if s.sort_key in TEXT_KEYS]
+    if text:
+        raise ValueError(f"{', '.join(text)}: only numeric keys can be ranked together")
+    orders = [
+        F.struct(
+            F.lit(i).alias("nth"), F.lit(s.sort_key).alias("sort_key"), F.lit(s.descending).alias("descending"),
+            (-F.col(SORT_COLUMNS[s.sort_key]) if s.descending else F.col(SORT_COLUMNS[s.sort_key])).cast("double").alias("key"),
+        )
+        for i, s in enumerate(specs)
+    ]
+    narrow = rows.select(*keep, F.col("value_score").alias("_score"), F.col("first_pos").alias("_pos"), F.array(*orders).alias("_orders"))
+    long = narrow.select(*keep, "_score", "_pos", F.inline("_orders"))
+    order = [F.col("nth"), F.col("key").asc_nulls_last(), F.col("_score").desc_nulls_last(), F.col("_pos").asc()]
+    placed = dealt(long, order, label="orders")
+    sizes = placed.groupBy("nth", RANGE).agg(F.count(F.lit(1)).alias("_size"), F.min(PLACE).alias("_first"))
+    offsets = before(sizes, "_size", "nth").select("nth", RANGE, (F.col("before") - F.col("_first")).alias("_offset"))
+    return placed.join(offsets, ["nth", RANGE]).select("sort_key", "descending", (F.col("_offset") + F.col(PLACE) + 1).alias("rank"), *keep)

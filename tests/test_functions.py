@@ -1,3 +1,7 @@
+import math
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +76,57 @@ def test_weighted_mean(spark):
     assert [r.x for r in rows.select(mean.alias("x")).collect()] == [1.0, None, 2.5]
 
 
-def test_exact_sum(spark):
-    rows = spark.createDataFrame([(0.1,), (0.2,), (None,), (1e300,), (-1e15,)], "a DOUBLE")
-    total = maths.to_double(F.expr(maths.exact_sum("a")))
-    assert rows.agg(total).first()[0] == -999999999999999.7
+def total(rows):
+    """The sum of column a, by ranges."""
+    parts = rows.withColumn("range", F.explode(F.expr(maths.sum_ranges(["a"])))).withColumn("a", F.expr(maths.in_sum_range("a", "range")))
+    sums = parts.groupBy("range").agg(F.sum("a").alias("a"))
+    named = sums.agg(*[F.expr(f"{sql} AS a_{name}") for name, sql in maths.range_sums("a", "range").items()])
+    return named.select(F.expr(maths.joined("a"))).first()[0]
+
+
+@pytest.mark.parametrize("amounts, want", [
+    ([0.1, 0.2, None, -1e15], -999999999999999.7),
+    ([1e25, 1.0, -1e25], 1.0),
+    ([1e300, 1e300, -1e300, 0.25, -1e300], 0.25),
+    ([5e-30], 5e-30),
+    ([5e-30, 1e9, -1e9], 5e-30),
+    ([1e19, 1e19, 1e19, 1e19, 1e19, 1e19, 1e19, 1e19, 1e19, 1e19, 1e19], 1.1e20),
+    ([9.9e18] * 20, 1.98e20),
+    ([1e308, -1e308, 5e-324], 5e-324),
+    ([4.9e-324, 2.5e-310], 2.5e-310 + 4.9e-324),
+    ([1e18, 0.3, 1e9], 1000000001000000000.3),
+    ([-1e25, -2.5], -1e25 - 2.5),
+    ([0.0, -0.0], 0.0),
+    ([None, None], None),
+    ([], None),
+])
+def test_sums_of_any_size_in_any_order(spark, amounts, want):
+    for seed in range(3):
+        random.Random(seed).shuffle(amounts)
+        assert total(spark.createDataFrame([(a,) for a in amounts], "a DOUBLE").repartition(1 + seed)) == want
+
+
+def test_sums_against_fractions(spark):
+    """Amounts of all sizes; a total is off by a last bit or two at most."""
+    rng = random.Random(4)
+    for low, high in ((-300, 300), (-20, 25), (8, 20), (-12, 3)):
+        amounts = [rng.choice([-1, 1]) * rng.uniform(1, 10) * 10.0 ** rng.randint(low, high) for _ in range(200)]
+        want = float(sum(map(Fraction, amounts)))
+        assert total(spark.createDataFrame([(a,) for a in amounts], "a DOUBLE").repartition(3)) == pytest.approx(want, rel=1e-15)
+
+
+def test_order_key(spark):
+    rng = random.Random(2)
+    values = [0.0, 1.0, 2.0, 0.5, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 3.0]
+    values += [math.nextafter(2.0**e, up) for e in range(-1022, 1024, 31) for up in (0.0, math.inf)] + [2.0**e for e in range(-1022, 1024, 31)]
+    values += [rng.uniform(0, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(300)]
+    values = sorted({v for x in values for v in (x, -x)})
+    rows = spark.createDataFrame([(v,) for v in values], "a DOUBLE").select("a", F.expr(maths.order_key("a")).alias("key")).collect()
+    keys = [r.key for r in sorted(rows, key=lambda r: r.a)]
+    assert all(a < b for a, b in zip(keys, keys[1:])) and len(keys) == len(values)
+
+
+def test_place_key(spark):
+    rows = [(None, 5), (1, None), (1, -3), (1, 1 << 60), (2, -(1 << 63)), (2, 0), (2147483647, (1 << 63) - 1)]
+    got = spark.createDataFrame(rows, "a INT, b BIGINT").select("a", "b", F.expr(maths.place_key("a", "b")).alias("key")).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.key)] == rows

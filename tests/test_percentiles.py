@@ -1,6 +1,5 @@
 """Percentiles against counting by hand, with hot values, tiny sectors and skew."""
 
-import math
 import random
 
 import pytest
@@ -75,13 +74,11 @@ def test_distinct_values(spark, seed):
 def test_nothing_is_hot(spark, monkeypatch):
     """With no value hot, every row goes through the second lookup."""
     rng = random.Random(5)
-    for name in ("_TABLE", "_BY_SECTOR"):
-        monkeypatch.setattr(percentiles, name, getattr(percentiles, name).replace("members * 1000", "members * 0"))
+    monkeypatch.setattr(percentiles, "HOT_SHARE", 0)
     check(spark, make(rng, 150, ["Dexs", "Yield", "tiny-1", "tiny-2"], lambda r: 10 ** r.uniform(4, 9)))
 
 
-def test_close_values_share_a_bucket(spark):
-    """Values too close for the buckets to tell apart are still ranked exactly."""
+def test_close_values(spark):
     rows = [
         dict(slug=f"e{i}", category="Dexs", mcap=1e9, fees_annual=1e8 + i * 1e-3, fees30d=1.0, tvl=5e8 + i)
         for i in range(40)
@@ -89,13 +86,13 @@ def test_close_values_share_a_bucket(spark):
     check(spark, rows)
 
 
-def test_neighbouring_doubles_share_a_cell(spark):
+def test_neighbouring_doubles(spark):
     rows = [
         dict(slug=f"e{i}", category="Dexs", mcap=1e9, fees_annual=1e8 - i * 2.0**-26, fees30d=1.0, tvl=5e8)
         for i in range(30)
     ]
     multiples = {r.multiples.pf for r in gated(entity_frame(spark, rows)).collect()}
-    assert len({int(math.log(v) * percentiles.CELLS_PER_E) for v in multiples}) == 1 < len(multiples)
+    assert len(multiples) > 1 and max(multiples) - min(multiples) < 1e-12
     check(spark, rows)
 
 
@@ -110,3 +107,40 @@ def test_partitioning_does_not_matter(spark):
 
 def test_pools_without_members(spark):
     check(spark, [dict(slug="only", category="Dexs", mcap=1e9, fees_annual=2e5, fees30d=1.0, tvl=None)])
+
+
+@pytest.fixture
+def eight_ranges(spark):
+    """Small tables in as many ranges as large ones."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_many_ranges(spark, eight_ranges, seed):
+    """Ties, pools that lie in all ranges, and pools that lie in one."""
+    rng = random.Random(seed)
+    sectors = ["Dexs"] * 3 + ["Lending", None] + [f"tiny-{i}" for i in range(9)]
+    rows = make(rng, 250, sectors, lambda r: r.choice([None, 2e5, 2e5, 7e6, r.uniform(1e5, 1e8)]))
+    check(spark, rows)
+
+
+def test_exchanges(spark, monkeypatch):
+    """Twelve at most over the tables and the answer, none of them into a single task but for the metrics' own few rows."""
+    from relvalue.operators import materialize, ranges
+
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize.materialize(df, label)
+
+    monkeypatch.setattr(ranges, "materialize", noted)
+    monkeypatch.setattr(percentiles, "materialize", noted)
+    frame = materialize.materialize(gated(entity_frame(spark, make(random.Random(1), 60, ["Dexs", "a"], lambda r: r.uniform(1e5, 1e8)))), "gated")
+    plans.append(percentiles.with_percentiles(frame)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3
+    assert sum(p.count("Exchange ") - p.count("BroadcastExchange ") - p.count("ReusedExchange ") for p in plans) <= 12
+    assert not any("SinglePartition" in p for p in plans)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from relvalue import schemas as S
@@ -178,3 +180,66 @@ def test_order_of_rows_does_not_matter(spark):
     a = group_rollup(listing(spark, *entries).coalesce(1), flow(spark, *flows).coalesce(1)).collect()
     b = group_rollup(listing(spark, *entries).repartition(9), flow(spark, *flows).repartition(7)).collect()
     assert a == b
+
+
+@pytest.mark.parametrize("amounts, want", [([1e25, 1.0, -1e25], 1.0), ([5e-30], 5e-30), ([3e21, 1e25, 2.0, -1e25], 3e21), ([1e30, 1e9, 0.125, -1e30, -1e9], 0.125)])
+def test_locked_value_of_any_size(spark, amounts, want):
+    """Nothing is lost beside large amounts, nor in a sum that cancels them."""
+    for order in (amounts, amounts[::-1], sorted(amounts)):
+        entries = [dict(slug=f"s{i}", tvl=x) for i, x in enumerate(order)]
+        flows = [dict(metric="fees", slug=f"s{i}", parent=P) for i in range(len(order))]
+        groups = by_key(group_rollup(listing(spark, *entries).repartition(3), flow(spark, *flows)))
+        assert groups[P].tvl == want
+
+
+def test_flows_of_any_size(spark):
+    flows = [dict(metric="fees", slug=f"s{i}", parent=P, total1y=x, total7d=y) for i, (x, y) in enumerate([(1e25, 5e-30), (2e19, None), (4.0, None)])]
+    row = flow_rollup(flow(spark, *flows)).first()
+    assert row.annual == pytest.approx(1e25 + 2e19, rel=1e-15) and row.d7 == 5e-30
+
+
+def test_members_that_lend_fields(spark):
+    """Id, symbol and the rest from three members, beside a group whose members are one."""
+    rows = [
+        dict(slug="a", symbol="-", tvl=3.0, name="A"), dict(slug="b", symbol="BB", name="B"), dict(slug="c", symbol="CC", gecko_id="gc", name="C", chains=["x"], logo="l", change_1d=1.0),
+        dict(slug="alone", tvl=-0.0, name="Alone"), dict(slug="p1", tvl=1e-320, category="p1"), dict(slug="p2", tvl=2e-320, category="p2"), dict(slug="p3", tvl=-5.0, category="p3"),
+    ]
+    flows = [dict(metric="fees", slug=s, parent=P) for s in "abc"] + [dict(metric="fees", slug=s, parent=P + "2") for s in ("p1", "p2", "p3")]
+    groups = by_key(group_rollup(listing(spark, *rows), flow(spark, *flows)))
+    assert set(groups) == {P, P + "2", "alone"}
+    assert (groups[P].gecko_id, groups[P].symbol, groups[P].chains, groups[P].logo, groups[P].change1d, groups[P].first_pos) == ("gc", "BB", ["x"], "l", 1.0, 0)
+    assert groups[P + "2"].category == "p2" and groups["alone"].name == "Alone" and groups["alone"].symbol is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def sorted_before_shuffle(plan):
+    """Whether a branch of a plan sorts before its first exchange: below a Sort no Exchange on the way to a leaf."""
+    lines = [re.sub(r"^[\s:+\-*]*(\(\d+\))?\s*", lambda m: " " * len(m.group(0)), x) for x in plan.splitlines()]
+    depth = [len(x) - len(x.lstrip()) for x in lines]
+    for i, line in enumerate(lines):
+        if re.match(r"\s*Sort \[", line):
+            below = []
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i]:
+                    break
+                below.append(lines[j])
+            if not any("Exchange" in x for x in below):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("name", ["parent_map", "flow_rollup", "group_meta", "market_by_id"])
+def test_aggregates_hash(spark, name):
+    from checks.queries import QUERIES
+
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert not sorted_before_shuffle(plan)

@@ -14,9 +14,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relvalue.llm.arrow import column, portions, ranges, strings
-from relvalue.llm.encoding import ASCII_CONTROL, OTHER_SPACE, byte_characters, tokenizer
+from relvalue.llm.encoding import LONG_RUN, LONG_SPACE, byte_characters, second_library
 from relvalue.llm.scratch import Scratch
 
-#: A space and all up to the next space that follows no white space: both tokenizers end a token before each.
-CHUNK = re.compile(rb" [ \t-\r]*[^ \t-\r]*(?:[\t-\r][ \t-\r]*[^ \t-\r]*)*")
 SPACE_MARK = "▁"
-KNOWN_CHUNKS = 200_000
-LONG_CHUNK = 64  # bytes; longer ones are not kept
-#: Pairs of ids in a part of the table of counts: 48 MB in a worker.
+#: Longer texts are encoded in parts of at least so many characters, each up to a place where both tokenizers end a token.
+PART_CHARS = 1 << 16
+PART_END = re.compile(r"(?<=[!-~])(?= )")
+#: Pairs of ids in a part of the table of counts: 34 MB in a worker.
 PART_PAIRS = 2_000_000
-_SHIFT = np.uint64(32)
+_SHIFT = 32  # a pair of ids is A's, shifted, and B's
 
 
 def cut_groups(ends_a: np.ndarray, ends_b: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -75,13 +75,27 @@ def cut_groups(ends_a: np.ndarray, ends_b: np.ndarray, from_: np.ndarray, to: np
     return np.sort(np.concatenate(done))
 
 
+def parts(text: str) -> list[str]:
+    """A text in parts of PART_CHARS or a little more, cut where a space follows an ASCII character that is none.
+
+    A never joins white space to what is before it, nor looks beyond a run of other characters; no piece of B holds a space mark
+    behind another character (checked when the file is loaded). So the ids of the text are those of its parts.
+    """
+    out, at = [], 0
+    while len(text) - at > PART_CHARS:
+        cut = PART_END.search(text, at + PART_CHARS)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
 class Encoders:
-    """Ids of texts, with a space before, under both files, and the byte length of each id.
+    """Ids of texts, with a space before, under both files, and the bytes of each id.
 
-    Both split a text at the starts of its chunks, whatever stands around them, so a chunk's ids are found once and
-    kept in a bounded memory: A never joins white space to what is before it, and no piece of B holds a
-    space mark behind another character (checked when the file is loaded). White space beyond ASCII can change
-    that for A, so a text that has any is encoded whole.
+    A's ids are those of the tokenizers library; where ``second_library`` found that the same file in the faster library
+    splits a text's characters alike, they are made there.
     """
 
     def __init__(self, byte_file: str, piece_file: str):
@@ -92,60 +106,39 @@ class Encoders:
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = True
+        self.fast, self.unsure = second_library(byte_file)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         byte_of = byte_characters()
         with open(byte_file, encoding="utf-8") as file:
             spec = json.load(file)
         vocabulary = {i: bytes(byte_of[c] for c in name) for name, i in spec["model"]["vocab"].items()}
         self.bytes_a = [vocabulary.get(i, b"") for i in range(self.library.get_vocab_size())]
-        self.bytes_b = [self._piece(i) for i in range(len(self.pieces))]
         names = [self.pieces.id_to_piece(i) for i in range(len(self.pieces))]
         if any(SPACE_MARK in x.lstrip(SPACE_MARK) for x in names):
             raise ValueError("a piece holds a space behind another character")
-        self.lone_space = array("I", [self.pieces.piece_to_id(SPACE_MARK)]).tobytes()
+        self.bytes_b = [bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace(SPACE_MARK, " ").encode() for i, x in enumerate(names)]
+        self.lone_space = [self.pieces.piece_to_id(SPACE_MARK)]
         self.lengths_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.lengths_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.known: dict[bytes, tuple[bytes, bytes] | None] = {}
-
-    def _piece(self, i: int) -> bytes:
-        if self.pieces.is_byte(i):
-            return bytes([int(self.pieces.id_to_piece(i)[3:5], 16)])
-        return self.pieces.id_to_piece(i).replace(SPACE_MARK, " ").encode()
-
-    def _encode(self, spaced: bytes) -> tuple[bytes, bytes] | None:
-        """Ids of a text that starts with a space, None if either file does not give the text back."""
-        text = spaced.decode()
-        a = self.library.encode(text, add_special_tokens=False).ids
-        b = self.pieces.encode(text[1:]) if len(text) > 1 else None
-        ids_a, ids_b = array("I", a).tobytes(), self.lone_space if b is None else array("I", b).tobytes()
-        whole_a = b"".join([self.bytes_a[i] for i in a])
-        whole_b = b" " if b is None else b"".join([self.bytes_b[i] for i in b])
-        return (ids_a, ids_b) if whole_a == spaced and whole_b == spaced else None
-
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes] | None:
-        found = self._encode(chunk)
-        if len(chunk) <= LONG_CHUNK:
-            if len(self.known) >= KNOWN_CHUNKS:
-                self.known.clear()
-            self.known[chunk] = found
-        return found
-
-    def ids(self, text: bytes) -> tuple[bytes, bytes]:
-        """Ids under A and B as little-endian unsigned 32-bit integers; empty for a text that is empty or does not come back."""
+
+    def _a(self, text: str) -> list[int]:
+        if not self.unsure.search(text) and not (len(text) >= LONG_SPACE and LONG_RUN.search(text)):
+            with suppress(ValueError):  # what it can't take is left to tokenizers
+                return self.fast.encode_ordinary(text)
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: bytes) -> tuple[list[int], list[int]]:
+        """Ids under A and B; none for a text that is empty or that either does not give back."""
         if not text:
-            return b"", b""
+            return [], []
         spaced = b" " + text
-        if ASCII_CONTROL.search(text) if text.isascii() else OTHER_SPACE.search(text.decode()):
-            return self._encode(spaced) or (b"", b"")
-        known, parts = self.known, []
-        for chunk in CHUNK.findall(spaced):
-            part = known.get(chunk)
-            if part is None:
-                part = self._chunk(chunk)
-                if part is None:  # a chunk's bytes differ, and so do the text's
-                    return b"", b""
-            parts.append(part)
-        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        some = parts(spaced.decode())
+        a = list(chain.from_iterable(map(self._a, some)))
+        # B puts a space before what it is given, and nothing before an empty text
+        b = list(chain.from_iterable(self.pieces.encode(x[1:]) if len(x) > 1 else self.lone_space for x in some))
+        if b"".join(map(self.bytes_a.__getitem__, a)) != spaced or b"".join(map(self.bytes_b.__getitem__, b)) != spaced:
+            return [], []
+        return a, b
 
 
 @lru_cache(maxsize=2)
@@ -165,6 +158,27 @@ def _bounds(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)])
 
 
+def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens (places on either side) that overlap: one pair for each stretch between neighbouring ends of either side."""
+    both = np.concatenate([ends_a, ends_b])
+    order = np.argsort(both, kind="stable")  # A's end before an equal one of B
+    both, of_a = both[order], order < len(ends_a)
+    seen_a = np.cumsum(of_a)
+    again = np.concatenate([[False], both[1:] == both[:-1]])[: len(both)]
+    last = np.concatenate([~again[1:], [True]])[: len(both)]
+    at = np.flatnonzero(last)
+    # Ends before the one at hand: its own does not count.
+    return seen_a[at] - (of_a | again)[at], (at + 1 - seen_a[at]) - ~of_a[at]
+
+
+def _tallied(owner: np.ndarray, codes: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes of each owner, owner by owner, how often each occurs, and where each owner's begin."""
+    order = np.lexsort((codes, owner))
+    owner, codes = owner[order], codes[order]
+    first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])])[: len(codes)])
+    return codes[first], np.diff(np.concatenate([first, [len(codes)]])), np.searchsorted(owner[first], np.arange(owners + 1))
+
+
 def _align(byte_file: str, piece_file: str):
     """Counts and digest of each document's groups, and its linked pairs of ids with how often they are linked."""
 
@@ -172,20 +186,19 @@ def _align(byte_file: str, piece_file: str):
         encode = encoders(byte_file, piece_file)
         text_a, text_b = _decimals(len(encode.bytes_a), b",", b"|"), _decimals(len(encode.bytes_b), b",", b";")
         for batch in portions(batches, "text", 1 << 20):
-            parts = [encode.ids(x) for x in strings(column(batch, "text"))]
-            a, b = (np.frombuffer(b"".join([p[i] for p in parts]), "<u4").astype(np.int64) for i in (0, 1))
-            docs_a, docs_b = (_bounds(np.array([len(p[i]) // 4 for p in parts], np.int64)) for i in (0, 1))
+            found = [encode.ids(x) for x in strings(column(batch, "text"))]
+            a, b = (np.fromiter(chain.from_iterable(f[i] for f in found), np.int64, sum(len(f[i]) for f in found)) for i in (0, 1))
+            docs_a, docs_b = (_bounds(np.array([len(f[i]) for f in found], np.int64)) for i in (0, 1))
             # One axis of byte offsets for the whole batch: documents end at cuts.
             ends_a, ends_b = np.cumsum(encode.lengths_a[a]), np.cumsum(encode.lengths_b[b])
             full = docs_a[1:] > docs_a[:-1]
             last_a = cut_groups(ends_a, ends_b, docs_a[:-1][full], docs_a[1:][full] - 1)
             last_b = np.searchsorted(ends_b, ends_a[last_a])
             docs_g = np.searchsorted(last_a, docs_a)
-            # A link for each stretch between neighbouring ends of either side.
-            ends = np.union1d(ends_a, ends_b)
-            links_a, links_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+            links_a, links_b = links(ends_a, ends_b)
             docs_l = np.searchsorted(links_a, docs_a)
-            codes = a[links_a].astype(np.uint64) << _SHIFT | b[links_b].astype(np.uint64)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(docs_l))
+            codes, times, docs_p = _tallied(owner, a[links_a] << _SHIFT | b[links_b], batch.num_rows)
             # Groups as text: A's ids, a bar, B's ids, a semicolon; in that order by group.
             stop_a, stop_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
             stop_a[last_a], stop_b[last_b] = 1, 1
@@ -193,16 +206,15 @@ def _align(byte_file: str, piece_file: str):
             shown = np.empty(len(a) + len(b), object)
             shown[np.arange(len(a)) + np.repeat(np.cumsum(sizes_b) - sizes_b, sizes_a)] = text_a[2 * a + stop_a]
             shown[np.arange(len(b)) + np.repeat(np.cumsum(sizes_a), sizes_b)] = text_b[2 * b + stop_b]
-            digests, pairs, counts = [], [], []
-            for i in range(batch.num_rows):
-                text = b"".join(shown[docs_a[i] + docs_b[i] : docs_a[i + 1] + docs_b[i + 1]].tolist())[:-1]
+            digests = []
+            for start, end in zip((docs_a + docs_b).tolist(), (docs_a + docs_b)[1:].tolist()):
+                text = b"".join(shown[start:end].tolist())[:-1]
                 digests.append(hashlib.sha256(text).hexdigest() if text else "")
-                pair, n = np.unique(codes[docs_l[i] : docs_l[i + 1]], return_counts=True)
-                pairs.append(pair.tobytes())
-                counts.append(n.astype("<u4").tobytes())
+            times = times.astype("<u4")
+            of_docs = list(zip(docs_p.tolist(), docs_p[1:].tolist()))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "key"), column(batch, "doc_id"), *(pa.array(np.diff(x), pa.int64()) for x in (docs_a, docs_b, docs_g, docs_l)),
-                 pa.array(digests, pa.string()), pa.array(pairs, pa.binary()), pa.array(counts, pa.binary())],
+                 pa.array(digests, pa.string()), *(pa.array([x[f:t].tobytes() for f, t in of_docs], pa.binary()) for x in (codes, times))],
                 ["key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "counts"],
             )
 
@@ -210,7 +222,7 @@ def _align(byte_file: str, piece_file: str):
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(b"".join(column(batch, c).to_pylist()), kind) for c, kind in (("pairs", "<u8"), ("counts", "<u4")))
+    return tuple(np.frombuffer(b"".join(column(batch, c).to_pylist()), kind) for c, kind in (("pairs", "<i8"), ("counts", "<u4")))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +231,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n = _unpacked(batch)
         pairs, at = np.unique(pairs, return_inverse=True)
         sums = np.bincount(at, weights=n, minlength=len(pairs)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(sums)], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], ["pair", "n"])
 
 
 def _looked_up(pairs: np.ndarray, n: np.ndarray, best: np.ndarray):
@@ -262,11 +274,11 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, part_pairs: int = PA
     for part in range(parts):
         # A part is about part_pairs rows whatever the corpus, and pairs come once: no part holds a hot one.
         rows = table.where(F.pmod(F.xxhash64("pair"), F.lit(parts)) == part).toArrow()
-        order = np.argsort(rows["pair"].to_numpy().view(np.uint64))
+        order = np.argsort(rows["pair"].to_numpy())
         held = [rows[c].to_numpy()[order] for c in ("pair", "n", "best")]
         if not len(order):
             held = [np.zeros(1, np.int64) - 1, np.zeros(1, np.int64), np.zeros(1, bool)]
-        one = linked.mapInArrow(_looked_up(held[0].view(np.uint64), held[1], held[2]), "key long, n_best long, count_sum long")
+        one = linked.mapInArrow(_looked_up(*held), "key long, n_best long, count_sum long")
         shares = one if shares is None else shares.unionByName(one)
     shares = shares.groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     return found.drop("pairs", "counts").join(shares, "key", "left").select(

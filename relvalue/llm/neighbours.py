@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a robust-pruned directed graph for each shard.
 
 Equal vectors are one node. Nodes are dealt to shards of bounded size by a hash; in a shard a node is
-put in by a greedy search from the centre: what the search visits are its possible neighbours,
+put in by a greedy search from nodes that lie far apart: what the search visits are its possible neighbours,
 and relaxed distance pruning keeps those not much closer to a neighbour already chosen than to
 the node, so long edges in other directions stay. Queries run a beam search on every shard; what
 they find is scored exactly.
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,42 +26,68 @@ RELAX = 1.2
 BUILD_BEAM = 48
 SEARCH_BEAM = 160
 BATCH = 256
-PART = 2048  # pairs that are scored at a time
+PART = 2048  # rows or pairs that are handled at a time
+ENTRIES = 64  # nodes a search may start from
+STARTS = 4  # and does start from
 
 
 class Graph:
-    """A directed graph over unit vectors (float32 rows)."""
+    """A directed graph over unit vectors (rows of doubles).
+
+    All distances come from differences of vectors: near-equal ones would drown in the rounding of a dot product. Searches
+    start at the ``ENTRIES`` nodes that lie farthest apart, so tight groups far from each other each have one near by,
+    and every node can be reached from them.
+    """
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, relax: float = RELAX, beam: int = BUILD_BEAM, seed: int = 0):
         self.x, self.degree, self.relax = vectors, degree, relax
         n = len(vectors)
         self.edges = np.full((n, degree), -1, np.int32)
-        centre = vectors.mean(axis=0)
-        self.entry = int(np.argmax(vectors @ centre))
+        self.entries = self._spread(min(n, ENTRIES))
         order = np.random.default_rng(seed).permutation(n)
-        order = order[order != self.entry]
+        order = np.concatenate([self.entries, order[~np.isin(order, self.entries)]])
         at = 0
         while at < len(order):
-            some = order[at : at + max(1, min(BATCH, at + 1))]
-            visited = self.search(vectors[some], beam, visits=True)
-            self.edges[some] = self.prune(some, visited)
-            self._back(some)
+            some = order[at : at + max(1, min(BATCH, at))]
+            if at:
+                visited = self.search(vectors[some], beam, visits=True)
+                self.edges[some] = self.prune(some, visited)
+                self._back(some)
             at += len(some)
+        self._link()
+
+    def _spread(self, many: int) -> np.ndarray:
+        """Nodes that lie far apart: the most central one, then always the one farthest from all so far."""
+        x = self.x
+        chosen = [int(np.argmax(x @ x.mean(axis=0)))]
+        far = self._gaps(np.array(chosen), np.arange(len(x))[None])[0]
+        while len(chosen) < many:
+            chosen.append(int(np.argmax(far)))
+            far = np.minimum(far, self._gaps(np.array(chosen[-1:]), np.arange(len(x))[None])[0])
+        return np.unique(chosen).astype(np.int32)
+
+    def _gaps(self, nodes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        apart = self.x[others] - self.x[nodes][:, None]
+        return np.einsum("bcd,bcd->bc", apart, apart)
 
     def search(self, queries: np.ndarray, beam: int, visits: bool = False) -> np.ndarray:
         """For each query the ``beam`` nearest nodes met, nearest first (-1 where there are fewer), or all nodes it went through."""
-        q, n = len(queries), len(self.x)
+        q, n, first = len(queries), len(self.x), len(self.entries)
+        apart = self.x[self.entries][None] - queries[:, None]
+        far = np.einsum("qed,qed->qe", apart, apart)
+        best = np.argsort(far, axis=1, kind="stable")[:, :beam]
         ids = np.full((q, beam), -1, np.int32)
-        far = np.full((q, beam), np.inf, np.float32)
+        gaps = np.full((q, beam), np.inf)
         done = np.ones((q, beam), bool)
+        ids[:, : best.shape[1]], gaps[:, : best.shape[1]] = self.entries[best], np.take_along_axis(far, best, 1)
+        done[:, : min(STARTS, first)] = False  # the nearest entries; the others are only results
         seen = np.zeros((q, n + 1), bool)  # the last column stands for -1
         seen[:, -1] = True
-        ids[:, 0], far[:, 0], done[:, 0] = self.entry, 2 - 2 * (queries @ self.x[self.entry]), False
-        seen[:, self.entry] = True
+        seen[:, self.entries] = True
         through: list[np.ndarray] = []
         active = np.arange(q)
         while len(active):
-            pick = np.argmin(np.where(done[active], np.inf, far[active]), axis=1)
+            pick = np.argmin(np.where(done[active], np.inf, gaps[active]), axis=1)
             node = ids[active, pick]
             done[active, pick] = True
             if visits:
@@ -70,22 +97,22 @@ class Graph:
             near = self.edges[node]
             new = ~seen[active[:, None], near]
             seen[active[:, None], near] = True
-            gap = 2 - 2 * np.einsum("qrd,qd->qr", self.x[near], queries[active])
-            gap = np.where(new, gap, np.inf).astype(np.float32)
-            both_far = np.concatenate([far[active], gap], axis=1)
+            row, place = np.nonzero(new)
+            apart = self.x[near[row, place]] - queries[active[row]]
+            gap = np.full(near.shape, np.inf)
+            gap[row, place] = np.einsum("nd,nd->n", apart, apart)
+            both_gaps = np.concatenate([gaps[active], gap], axis=1)
             both_ids = np.concatenate([ids[active], np.where(new, near, -1)], axis=1)
             both_done = np.concatenate([done[active], ~new], axis=1)
-            best = np.argsort(both_far, axis=1, kind="stable")[:, :beam]
-            far[active], ids[active] = np.take_along_axis(both_far, best, 1), np.take_along_axis(both_ids, best, 1)
+            best = np.argsort(both_gaps, axis=1, kind="stable")[:, :beam]
+            gaps[active], ids[active] = np.take_along_axis(both_gaps, best, 1), np.take_along_axis(both_ids, best, 1)
             done[active] = np.take_along_axis(both_done, best, 1)
             active = active[~done[active].all(axis=1)]
-        return np.stack(through, axis=1) if visits else np.where(np.isfinite(far), ids, -1)
+        return np.stack(through, axis=1) if visits else np.where(np.isfinite(gaps), ids, -1)
 
     def prune(self, nodes: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         """The edges of ``nodes`` among ``candidates`` (-1 for none): nearest first, without what a chosen one covers."""
-        blank = (candidates < 0) | (candidates == nodes[:, None])
-        gap = 2 - 2 * np.einsum("bcd,bd->bc", self.x[candidates], self.x[nodes])
-        gap = np.where(blank, np.inf, gap)
+        gap = np.where((candidates < 0) | (candidates == nodes[:, None]), np.inf, self._gaps(nodes, candidates))
         order = np.argsort(gap, axis=1, kind="stable")[:, : 4 * self.degree]
         gap, candidates = np.take_along_axis(gap, order, 1), np.take_along_axis(candidates, order, 1)
         again = np.zeros(candidates.shape, bool)
@@ -93,6 +120,10 @@ class Graph:
         values = np.take_along_axis(candidates, ranked, 1)
         np.put_along_axis(again, ranked[:, 1:], values[:, 1:] == values[:, :-1], 1)
         gap[again] = np.inf
+        # Between candidates, seen from the node: so near, products of differences lose nothing.
+        apart = self.x[candidates] - self.x[nodes][:, None]
+        size = np.einsum("bcd,bcd->bc", apart, apart)
+        between = size[:, :, None] + size[:, None] - 2 * (apart @ apart.transpose(0, 2, 1))
         out = np.full((len(nodes), self.degree), -1, np.int32)
         rows = np.arange(len(nodes))
         for k in range(self.degree):
@@ -100,13 +131,34 @@ class Graph:
             open_ = np.isfinite(gap[rows, pick])
             if not open_.any():
                 break
-            chosen = candidates[rows, pick]
-            out[open_, k] = chosen[open_]
-            between = 2 - 2 * np.einsum("bcd,bd->bc", self.x[candidates], self.x[chosen])
-            gap[self.relax * between <= gap] = np.inf
+            out[open_, k] = candidates[rows, pick][open_]
+            gap[self.relax * between[rows, pick] <= gap] = np.inf
             gap[rows, pick] = np.inf
         return out
 
+    def reached(self) -> np.ndarray:
+        """Whether each node can be reached from the entries."""
+        out = np.zeros(len(self.x) + 1, bool)  # the last stands for -1
+        out[-1] = True
+        front = self.entries
+        while len(front):
+            out[front] = True
+            front = np.unique(self.edges[front])
+            front = front[~out[front]]
+        return out[:-1]
+
+    def _link(self) -> None:
+        """An edge to each node that can't be reached, from the nearest node found that can and has room; else room is made."""
+        while len(lost := np.flatnonzero(~self.reached())):
+            lost = lost[:BATCH]
+            for node, found in zip(lost.tolist(), self.search(self.x[lost], BUILD_BEAM)):
+                found = found[found >= 0]
+                roomy = found[(self.edges[found] < 0).any(axis=1)]
+                if not len(roomy):
+                    self.edges = np.concatenate([self.edges, np.full((len(self.x), 1), -1, np.int32)], axis=1)
+                    roomy = found
+                self.edges[roomy[0], np.argmax(self.edges[roomy[0]] < 0)] = node
+
     def _back(self, some: np.ndarray) -> None:
         """Edges back to ``some`` from what they point to, pruned where there is no room."""
         target = self.edges[some]
@@ -134,17 +186,26 @@ class Graph:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors that take part, as the bytes of doubles."""
     for batch in batches:
-        ids, out, dims = [], [], []
-        for i, values in zip(column(batch, "vec_id").to_pylist(), column(batch, "embedding").to_pylist()):
-            if i is None or not values or None in values:
-                continue
-            x = np.array(values, np.float64)
-            norm = np.linalg.norm(x)
-            if np.isfinite(x).all() and np.isfinite(norm) and norm > 0:
-                ids.append(i)
-                out.append((x + 0.0).tobytes())  # no negative zeros
-                dims.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "vec", "dim"])
+        lists = column(batch, "embedding")
+        ids = column(batch, "vec_id")
+        values = lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+        starts, sizes = lists.offsets.to_numpy()[:-1], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        taken = ids.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
+        for size in np.unique(sizes[taken]).tolist():
+            rows = np.flatnonzero(taken & (sizes == size))
+            for at in range(0, len(rows), PART):
+                some = rows[at : at + PART]
+                x = values[starts[some][:, None] + np.arange(size)] + 0.0  # no negative zeros
+                sound = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(some[sound])), pa.array([v.tobytes() for v in x[sound]], pa.binary()), pa.array([size] * int(sound.sum()), pa.int32())],
+                    ["vec_id", "vec", "dim"])
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which brings their largest component near 1: exact, and no product over- or underflows that counts."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(np.ldexp(vectors, -(exponent // 2)), -(exponent - exponent // 2))
 
 
 def _search(k: int, beam: int):
@@ -168,15 +229,15 @@ def _search(k: int, beam: int):
                 if not vectors:
                     continue
                 if graph is None:
-                    exact = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+                    exact = scaled(np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1))
                     norms = np.linalg.norm(exact, axis=1)
-                    graph = Graph((exact / norms[:, None]).astype(np.float32))
+                    graph = Graph(exact / norms[:, None])
                 ids = column(group, "id").to_numpy()
-                asked = np.frombuffer(b"".join(column(group, "vec").to_pylist()), np.float64).reshape(len(ids), -1)
+                asked = scaled(np.frombuffer(b"".join(column(group, "vec").to_pylist()), np.float64).reshape(len(ids), -1))
                 for at in range(0, len(ids), BATCH):
                     q, who = asked[at : at + BATCH], ids[at : at + BATCH]
                     size = np.linalg.norm(q, axis=1)
-                    found = graph.search((q / size[:, None]).astype(np.float32), min(beam, max(2, len(vectors))))
+                    found = graph.search(q / size[:, None], min(beam, max(2, len(vectors))))
                     i, j = np.nonzero(found >= 0)
                     node = found[i, j]
                     scores = np.concatenate([np.einsum("nd,nd->n", q[i[a : a + PART]], exact[node[a : a + PART]]) for a in range(0, len(i), PART)]) / (size[i] * norms[node])

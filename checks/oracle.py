@@ -162,7 +162,7 @@ by_symbol AS (
   WHERE rn = 1
 ),
 entity AS (
-  SELECT g.k, g.first_pos, g.name, g.symbol, g.category, g.change7d, g.change1d, g.logo, f.* EXCLUDE (k), g.tvl,
+  SELECT g.k, g.first_pos, g.name, g.symbol, g.category, g.chains, g.change7d, g.change1d, g.logo, f.* EXCLUDE (k), g.tvl,
     COALESCE(i.market_cap_rank, s.market_cap_rank) AS market_cap_rank, COALESCE(i.total_volume, s.total_volume) AS total_volume,
     COALESCE(i.circulating_supply, s.circulating_supply) AS circulating_supply,
     COALESCE(i.total_supply, s.total_supply) AS total_supply, COALESCE(i.max_supply, s.max_supply) AS max_supply,
@@ -369,6 +369,13 @@ def _pct(x: str) -> str:
 
 _DEFAULT_ORDER = "value_score DESC NULLS LAST, first_pos"
 
+# The sectors whose locked value counts.
+_TVL_SECTORS = (
+    "'Dexs', 'Lending', 'Yield', 'Derivatives', 'Liquid Staking', 'Farm', 'CDP', 'Yield Aggregator', 'Algo-Stables', 'Staking Pool', "
+    "'Liquidity Manager', 'Synthetics', 'Options', 'Options Vault', 'Leveraged Farming', 'Liquid Restaking', 'Restaking', 'Insurance', "
+    "'NFT Lending', 'RWA Lending', 'Basis Trading', 'Reserve Currency', 'Risk Curators', 'Uncollateralized Lending'"
+)
+
 _SECTORS = ", ".join(f"'Brand#{i}'" for i in range(1, 16))
 
 ORACLE = {
@@ -431,6 +438,32 @@ ORACLE = {
         "(SELECT COUNT(*) FROM published) AS total, 'undervalued' AS preset, "
         "strftime(d + INTERVAL 9 HOUR, '%y. %-m. %-d. %H:%M KST') AS as_of FROM last_day"
     ),
+    "response_rows": _scores(
+        f"SELECT row_number() OVER (ORDER BY {_DEFAULT_ORDER}) AS rank, k AS slug, name, symbol, category, chains, gecko_id AS \"geckoId\", logo, "
+        "mcap, tvl, change1d, change7d, price, market_cap_rank AS \"marketCapRank\", total_volume AS \"totalVolume\", "
+        "price_change7d AS \"priceChange7d\", price_change14d AS \"priceChange14d\", price_change30d AS \"priceChange30d\", "
+        "fees_annual AS \"feesAnnual\", fees_d7 AS fees7d, fees_d30 AS fees30d, fees_change7d AS \"feesChange7dover7d\", "
+        "fees_change30d AS \"feesChange30dover30d\", revenue_annual AS \"revenueAnnual\", revenue_d30 AS revenue30d, "
+        "holder_revenue_annual AS \"holderRevenueAnnual\", holder_revenue_d30 AS \"holderRevenue30d\", volume_annual AS \"volumeAnnual\", "
+        "volume_d30 AS volume30d, fdv, circulating_supply AS \"circulatingSupply\", total_supply AS \"totalSupply\", max_supply AS \"maxSupply\", "
+        "growth_score AS \"growthScore\", value_score AS \"valueScore\", label, confidence, low_activity AS \"lowActivity\", high_dilution AS \"highDilution\", "
+        "pf AS multiple_pf, ps AS multiple_ps, phr AS multiple_phr, mcap_tvl AS \"multiple_mcapTvl\", fdv_tvl AS \"multiple_fdvTvl\", dilution AS multiple_dilution, "
+        "pct_pf AS percentile_pf, pct_ps AS percentile_ps, pct_phr AS percentile_phr, pct_mt AS \"percentile_mcapTvl\", "
+        "capture_score, capture_label, CAST(share AS DOUBLE) AS \"capture_holderRevenueShare\", "
+        "array_to_string(signals, '|') AS capture_signals, array_to_string(risks, '|') AS capture_risks FROM published"
+    ),
+    "tvl_sectors": _entities(
+        "SELECT k, sector AS category, COALESCE(sector <> 'Bridge', FALSE) AS tvl_sector FROM (SELECT k, CASE WHEN category LIKE 'Brand#%' THEN "
+        f"COALESCE([{_TVL_SECTORS}][CAST(substr(category, 7) AS INT)], 'Bridge') END AS sector FROM clean)"
+    ),
+    "freshness_report": (
+        "WITH last AS (SELECT MAX(l_shipdate) + INTERVAL 3 HOUR AS now FROM lineitem), newest AS ("
+        "SELECT ['listing', 'fees', 'revenue', 'holder_revenue', 'volume', 'market'][l_linenumber % 6 + 1] AS source, MAX(l_shipdate) AS taken FROM lineitem GROUP BY 1) "
+        "SELECT source, strftime(taken, '%Y-%m-%dT%H-%M-%S') AS snapshot_ts, date_diff('second', taken, now) AS age_seconds, "
+        "CASE WHEN source = 'market' THEN 21600 ELSE 1800 END AS ttl_seconds, "
+        "date_diff('second', taken, now) > CASE WHEN source = 'market' THEN 21600 ELSE 1800 END AS is_expired FROM newest, last"
+    ),
+    "landed_lines": _feeds("SELECT row_number() OVER (ORDER BY page, pos) AS nth, page, id, symbol, market_cap, fdv, max_supply FROM market"),
     "report": _scores(
         "SELECT k, name, symbol, "
         "CASE WHEN gecko_id IS NOT NULL THEN 'https://www.coingecko.com/en/coins/' || gecko_id "

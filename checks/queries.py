@@ -1,13 +1,19 @@
 """One Spark query per operator, over the feeds derived from the star-schema tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relvalue import schemas as S
 from relvalue.functions import formats, guards
 from relvalue.operators import percentiles, quotes, rollup
+from relvalue.operators.materialize import shared_dir
+from relvalue.operators.ranges import PLACE, RANGE, before, dealt
 from relvalue.operators.screen import SORT_COLUMNS, TEXT_KEYS, ScreenSpec, numbered, ranks, screen, top
 from relvalue.plans import screener
 from relvalue.plans.report import report as report_rows
+from relvalue.sources import sinks, snapshots
 from relvalue.sources.feeds import Feeds
 from relvalue.sources.star import read_star, tvl_sector
 
@@ -69,7 +75,7 @@ def market_by_symbol(spark, folder):
 
 def quote_match(spark, folder):
     feeds = read_star(spark, folder)
-    matched = quotes.match_quotes(rollup.group_rollup(feeds.listing, feeds.flow), feeds.market)
+    matched = quotes.match_quotes(rollup.group_rollup(feeds.listing, feeds.flow), feeds.market, quotes.heavy_symbols(feeds.listing))
     return matched.select(
         "k", "gecko_id", "mcap", F.col("quote.fully_diluted_valuation").alias("fdv"), "match_kind"
     )
@@ -188,15 +194,56 @@ def sector_list(spark, folder):
 
 
 def result_meta(spark, folder):
-    scored = _scored(spark, folder)
+    feeds = read_star(spark, folder)
     last = F.max("l_shipdate")
     as_of = (
         spark.read.parquet(f"{folder}/lineitem.parquet")
         .select(formats.kst_minute(F.concat(F.date_format(last, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))))
         .scalar()
     )
-    spec = ScreenSpec().preset("undervalued")
-    return screener.result_meta(scored, spec).withColumn("as_of", as_of)
+    result = screener.build_screener(feeds.listing, feeds.flow, feeds.market, tvl_sector(), ScreenSpec().preset("undervalued"))
+    return result.meta.drop("updated_at").withColumn("as_of", as_of)
+
+
+def response_rows(spark, folder):
+    """The published rows as readers get them, nested values as columns of their own."""
+    rows = sinks.response_rows(screener.published(_scored(spark, folder)))
+    nested = {"multiples": "multiple_", "sectorPercentiles": "percentile_", "valueCapture": "capture_"}
+    flat = [F.col(f"{c}.{f}").alias(f"{prefix}{f}") for c, prefix in nested.items() for f in rows.schema[c].dataType.names]
+    lists = ("chains", "capture_signals", "capture_risks")
+    return rows.select("*", *flat).drop(*nested).withColumns({c: F.array_join(c, "|") for c in lists})
+
+
+def tvl_sectors(spark, folder):
+    """The fixed list of sectors whose locked value counts: brands stand for its names, the last one for a sector beyond it."""
+    names = F.array(*map(F.lit, S.TVL_SECTORS))
+    brand = F.substring("category", 7, 2).cast("int")
+    sector = F.when(F.col("category").startswith("Brand#"), F.coalesce(F.get(names, brand - 1), F.lit("Bridge")))
+    rows = _entities(read_star(spark, folder)).withColumn("category", sector)
+    return screener.gated(rows).select(F.col("slug").alias("k"), "category", "tvl_sector")
+
+
+def freshness_report(spark, folder):
+    """The newest snapshot of each source and its age, every line item standing for one that landed on its ship date."""
+    source = F.get(F.array(*map(F.lit, snapshots.SOURCES)), F.col("l_linenumber") % len(snapshots.SOURCES))
+    items = spark.read.parquet(f"{folder}/lineitem.parquet")
+    now = items.select(F.max("l_shipdate") + F.expr("INTERVAL '3' HOUR")).scalar()
+    return snapshots.freshness_of(items.select(source.alias("source"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH-mm-ss").alias("snapshot_ts")), now)
+
+
+def landed_lines(spark, folder):
+    """The market feed landed as lines, read back, in its order: each row's number among all and its values."""
+    market = read_star(spark, folder).market.withColumn("page", F.col("page").cast("int"))
+    order = [F.col("page"), F.col("pos")]
+    fields = [c for c in market.columns if c not in ("page", "pos")]
+    landed = f"{shared_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    text = market.repartitionByRange(*order).sortWithinPartitions(*order).select("page", F.to_json(F.struct(*fields)).alias("value"))
+    text.write.partitionBy("page").text(landed)
+    rows = snapshots.read_market(spark, landed)
+    placed = dealt(rows, order)
+    sizes = placed.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n"))
+    return placed.join(before(sizes, "n"), RANGE).select(
+        (F.col("before") + F.col(PLACE) + 1).alias("nth"), "page", "id", "symbol", "market_cap", F.col("fully_diluted_valuation").alias("fdv"), "max_supply")
 
 
 def report(spark, folder):
@@ -222,5 +269,6 @@ QUERIES = {
         multiples, gates, pool_sizes, sector_percentiles, value_scores, value_capture,
         screen_default, screen_undervalued, screen_overvalued, screen_combined,
         ranked_top, ranked_all, ranked_by_name, ranked_by_category, ranked_by_phr, sort_ranks, sector_list, result_meta, report, type_guards,
+        response_rows, tvl_sectors, freshness_report, landed_lines,
     )
 }

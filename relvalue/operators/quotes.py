@@ -1,14 +1,17 @@
 """Match each group to at most one market quote."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.functions.guards import conform
 from relvalue.functions.maths import change_pct, place_key
 
-# A symbol may be shared by a large part of all groups; its groups are dealt to so many tasks.
+# A symbol may be shared by a large part of all groups. One that more than one in HEAVY_SHARE listing rows bear is heavy:
+# its groups are dealt over so many copies of its quote. A sketch that tracks so many symbols finds them.
 SYMBOL_SALTS = 16
+HEAVY_SHARE = 256
+TRACKED_SYMBOLS = 4096
 
 _QUOTE = ("id", *[name for name, kind in S.MARKET.items() if kind == "DOUBLE"])
 
@@ -35,16 +38,31 @@ def market_by_symbol(market: DataFrame) -> DataFrame:
     return market.where("symbol IS NOT NULL").groupBy(F.lower("symbol").alias("key")).agg(best.alias("quote"))
 
 
-def match_quotes(groups: DataFrame, market: DataFrame) -> DataFrame:
+def heavy_symbols(listing: DataFrame) -> Column:
+    """The heavy symbols of a listing, lower-cased: an array of HEAVY_SHARE at most, as a scalar subquery over the symbols alone.
+
+    A count that the sketch gets wrong makes a symbol too many or too few heavy, which costs time only.
+    """
+    symbols = conform(listing, {"symbol": "STRING"}).where("symbol <> '-'").select(F.lower("symbol").alias("symbol"))
+    return symbols.agg(
+        F.expr(f"approx_top_k(symbol, {HEAVY_SHARE}, {TRACKED_SYMBOLS})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).select(F.expr(f"transform(filter(top, x -> x.count * {HEAVY_SHARE} > n), x -> x.item)")).scalar()
+
+
+def match_quotes(groups: DataFrame, market: DataFrame, heavy: Column | None = None) -> DataFrame:
     """Add ``quote`` and ``match_kind``, settle ``mcap`` and the id, drop groups with neither value nor lock-up.
 
     A group with an id is looked up by that id alone. One without an id is looked up by its
     symbol, and only if it has cash flow. Either way a group has one key, so one join serves both.
-    All quotes take part and Spark picks the join from measured sizes. Groups that share a symbol
-    are dealt out over ``SYMBOL_SALTS`` copies of its quote.
+    All quotes take part and Spark picks the join from measured sizes. Groups that share a ``heavy`` symbol (an
+    array of them) are dealt out over ``SYMBOL_SALTS`` copies of its quote.
     """
     quotes = market_rows(market)
-    salts = F.sequence(F.lit(0), F.lit(SYMBOL_SALTS - 1))
+
+    def salted(symbol: str) -> Column:
+        return F.lit(False) if heavy is None else F.coalesce(F.array_contains(heavy, F.col(symbol)), F.lit(False))
+
+    salts = F.when(salted("key"), F.sequence(F.lit(0), F.lit(SYMBOL_SALTS - 1))).otherwise(F.array(F.lit(0)))
     lookup = (
         market_by_id(quotes).withColumns({"match_kind": F.lit("id"), "salt": F.lit(0)})
         .unionByName(market_by_symbol(quotes).withColumns({"match_kind": F.lit("symbol"), "salt": F.explode(salts)}))
@@ -58,8 +76,9 @@ def match_quotes(groups: DataFrame, market: DataFrame) -> DataFrame:
     # A group without a lookup has no kind, so its key matches nothing; as its own name it spreads evenly.
     want_key = F.when(by_id, F.col("gecko_id")).when(by_symbol, F.lower("symbol")).otherwise(F.col("k"))
 
-    want_salt = F.when(by_symbol, F.pmod(F.xxhash64("k"), F.lit(SYMBOL_SALTS)).cast("int")).otherwise(0)
-    probe = groups.withColumns({"want_kind": want_kind, "want_key": want_key, "want_salt": want_salt})
+    probe = groups.withColumns({"want_kind": want_kind, "want_key": want_key})
+    deals = (F.col("want_kind") == "symbol") & salted("want_key")
+    probe = probe.withColumn("want_salt", F.when(deals, F.pmod(F.xxhash64("k"), F.lit(SYMBOL_SALTS)).cast("int")).otherwise(0))
     matched = probe.join(
         lookup,
         (probe.want_kind == lookup.match_kind) & (probe.want_key == lookup.key) & (probe.want_salt == lookup.salt),

@@ -88,9 +88,16 @@ class ScreenSpec:
         return ScreenSpec()
 
 
-def in_range(value: Column, bounds: Range) -> Column | None:
+def ranges_of(spec: ScreenSpec) -> list[tuple[str, Range]]:
+    """The columns a screen bounds, with their bounds."""
+    return [
+        ("value_score", spec.value_score), ("mcap", spec.mcap), ("tvl", spec.tvl), ("multiples.phr", spec.phr), ("multiples.ps", spec.ps),
+    ]
+
+
+def in_range(value: Column, limits: Range) -> Column | None:
     """Inclusive range test that null fails, or None when neither bound is set."""
-    low, high = bounds
+    low, high = limits
     tests = []
     if low > 0:
         tests.append(value >= low)
@@ -113,14 +120,8 @@ def passes(spec: ScreenSpec) -> Column:
         tests.append(~F.col("high_dilution"))
     if spec.sectors:
         tests.append(F.coalesce(F.col("category").isin(*spec.sectors), F.lit(False)))
-    for column, bounds in (
-        ("value_score", spec.value_score),
-        ("mcap", spec.mcap),
-        ("tvl", spec.tvl),
-        ("multiples.phr", spec.phr),
-        ("multiples.ps", spec.ps),
-    ):
-        test = in_range(F.col(column), bounds)
+    for column, limits in ranges_of(spec):
+        test = in_range(F.col(column), limits)
         if test is not None:
             tests.append(test)
     query = spec.search.strip()
@@ -129,9 +130,18 @@ def passes(spec: ScreenSpec) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def bounds(spec: ScreenSpec) -> Column:
+    """The screen's ranges as bare comparisons, which scans can skip row groups by; null where a value is missing."""
+    tests = [F.lit(True)]
+    for column, (low, high) in ranges_of(spec):
+        tests += [F.col(column) >= low] if low > 0 else []
+        tests += [F.col(column) <= high] if high > 0 else []
+    return reduce(lambda a, b: a & b, tests)
+
+
 def screen(scored: DataFrame, spec: ScreenSpec = ScreenSpec()) -> DataFrame:
     """The rows that pass the filters of ``spec``, in no particular order."""
-    return scored.where(passes(spec))
+    return scored.where(bounds(spec)).where(passes(spec))
 
 
 def default_order() -> list[Column]:

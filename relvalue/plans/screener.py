@@ -2,14 +2,14 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.operators.gates import with_gates, with_multiples
 from relvalue.operators.materialize import materialize
 from relvalue.operators.percentiles import with_percentiles
-from relvalue.operators.quotes import match_quotes, to_entities
+from relvalue.operators.quotes import heavy_symbols, match_quotes, to_entities
 from relvalue.operators.rollup import group_rollup
 from relvalue.operators.scores import with_value_capture, with_value_score
 from relvalue.operators.screen import ScreenSpec, default_order, passes
@@ -26,7 +26,7 @@ class ScreenerResult:
 
 def entities(listing: DataFrame, flow: DataFrame, market: DataFrame) -> DataFrame:
     """One row per parent entity, fundamentals and market fields joined."""
-    return to_entities(match_quotes(group_rollup(listing, flow), market))
+    return to_entities(match_quotes(group_rollup(listing, flow), market, heavy_symbols(listing)))
 
 
 def gated(rows: DataFrame, tvl_sector: Column | None = None) -> DataFrame:
@@ -61,13 +61,19 @@ def published(scored: DataFrame) -> DataFrame:
     return scored.where(_publishable())
 
 
-def result_meta(scored: DataFrame, spec: ScreenSpec = ScreenSpec()) -> DataFrame:
-    """One row: quote coverage over all entities, rows published, rows the screen shows, its preset."""
-    return scored.agg(
+def coverage(spec: ScreenSpec) -> list[Column]:
+    """Counts over all scored rows: those with a quote, those the screen shows, those published."""
+    return [
         F.count("fdv").alias("fdv_coverage"),
         F.count_if(_publishable() & passes(spec)).alias("shown"),
         F.count_if(_publishable()).alias("total"),
-    ).withColumn("preset", F.lit(spec.active_preset).cast("string"))
+    ]
+
+
+def result_meta(spark: SparkSession, counts: dict[str, int], spec: ScreenSpec = ScreenSpec()) -> DataFrame:
+    """One row: the ``coverage`` counts, and the preset of the screen."""
+    row = (counts["fdv_coverage"], counts["shown"], counts["total"], spec.active_preset)
+    return spark.createDataFrame([row], "fdv_coverage BIGINT, shown BIGINT, total BIGINT, preset STRING")
 
 
 def build_screener(
@@ -77,12 +83,14 @@ def build_screener(
     tvl_sector: Column | None = None,
     spec: ScreenSpec = ScreenSpec(),
 ) -> ScreenerResult:
-    """Run everything once; the scored rows are written, since three outputs read them."""
-    scored = materialize(score(entities(listing, flow, market), tvl_sector), "scored")
+    """Run everything once; the scored rows are written, since three outputs read them, and counted while they are."""
+    rows = score(entities(listing, flow, market), tvl_sector)
+    counted = Observation()
+    scored = materialize(rows.observe(counted, *coverage(spec)), "scored")
     return ScreenerResult(
         rows=scored.orderBy(*default_order()),
         categories=sector_list(scored),
-        meta=result_meta(scored, spec).withColumn(
+        meta=result_meta(scored.sparkSession, counted.get, spec).withColumn(
             "updated_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
                                         "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
         ),

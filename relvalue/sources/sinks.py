@@ -1,13 +1,16 @@
-"""Publish a result as JSON, whole or not at all."""
+"""Publish a result, whole or not at all."""
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relvalue.operators.materialize import owned
 from relvalue.operators.screen import ScreenSpec, numbered
 from relvalue.plans.screener import ScreenerResult
+from relvalue.sources.pointers import append_pointer, exists, newest_pointer
 
 # Field names of a published row, and the failure message.
 ROW_FIELDS = {
@@ -78,28 +81,65 @@ def _write(df: DataFrame, folder: str) -> None:
     df.write.option("ignoreNullFields", "false").json(folder)
 
 
-def publish(result: ScreenerResult, folder: str) -> str:
-    """Write a run folder of its own, then let ``<folder>/current`` point to it; return the run's name.
+@dataclass(frozen=True)
+class Published:
+    """What readers of a run see: rows by score, the sector list, the metadata, and the snapshots it was built from (if known)."""
 
-    Readers follow ``current`` (one object, ``{"run": name}``), so a run is seen whole or not at all, and
-    a run that fails leaves what they saw before.
+    run: str
+    rows: DataFrame
+    categories: DataFrame
+    meta: DataFrame
+    sources: DataFrame | None
+
+
+def publish(result: ScreenerResult, folder: str, sources: DataFrame | None = None) -> str:
+    """Write a run folder of its own, then point to it; return the run's name.
+
+    Pointers are numbered objects in ``<folder>/current``, the highest whole one holds (``current_run``). None is
+    ever overwritten, so readers always find a run, whole, and a run that fails leaves what they saw before.
+    ``rows`` is what an endpoint serves; ``rows_by_score`` holds the scored rows in ranges of the score, for
+    screens that skip what they don't show; ``sources`` the snapshots the run was built from.
     """
+    spark = result.rows.sparkSession
     run = f"run-{uuid.uuid4().hex}"
     _write(response_rows(result.rows), f"{folder}/{run}/rows")
+    by_score = [F.col("value_score").asc_nulls_first(), F.col("first_pos").asc()]
+    result.rows.repartitionByRange(*by_score).sortWithinPartitions(*by_score).write.parquet(f"{folder}/{run}/rows_by_score")
     _write(result.categories, f"{folder}/{run}/categories")
+    if sources is not None:
+        _write(sources.coalesce(1), f"{folder}/{run}/sources")
     meta = result.meta.select(
         F.col("updated_at").alias("updatedAt"), F.col("fdv_coverage").alias("fdvCoverage"), "shown", "total", "preset"
     )
     _write(meta.coalesce(1), f"{folder}/{run}/meta")
-    pointer = result.rows.sparkSession.createDataFrame([(run,)], "run STRING")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    append_pointer(spark, f"{folder}/current", {"run": run})
     return run
 
 
-def publish_run(spark: SparkSession, build: Callable[[], ScreenerResult], folder: str) -> bool:
-    """Build and publish; on any failure leave one error object in a folder of its own, and no pointer to it."""
+def current_run(spark: SparkSession, folder: str) -> str | None:
+    """The run that readers see, None before the first."""
+    pointer = newest_pointer(spark, f"{folder}/current")
+    return pointer and pointer["run"]
+
+
+def open_published(spark: SparkSession, folder: str) -> Published:
+    """The current run's tables. Screens over its rows read only row groups that their ranges can meet."""
+    run = current_run(spark, folder)
+    if run is None:
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    here = f"{folder}/{run}"
+    sources = spark.read.json(f"{here}/sources") if exists(spark, f"{here}/sources") else None
+    return Published(run, spark.read.parquet(f"{here}/rows_by_score"), spark.read.json(f"{here}/categories"), spark.read.json(f"{here}/meta"), sources)
+
+
+def publish_run(spark: SparkSession, build: Callable[[], ScreenerResult], folder: str, sources: DataFrame | None = None) -> bool:
+    """Build and publish; on any failure leave one error object in a folder of its own, and no pointer to it.
+
+    Intermediate tables go when the run ends.
+    """
     try:
-        publish(build(), folder)
+        with owned(spark):
+            publish(build(), folder, sources)
     except Exception as failure:  # whatever stops the run is reported, none of it is shown
         error = spark.createDataFrame([(FAILURE, str(failure))], "error STRING, detail STRING")
         _write(error.coalesce(1), f"{folder}/failed-{uuid.uuid4().hex}")

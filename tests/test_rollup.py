@@ -1,9 +1,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from relvalue import schemas as S
-from relvalue.operators.quotes import market_by_id, market_by_symbol, market_rows, match_quotes, to_entities
+from relvalue.operators.quotes import heavy_symbols, market_by_id, market_by_symbol, market_rows, match_quotes, to_entities
 from relvalue.operators.rollup import flow_rollup, group_rollup, parent_map
 from rows import flow, listing, market
 
@@ -243,3 +244,33 @@ def test_aggregates_hash(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert "SortAggregate" not in plan and "HashAggregate" in plan
     assert not sorted_before_shuffle(plan)
+
+
+def test_only_heavy_symbols_are_dealt_out(spark):
+    """A third of the groups bear one symbol: they go to eight tasks at least, and no other quote is copied."""
+    n = 1200
+    symbols = ["HOT" if i % 3 == 0 else f"x{i}" for i in range(n)]
+    entries = listing(spark, *[dict(slug=f"s{i}", symbol=x, tvl=1.0) for i, x in enumerate(symbols)])
+    flows = flow(spark, *[dict(metric="fees", slug=f"s{i}", total1y=5.0) for i in range(n)])
+    quotes = market(spark, *[dict(id=x, symbol=x, market_cap=1.0) for x in sorted(set(symbols))])
+    heavy = heavy_symbols(entries)
+    assert [r.h for r in spark.range(1).select(heavy.alias("h")).collect()] == [["hot"]]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "48"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        matched = match_quotes(group_rollup(entries, flows), quotes, heavy).withColumn("task", F.spark_partition_id())
+        rows = matched.select("k", "symbol", "match_kind", "task").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == n and {r.match_kind for r in rows} == {"symbol"}
+    assert len({r.task for r in rows if r.symbol == "HOT"}) >= 8
+
+
+def test_heavy_symbols_of_nothing(spark):
+    entries = listing(spark, dict(slug="a"), dict(slug="b", symbol="-"))
+    assert spark.range(1).select(heavy_symbols(entries).alias("h")).first().h == []
+    matched = match_quotes(group_rollup(entries, flow(spark, dict(metric="fees", slug="a", total1y=1.0))), market(spark), heavy_symbols(entries))
+    assert matched.count() == 0

@@ -1,9 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
-from relvalue.operators.screen import SORT_COLUMNS, ScreenSpec, in_range, numbered, order_by, screen, top
-from relvalue.plans.screener import published, result_meta, sector_list
+from relvalue.operators import ranges
+from relvalue.operators.materialize import materialize
+from relvalue.operators.screen import SORT_COLUMNS, ScreenSpec, in_range, numbered, order_by, ranks, screen, top
+from relvalue.plans.screener import coverage, published, result_meta, sector_list
 
 DDL = """
     slug STRING, name STRING, symbol STRING, category STRING, first_pos BIGINT, value_score INT,
@@ -133,6 +137,37 @@ def test_universes_of_the_metadata(spark):
     ])
     assert [r.category for r in sector_list(rows).collect()] == ["a", "b"]
     assert slugs(published(rows)) == {"r1", "r3"}
-    meta = result_meta(rows, ScreenSpec().preset("overvalued")).first()
+    spec = ScreenSpec().preset("overvalued")
+    meta = result_meta(spark, rows.agg(*coverage(spec)).first().asDict(), spec).first()
     assert (meta.fdv_coverage, meta.total, meta.shown, meta.preset) == (1, 2, 0, "overvalued")
-    assert result_meta(rows).first().shown == 1
+    assert rows.agg(*coverage(ScreenSpec())).first().shown == 1
+
+
+def test_all_orders_in_one_exchange(spark, monkeypatch):
+    """Every row's rank under many orders, ties, nulls and both signs among them, over many ranges."""
+    rng = random.Random(6)
+    pick = lambda *x: rng.choice([None, 0.0, -0.0, 1.0, *x])
+    rows = frame(spark, [dict(value_score=rng.choice([None, 0, 50, 99]), mcap=pick(5.0), tvl=pick(-3.0, 1e300), price_change14d=pick(-7.5)) for _ in range(120)]).repartition(3)
+    keys = ("value_score", "mcap", "tvl", "price_change14d", "fdv")
+    specs = [ScreenSpec(sort_key=key, descending=down) for key in keys for down in (True, False)]
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(ranges, "materialize", noted)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = ranks(rows, specs, "slug").collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(plans) == 1 and plans[0].count("rangepartitioning") == 1
+    for spec in specs:
+        want = [r.slug for r in rows.orderBy(*order_by(spec)).collect()]
+        mine = [r for r in got if (r.sort_key, r.descending) == (spec.sort_key, spec.descending)]
+        assert [(r.rank, r.slug) for r in sorted(mine, key=lambda r: r.rank)] == list(enumerate(want, 1))
+    assert ranks(rows.limit(0), specs, "slug").collect() == []
+    with pytest.raises(ValueError):
+        ranks(rows, [ScreenSpec(sort_key="name")])

@@ -4,36 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relvalue.llm import jaccard, packing, quality, substrings
 from relvalue.llm.queries import WORD_FILE, table, vocabulary
+from relvalue.llm.rowkey import ROW, row_key
 from relvalue.llm.scratch import Scratch
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose hash of id and text is in ``gone`` (_row)."""
-    keys = gone.select(F.col("_row").alias("_gone_row")).distinct()
-    return docs.join(keys, F.xxhash64(docs["doc_id"], docs["text"]) == keys["_gone_row"], "left_anti")
+def _keyed(docs: DataFrame, key: DataFrame) -> Column:
+    one, two = row_key()
+    return (one == key["_key_0"]) & (two == key["_key_1"])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outlier of their language and source."""
-    return _without(docs, quality.judge(docs).where("not kept"))
+    """Documents that pass the base rules and are no outlier of their language and source.
+
+    A null text counts as empty and goes. Repeated rows go or stay together; an empty table stays one.
+    """
+    gone = quality.judge(docs).where("not kept").select(*(F.col(c).alias(f"_key_{i}") for i, c in enumerate(ROW))).distinct()
+    return docs.join(gone, _keyed(docs, gone), "left_anti")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies.
+    """One document of each group of near copies: that of the smallest id (null ids last), of several the one of smallest key.
 
-    Rows of one id count as one document: they stay or go with their groups.
+    Of rows that agree in id and text one stays, whatever their other columns. Texts without words are near copies of nothing
+    and stay, each row. An empty table stays one.
     """
     found = jaccard.near_duplicates(docs)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
+    firsts = found.where("component is not null").groupBy("component").agg(first).select(*(F.col(f"first.{c}").alias(f"_key_{i}") for i, c in enumerate(ROW)), F.lit(0).cast("long").alias("_alone"))
+    wordless = found.where("component is null").select(*(F.col(c).alias(f"_key_{i}") for i, c in enumerate(ROW))).distinct().withColumn("_alone", F.lit(1).cast("long"))
+    stay = firsts.unionByName(wordless)
+    kept = docs.join(stay, _keyed(docs, stay)).withColumn("_alone", F.col("_alone") * (1 + F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["_key_0", "_key_1", "_alone"]).select(*(docs[c] for c in docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without passages of 20 words or more that an earlier one has; n_chars follows the text."""
+    """All documents without passages of 20 words or more that an earlier one has; n_chars follows the text.
+
+    A null text stays null; null ids come after all others; repeated rows are one document, and each stays. An empty table stays one.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = {c: f"_other_{i}" for i, c in enumerate(others)}  # no name can clash with the operator's own
     kept = substrings.remove_repeats(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in names.items())))
@@ -48,7 +61,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of at most 2048 tokens."""
+    """The pieces of all documents with their places in sequences of at most 2048 tokens.
+
+    A null text counts as empty and has its end id; repeated rows are packed each. An empty table gives no pieces.
+    """
     return packing.pack(docs, vocabulary(WORD_FILE), end_id=1)
 
 

@@ -34,6 +34,7 @@ from relvalue.llm.arrow import column, portions, strings
 from relvalue.llm.components import components
 from relvalue.llm.hashing import chunks_by, mix, runs, word_hashes
 from relvalue.llm.messages import ADDRESSED, addressed
+from relvalue.llm.rowkey import ROW, row_key
 from relvalue.llm.scratch import Scratch, bucket_count
 
 WORDS = 5
@@ -74,7 +75,7 @@ def prefix(tokens: np.ndarray, order: int, common: np.ndarray, times: np.ndarray
 
 
 def _sets(words: int):
-    """_row, doc_id, n_shingles, set_id, check of each document."""
+    """Row key, doc_id, n_shingles, set_id, check of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
@@ -86,8 +87,8 @@ def _sets(words: int):
                 ids.append(one if len(tokens) else None)
                 checks.append(two)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "_row"), column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(checks, pa.int64())],
-                ["_row", "doc_id", "n_shingles", "set_id", "check"])
+                [*(column(batch, c) for c in ROW), column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(checks, pa.int64())],
+                [*ROW, "doc_id", "n_shingles", "set_id", "check"])
 
     return run
 
@@ -324,34 +325,35 @@ def _links(pairs: DataFrame, vectors: DataFrame, filters: DataFrame, percent: in
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, most_common: int = MOST_COMMON) -> DataFrame:
-    """doc_id, n_shingles, component_id, _row for each row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, component, _row, _row2 for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their distinct n-grams;
     component_id is the smallest doc_id reachable by links, itself included. A text without
     words (null, empty) has no n-grams, links with nothing and is its own component. Null ids
     take part, but no component is named by one unless it holds no other (then null).
-    Repeated rows each keep their row. An empty table gives no rows. ``_row`` is a hash of id and text.
+    Repeated rows each keep their row. An empty table gives no rows. ``_row`` and ``_row2`` are the row's key
+    (128 bits of hashes of id and text), ``component`` tells components apart (null without words).
 
     A set's identity is 64 bits of a digest; the other 64 bits are compared, and should two
     different sets ever agree in the first half the run fails instead of joining them.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = max(1, (bucket_count(docs, 16 << 20) - 1).bit_length())
-    sets = scratch.keep(docs.mapInArrow(_sets(words), "_row long, doc_id long, n_shingles long, set_id long, check long"), "sets")
+    sets = scratch.keep(docs.mapInArrow(_sets(words), "_row long, _row2 long, doc_id long, n_shingles long, set_id long, check long"), "sets")
     distinct = scratch.keep(
         sets.where("set_id is not null").groupBy("set_id").agg(
-            F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row"), F.max("n_shingles").alias("n"), F.min("check").alias("one"), F.max("check").alias("two")), "distinct")
+            F.min("doc_id").alias("doc_id"), F.min(F.struct(*ROW)).alias("row"), F.max("n_shingles").alias("n"), F.min("check").alias("one"), F.max("check").alias("two")).select("*", "row.*").drop("row"), "distinct")
     if not distinct.where("one <> two").isEmpty():
         raise ValueError("two different sets share the first half of their digest")
 
     met = docs.select("text").mapInArrow(_all_tokens(words, bits), DEALT).repartitionById(1 << bits, F.col("bucket"))
     repeated = scratch.keep(met.mapInArrow(_repeated(bits), ADDRESSED), "repeated")
     totals = repeated.repartitionById(1 << bits, F.col("_part")).mapInArrow(_totals, "set_id long, total long")
-    wanted = distinct.join(totals, "set_id").where(F.lit(100) * F.col("total") >= F.lit(percent) * F.col("n")).select("set_id", "_row", F.least("total", "n").alias("total"))
+    wanted = distinct.join(totals, "set_id").where(F.lit(100) * F.col("total") >= F.lit(percent) * F.col("n")).select("set_id", *ROW, F.least("total", "n").alias("total"))
     wanted = scratch.keep(wanted, "wanted")
     # what is wanted grows with the corpus, so it is never broadcast: one plan at every size
-    texts = docs.select("_row", "text").join(wanted.select("set_id", "_row").hint("merge"), "_row").groupBy("set_id").agg(F.first("text").alias("text"))
+    texts = docs.select(*ROW, "text").join(wanted.select("set_id", *ROW).hint("merge"), list(ROW)).groupBy("set_id").agg(F.first("text").alias("text"))
     vectors = scratch.keep(texts.mapInArrow(_vectors(words), "set_id long, n long, tokens binary"), "vectors")
     scratch.drop("repeated")
 
@@ -399,6 +401,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     placed = distinct.select("set_id", "doc_id").join(joined.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(names, "component").select("set_id", "component_id")
-    out = sets.select("doc_id", "n_shingles", "set_id", "_row").join(named, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "_row")
+    named = placed.join(names, "component").select("set_id", "component_id", "component")
+    out = sets.select("doc_id", "n_shingles", "set_id", *ROW).join(named, "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", *ROW)

@@ -35,7 +35,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The group of near copies of every document: 5-word shingles, similarity 0.8."""
-    return jaccard.near_duplicates(table(spark, folder, "documents")).drop("_row")
+    return jaccard.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from relvalue.llm.arrow import column, portions, strings
 from relvalue.llm.hashing import chunks_by, runs, word_hashes
@@ -248,14 +249,18 @@ def _cut(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mail = Told("<u4")
+        owners: dict[int, tuple] = {}  # of rows that have mail: two different ones of one key would get each other's
         for batch in portions(map(mail.split, batches), "text"):
             texts, told = [], []
-            for row, text in zip(column(batch, "_row").to_pylist(), column(batch, "text").cast(pa.large_binary()).to_pylist()):
+            ids = column(batch, "doc_id").to_pylist()
+            for doc, row, text in zip(ids, column(batch, "_row").to_pylist(), column(batch, "text").cast(pa.large_binary()).to_pylist()):
                 words = (text or b"").split()
                 spans: list[dict] = []
                 gone = 0
                 begin = mail.of(row).astype(np.int64)
                 if len(begin):
+                    if owners.setdefault(row, (doc, xxh3_64_intdigest(text))) != (doc, xxh3_64_intdigest(text)):
+                        raise ValueError(f"two different rows share the key {row}")
                     change = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + window, minlength=len(words) + 1)
                     kept = np.cumsum(change[: len(words)]) == 0
                     edges = np.flatnonzero(np.diff(np.r_[True, kept, True]))
@@ -286,7 +291,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null text has no words and stays null. Null ids come after all others and count as one id.
     Rows that share an id are ordered by a hash of their text; a repeated row is the same
-    document, not a later one. An empty table gives an empty table.
+    document, not a later one. An empty table gives an empty table. A row's key is a hash of 64 bits; should two
+    different rows that lose words ever share one, the run fails instead of taking one's words from the other.
     """
     block = window // 2
     scratch = Scratch(docs.sparkSession, "substrings")

@@ -7,6 +7,7 @@ from html import escape
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from relvalue.llm import extraction, quality, warc
@@ -71,26 +72,84 @@ def test_a_source_filled_with_one_kind_of_junk(spark, share):
     assert [i for i, *_, junk in rows if got[i] == junk] == []
 
 
-def test_estimates_follow_the_definition(spark):
-    """The same steps over one group in numpy."""
-    rnd = np.random.default_rng(2)
-    x = rnd.normal(size=(500, 5)) * [2, 1, 1, 1, 3] + [5, 1, 0, 0, 2]
-    x[:40] += 30
-    table = spark.createDataFrame([("g", *map(float, r)) for r in x], "_key string, " + ", ".join(f"x{i} double" for i in range(5)))
-    row = quality.estimates(table, Scratch(spark, "t")).collect()[0]
-    centre = np.array([row[f"m{i}"] for i in range(5)])
-    inverse = np.array([[row[f"i{i}_{j}"] for j in range(5)] for i in range(5)])
-    cell = lambda v, p: (np.floor(np.sort(v)[int(np.ceil(p * len(v))) - 1] * 64) + 1) / 64
-    m = np.array([cell(c, 0.5) for c in x.T])
-    inv = np.diag(1 / np.maximum([(cell(c, 0.75) - cell(c, 0.25)) / 1.349 for c in x.T], quality.FLOORS) ** 2)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ni,ij,nj->n", x - m, inv, x - m)
-        level = np.log2(1 + d)
-        inner = x[np.floor(level * 64) + 1 <= cell(level, 0.75) * 64]
-        m, cov = inner.mean(axis=0), np.cov(inner.T, bias=True) * quality.consistency(0.75)
-        inv = np.linalg.inv(cov + np.diag(np.maximum(0, np.square(quality.FLOORS) - np.diag(cov))))
-    assert np.allclose(centre, m) and np.allclose(inverse, inv)
-    assert (np.abs(centre - [5, 1, 0, 0, 2]) < 0.5).all()
+def brute_determinant(x, core, starts, rnd):
+    """The least determinant that concentration steps from random subsets reach, with its centre and covariance."""
+    best = None
+    h = int(np.ceil(core * len(x)))
+    for _ in range(starts):
+        some = x[rnd.choice(len(x), 10, replace=False)]
+        det = np.inf
+        while True:
+            m, cov = some.mean(axis=0), quality.floored(np.cov(some.T, bias=True) * quality.consistency(core))
+            now = np.linalg.det(cov)
+            if len(some) == h and now >= det * (1 - 1e-9):
+                break
+            det = now if len(some) == h else np.inf
+            d = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(cov), x - m)
+            some = x[np.argsort(d, kind="stable")[:h]]
+        if best is None or now < best[0]:
+            best = (now, m, cov)
+    return best
+
+
+def test_estimates_reach_the_least_determinant(spark):
+    """Ten groups, each with outliers of its own kind, against many random starts in numpy."""
+    frames, groups = [], {}
+    for seed in range(10):
+        rnd = np.random.default_rng(seed)
+        n, share = int(rnd.integers(200, 500)), rnd.choice([0.0, 0.1, 0.3, 0.4])
+        x = rnd.multivariate_normal([5, 1.5, 0.3, 0.5, 1], np.diag([1.2, 0.4, 0.9, 1.1, 1.8]) @ (np.eye(5) + 0.2) @ np.diag([1.2, 0.4, 0.9, 1.1, 1.8]), n)
+        x[: int(share * n)] += rnd.normal(size=5) * 25
+        groups[f"g{seed}"] = x
+        frames += [(f"g{seed}", *map(float, r)) for r in x]
+    table = spark.createDataFrame(frames, "_key string, " + ", ".join(f"x{i} double" for i in range(5)))
+    rows = {r["_key"]: r for r in quality.estimates(table, Scratch(spark, "t")).collect()}
+    assert set(rows) == set(groups)
+    for key, x in groups.items():
+        det, m, cov = brute_determinant(x, quality.CORE, 30, np.random.default_rng(7))
+        centre = np.array([rows[key][c] for c in quality.CENTRE])
+        mine = np.array([rows[key][c] for c in quality.COVARIANCE]).reshape(5, 5)
+        assert rows[key]["determinant"] <= 1.3 * det, (key, rows[key]["determinant"], det)  # the core is exact to a cell
+        far = lambda m, c: np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m) > quality.CUTOFF
+        assert (far(centre, mine) == far(m, cov)).mean() > 0.99
+
+
+def spam_table(spark, groups, seed=3):
+    """Documents of groups (lang, source, sound, spam, letters, word lengths)."""
+    rnd = random.Random(seed)
+    rows = []
+    for lang, source, sound, spam, letters, low, high in groups:
+        for i in range(sound + spam):
+            words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(low, high))) for _ in range(rnd.randint(60, 400))]
+            rows.append((len(rows), " ".join(w + "%%%" if i >= sound else w for w in words), lang, source, i >= sound))
+    rnd.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, spam boolean").repartition(3)
+
+
+def shares_kept(table):
+    got = quality.judge(table).join(table.select("doc_id", "lang", "spam"), "doc_id").groupBy("lang", "spam").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    return {(r["lang"], r["spam"]): r["kept"] for r in got.collect()}
+
+
+@pytest.mark.parametrize("sound, spam", [(30, 15), (33, 17), (50, 25), (10, 4)])
+def test_no_size_switches_verdicts(spark, sound, spam):
+    got = shares_kept(spam_table(spark, [("en", "a", sound, spam, "abcdefgh", 2, 8)]))
+    assert got["en", True] == 0 and got["en", False] >= 0.95
+
+
+def test_a_rare_language_is_kept(spark):
+    """Beside many English documents, 40, 10 and 1 of languages with much longer words, and a small source."""
+    got = shares_kept(spam_table(spark, [
+        ("en", "a", 290, 0, "abcdefgh", 2, 8), ("en", "b", 10, 3, "abcdefgh", 2, 8), ("fi", "a", 40, 0, "aeiouklmn", 9, 22),
+        ("hu", "a", 10, 0, "aeiouklmn", 9, 22), ("et", "x", 1, 0, "aeiouklmn", 14, 30),
+    ]))
+    assert all(share >= 0.95 for (_, spam), share in got.items() if not spam) and got["en", True] == 0
+
+
+def test_quality_of_a_very_long_text(spark):
+    rows = [(i, "some sound words here " * 30 + str(i), "en", "a") for i in range(3)] + [(9, "la " * 3_000_000, None, None)]
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"], r["kept"]) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[9] == (3_000_000, 3_000_000, False)
 
 
 def test_chi_square():
@@ -247,3 +306,38 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in pieces} == firsts
     assert sum(r["length"] for r in pieces) == sum({r["doc_id"]: r["doc_tokens"] for r in pieces}.values())
+
+
+def test_pipeline_keeps_one_of_each_group(spark):
+    """Repeated rows, near copies that share an id, one text under many ids, null ids and texts without words."""
+    rnd = random.Random(8)
+    say = lambda: " ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randint(0, 99)) for _ in range(80))
+    t, u, v = say(), say(), say()
+    rows = [(9, t), (9, t), (9, t + " more"), (1, u), (1, u), (2, u), (3, u), (3, u + " extra"), (None, u), (None, v), (None, v + " end"), (5, None), (5, None), (6, " ")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string").repartition(4)
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted((d or -1) for d, _ in kept) == [-1, 1, 5, 5, 6, 9]
+    assert {(1, u), (5, None), (6, " ")} <= set(kept) and dict(kept)[9] in (t, t + " more") and dict(kept)[None] in (v, v + " end")
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").collect() == []
+
+
+def test_rows_of_one_key_are_told_apart(spark, monkeypatch):
+    """A key that two different rows share fails the run where it could mix their words."""
+    from relvalue.llm import substrings
+
+    passage = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, passage + " x"), (2, "y " + passage), (3, "z z " + passage)], "doc_id long, text string")
+    assert substrings.remove_repeats(docs).where("repeats.n_removed > 0").count() == 2
+    real = substrings.F.xxhash64
+    monkeypatch.setattr(substrings.F, "xxhash64", lambda *c: F.lit(7).cast("long") if c == ("doc_id", "text") else real(*c))
+    with pytest.raises(Exception, match="share the key"):
+        substrings.remove_repeats(docs).collect()

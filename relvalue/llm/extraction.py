@@ -26,10 +26,17 @@ from relvalue.llm.dom import KINDS, TAG_ID, Page, features, kept_text
 #: The model is trained on at most so many pages that mark their article, those with the smallest hash of their id, and so many layouts of each.
 SAMPLE_PAGES = 240
 LAYOUTS = 3
+#: And so many copies of each whose article is in an element without a meaning.
+RENAMED = 3
+#: Of few pages more copies are made, up to the second number of each, so that there are about as many as the first.
+COPIES = (720, 24)
+#: Where no page of a table marks its article, texts of so many words stand in for paragraphs, and so many layouts are made of each page.
+LONG_TEXT, UNMARKED_LAYOUTS = 12, 6
 CONTENT_TAGS = {TAG_ID["article"], TAG_ID["main"]}
 FURNITURE_TAGS = {TAG_ID[t] for t in ("nav", "aside", "footer", "form")}
 CONTENT_KIND = 1 << list(KINDS).index("content")
 LABEL = re.compile(r"data-y=(\d)")
+MARK_TAG = re.compile(r"<(/?)(?:article|main)(?=[\s/>])(?:(?<!/)\s[^<>]*(?=>))?", re.I)
 MARK = re.compile(r"<(?:article|main)[\s/>]", re.I)
 
 
@@ -117,25 +124,47 @@ def layout(paragraphs: list[str], furniture: list[str], rnd: random.Random) -> s
     return f"<html><body data-y=0>{body}</body></html>"
 
 
+def renamed(html: str, rnd: random.Random) -> str:
+    """The same page with its marking elements as plain ones, and attributes of chance or none in place of theirs."""
+    tag = rnd.choice(["div", "div", "div", "section", "td"][:4])
+    attribute = rnd.choice(["", "", f' class="x{rnd.randint(1, 99)}"', ' class="content"', f' id="c{rnd.randint(1, 99)}"', ' class="post"'])
+    return MARK_TAG.sub(lambda m: f"</{tag}" if m[1] else f"<{tag}{attribute}", html)
+
+
 def train(htmls: list[str], seed: int = 1) -> Boosted | None:
-    """A model from pages that mark their article and from other layouts of them; None without such pages."""
+    """A model from pages that mark their article, copies without the mark and other layouts of them.
+
+    Without such pages, from made layouts of the pages' texts alone; None if these have no text either.
+    """
     rnd = random.Random(seed)
     pages, labels = [], []
-    for html in htmls:
-        page = Page(html)
-        y = marked(page)
-        if not y.any():
-            continue
+    found = [(html, page, y) for html in htmls if (y := marked(page := Page(html))).any()]
+    copies = max(RENAMED, min(COPIES[1], COPIES[0] // max(1, len(found))))
+    for html, page, y in found:
         pages.append(page)
         labels.append(y)
         article = [escape(t, quote=False) for t, keep in zip(page.text, y) if t and keep]
         furniture = [t for t, keep in zip(page.text, y) if t and not keep]
+        for _ in range(copies):
+            same = Page(renamed(html, rnd))
+            if [bool(t) for t in same.text] == [bool(t) for t in page.text]:
+                pages.append(same)
+                labels.append(y)
         for _ in range(LAYOUTS):
             if article:
-                many = article[: rnd.choice([1, 2, 3, 6, 12, 40])]
+                many = article[: rnd.choice([1, 2, 3, 6, 12, len(article), len(article)])]
                 made = Page(layout(many, furniture + many[-1:], rnd))
                 pages.append(made)
                 labels.append(labelled(made))
+    if not found:
+        for html in htmls:
+            texts = [t for t in Page(html).text if t]
+            long = [escape(t, quote=False) for t in texts if len(t.split()) >= LONG_TEXT]
+            for _ in range(UNMARKED_LAYOUTS if long else 0):
+                some = long[: rnd.choice([1, 2, 3, 6, 12, len(long), len(long)])]
+                made = Page(layout(some, [t for t in texts if len(t.split()) < LONG_TEXT] + some[-1:], rnd))
+                pages.append(made)
+                labels.append(labelled(made))
     if not pages:
         return None
     x, starts = features(pages)
@@ -156,10 +185,10 @@ def first_marked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Re
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def sample(pages: DataFrame, most: int = SAMPLE_PAGES) -> DataFrame:
-    """page_id and html of the ``most`` pages of smallest hash among all that mark their article."""
+def sample(pages: DataFrame, most: int = SAMPLE_PAGES, mark: bool = True) -> DataFrame:
+    """page_id and html of the ``most`` pages of smallest hash among all that mark their article, or among all pages without ``mark``."""
     rows = pages.select(F.xxhash64("page_id").alias("_hash"), "page_id", "html").where("html is not null")
-    found = rows.mapInArrow(lambda batches: first_marked(batches, most), rows.schema) if most > 0 else rows
+    found = rows.mapInArrow(lambda batches: first_marked(batches, most), rows.schema) if most > 0 and mark else rows
     return found.orderBy("_hash", "page_id").limit(most).select("page_id", "html")
 
 
@@ -169,10 +198,12 @@ def extract(pages: DataFrame, model: Boosted | None = None, sample_pages: int =
     Without a ``model`` one is trained on a sample of those ``pages`` that mark their article (at most ``sample_pages``). White
     space inside a block becomes one space, blocks are joined by one space in page order. A null or
     empty html, or a page without an article, gives the empty text; null ids and repeated rows each keep
-    their row. If no page of the table marks its article, all text outside scripts and the like is kept.
+    their row. If no page of the table marks its article, the model learns from made layouts of as many pages' texts; only if there
+    is no longer text in these is all text outside scripts and the like kept.
     """
     if model is None:
-        model = train([r["html"] for r in sample(pages, sample_pages).toLocalIterator()])
+        taken = [r["html"] for r in sample(pages, sample_pages).toLocalIterator()]
+        model = train(taken or [r["html"] for r in sample(pages, sample_pages, mark=False).toLocalIterator()])
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -259,7 +259,8 @@ def _cut(window: int):
                 gone = 0
                 begin = mail.of(row).astype(np.int64)
                 if len(begin):
-                    if owners.setdefault(row, (doc, xxh3_64_intdigest(text))) != (doc, xxh3_64_intdigest(text)):
+                    mine = (doc, xxh3_64_intdigest(text))
+                    if owners.setdefault(row, mine) != mine or int(begin.max()) + window > len(words):
                         raise ValueError(f"two different rows share the key {row}")
                     change = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + window, minlength=len(words) + 1)
                     kept = np.cumsum(change[: len(words)]) == 0

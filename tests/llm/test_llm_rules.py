@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import random
+import re
 from html import escape
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +256,66 @@ def test_rare_marked_pages_are_all_sampled(spark):
     assert few == every[:4] and len(every) == 10
 
 
+@pytest.fixture(scope="module")
+def pages():
+    """Pages of the tables, and the article each marks."""
+    htmls = [r for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist() if r]
+    wanted = []
+    for html in htmls:
+        page = Page(html)
+        wanted.append(" ".join(t for t, keep in zip(page.text, extraction.marked(page)) if t and keep))
+    return htmls, wanted
+
+
+def unmarked(html, attribute):
+    return re.sub(r"<(/?)(?:article|main)\b[^>]*>", lambda m: "</div>" if m[1] else f"<div{attribute}>", html)
+
+
+def exact(model, htmls, wanted):
+    made = [Page(h) for h in htmls]
+    x, starts = features(made)
+    score = model.score(x)
+    got = [kept_text(p, score[a:b]) for p, a, b in zip(made, starts, starts[1:])]
+    return np.mean([g == w for g, w in zip(got, wanted)]), got
+
+
+@pytest.mark.parametrize("marked, least", [(240, 0.9), (20, 0.9), (5, 0.3)])
+def test_main_text_of_pages_without_a_mark(pages, marked, least):
+    """The same pages with a plain element in place of the mark; long articles lose no paragraph."""
+    htmls, wanted = pages
+    model = extraction.train(htmls[:marked])
+    for attribute in ("", ' class="x1"', ' class="content"'):
+        share, got = exact(model, [unmarked(h, attribute) for h in htmls], wanted)
+        assert share >= least
+        if marked > 5:
+            assert all(g == w for g, w in zip(got, wanted) if len(w.split()) > 2000)
+
+
+def test_main_text_where_no_page_has_a_mark(pages):
+    """The trees still tell the most of the article from menus, footers and adverts."""
+    htmls, wanted = [unmarked(h, "") for h in pages[0]], pages[1]
+    _, got = exact(extraction.train(htmls[:60]), htmls, wanted)
+    words = lambda texts: sum(len(t.split()) for t in texts)
+    assert words(got) > 0.6 * words(wanted)
+    outside = [set(" ".join(t for t in Page(h).text if t).split()) - set(w.split()) for h, w in zip(htmls, wanted)]
+    assert sum(len(set(g.split()) & o) for g, o in zip(got, outside)) < 0.2 * sum(map(len, outside))
+
+
+def test_renamed_pages_keep_their_texts(pages):
+    rnd = random.Random(2)
+    for html in pages[0]:
+        assert [t for t in Page(extraction.renamed(html, rnd)).text if t] == [t for t in Page(html).text if t]
+        assert not extraction.MARK.search(extraction.renamed(html, rnd))
+
+
+def test_main_text_of_a_very_long_page(spark):
+    rnd = random.Random(1)
+    parts = [" ".join(["alpha", "beta", "of", "the"] * 12) + "." for _ in range(4000)]
+    table = spark.createDataFrame([(i, "u", raw_page(rnd, article(rnd))) for i in range(60)] + [(99, "u", raw_page(rnd, parts))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(table).collect()}
+    assert got[99] == " ".join(parts)
+
+
 def test_main_text_on_other_layouts():
     rnd = random.Random(9)
     model = extraction.train([raw_page(rnd, article(rnd)) for _ in range(80)])

@@ -56,7 +56,7 @@ _SMALL, _LARGE = "1e9D", "1e19D"
 _OUTER = 100
 
 
-def _outer(amount: str) -> str:
+def outer_part(amount: str) -> str:
     """SQL for the part of a DOUBLE that belongs to an outer range; null or 0 if there is none."""
     return (
         f"CASE WHEN abs({amount}) >= {_LARGE} THEN {amount} "
@@ -64,18 +64,15 @@ def _outer(amount: str) -> str:
     )
 
 
-def _outer_range(amount: str) -> str:
-    return f"{_OUTER} + CAST(floor(log2(nullif(abs({_outer(amount)}), 0D)) / 32) AS INT)"
+def _outer_range(outer: str) -> str:
+    return f"{_OUTER} + CAST(floor(log2(abs({outer})) / 32) AS INT)"
 
 
-def sum_ranges(amounts: Sequence[str]) -> str:
-    """SQL for the array of ranges that the DOUBLE expressions fall in; range 0 is always among them."""
-    large = " OR ".join(f"(abs({a}) >= {_SMALL} AND abs({a}) < {_LARGE})" for a in amounts)
-    odd = " OR ".join(f"coalesce({_outer(a)}, 0D) <> 0" for a in amounts)
-    outer = f"array_distinct(array_compact(array({', '.join(_outer_range(a) for a in amounts)})))"
+def sum_ranges(amount: str, outer: str) -> str:
+    """SQL for the array of ranges that a DOUBLE falls in, given its ``outer_part``; a null falls in range 0."""
     return (
-        f"CASE WHEN {odd} THEN concat(CASE WHEN {large} THEN array(0, 1) ELSE array(0) END, {outer}) "
-        f"WHEN {large} THEN array(0, 1) ELSE array(0) END"
+        f"CASE WHEN {outer} <> 0 THEN CASE WHEN abs({amount}) < {_SMALL} THEN array(0, {_outer_range(outer)}) ELSE array({_outer_range(outer)}) END "
+        f"WHEN abs({amount}) >= {_SMALL} THEN array(1) ELSE array(0) END"
     )
 
 
@@ -84,23 +81,22 @@ def _scaled(amount: str, exponent: str) -> str:
     return f"{amount} * pow(2D, {exponent} / 2) * pow(2D, {exponent} / 2)"
 
 
-def in_sum_range(amount: str, range_: str) -> str:
-    """SQL for the DECIMAL that an amount adds to the sum of a range; null where it adds none."""
+def in_sum_range(amount: str, outer: str, range_: str) -> str:
+    """SQL for the DECIMAL that an amount adds to the sum of one of its ranges."""
     return (
-        f"CASE WHEN {range_} = 0 THEN CASE WHEN abs({amount}) < {_SMALL} THEN CAST({amount} AS DECIMAL(38, 18)) END "
-        f"WHEN {range_} = 1 THEN CASE WHEN abs({amount}) >= {_SMALL} AND abs({amount}) < {_LARGE} "
-        f"THEN CAST(CAST({amount} AS DECIMAL(27, 8)) * 0.0000000001BD AS DECIMAL(38, 18)) END "
-        f"WHEN {range_} = {_outer_range(amount)} THEN CAST({_scaled(f'({_outer(amount)})', f'(32 * ({_OUTER} - {range_}))')} AS DECIMAL(38, 18)) END"
+        f"CASE {range_} WHEN 0 THEN CAST({amount} AS DECIMAL(38, 18)) "
+        f"WHEN 1 THEN CAST(CAST({amount} AS DECIMAL(27, 8)) * 0.0000000001BD AS DECIMAL(38, 18)) "
+        f"ELSE CAST({_scaled(outer, f'(32 * ({_OUTER} - {range_}))')} AS DECIMAL(38, 18)) END"
     )
 
 
-def range_sums(total: str, range_: str, where: str = "true") -> dict[str, str]:
+def range_sums(total: str, range_: str) -> dict[str, str]:
     """SQL aggregates over the totals of one sum's ranges, for ``joined``."""
     outer = _scaled(f"CAST({total} AS DOUBLE)", f"(32 * ({range_} - {_OUTER}))")
     return {
-        "small": f"max(CASE WHEN {where} AND {range_} = 0 THEN {total} END)",
-        "large": f"max(CASE WHEN {where} AND {range_} = 1 THEN {total} END)",
-        "outer": f"sum(CASE WHEN {where} AND {range_} > 1 AND {total} <> 0 THEN {outer} END)",
+        "small": f"max(CASE WHEN {range_} = 0 THEN {total} END)",
+        "large": f"max(CASE WHEN {range_} = 1 THEN {total} END)",
+        "outer": f"sum(CASE WHEN {range_} > 1 AND {total} <> 0 THEN {outer} END)",
     }
 
 

@@ -3,30 +3,30 @@
 Aggregates hash: they hold numbers only, and text that must come along is a grouping key or is
 fetched afterwards.
 
-1. Both feeds are stacked into rows of a slug, the parent it names, a kind (one of the flow metrics, or
-   listing) and a range of amounts (see ``maths.sum_ranges``), and reduced by these. That combines
-   before the shuffle, so a slug that holds a large share of all rows arrives as a row per map task.
+1. Both feeds are stacked into rows of one amount each: a slug, the parent it names, what the amount is (a metric's
+   window, or locked value) and its range (see ``maths.sum_ranges``), and reduced by these. That combines
+   before the shuffle, so a slug that holds a large share of all rows arrives as a few rows per map task.
 2. A window over the reduced rows of a slug finds its parent: the row that ranks highest names it.
-3. The rows are reduced again per group (parent, or the slug itself), kind and range, then put side by side.
+3. The rows are reduced again per group (parent, or the slug itself), ranges are joined, and amounts put side by side.
 4. The members that lend a group its descriptive fields are known by position; one join on the
    position fetches the fields.
 
 ``pos`` identifies a listing row and lies in [0, 2^61).
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.functions.guards import conform
-from relvalue.functions.maths import in_sum_range, joined, order_key, place_key, positive, range_sums, sum_ranges
+from relvalue.functions.maths import in_sum_range, joined, order_key, outer_part, place_key, positive, range_sums, sum_ranges
 from relvalue.functions.text import PARENT_PREFIX, pretty_parent
 
 WINDOWS = ("annual", "d7", "prev7", "d30", "prev30")
 _FLOWS = tuple(f"{m}_{w}" for m in S.METRICS for w in WINDOWS)
 
-# Kinds of stacked rows: a metric's place, or this for listing rows, whose one amount is the locked value.
-_LISTED = len(S.METRICS)
+# What a stacked row's amount is: the place of a metric's window among all, or this for the locked value of a listing row.
+_LOCKED = len(_FLOWS)
 _POS_LIMIT = 1 << 61
 # What listing rows add beside amounts, and the aggregate that reduces each.
 _MEMBER = {"first_pos": "min", "dl_mcap": "max", "id_pos": "min", "symbol_pos": "min", "rep_0": "min", "rep_1": "min", "rep_2": "min"}
@@ -47,26 +47,31 @@ def parent_map(flow: DataFrame) -> DataFrame:
     return claims.withColumn("highest", highest).where("claim = highest").select("slug", "parent")
 
 
-def _ranged(rows: DataFrame, keep: list[str], amounts: list[str]) -> DataFrame:
-    """A row for each range of amounts that a row's amounts fall in, with what they add to it."""
-    spread = rows.withColumn("range", F.explode(F.expr(sum_ranges(amounts))))
-    return spread.selectExpr(*keep, "range", *[f"{in_sum_range(a, 'range')} AS {a}" for a in amounts])
+def _ranged(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each range that a row's amount falls in (null amounts stay), with what it adds to it."""
+    spread = rows.withColumn("outer_part", F.expr(outer_part("amount"))).withColumn("range", F.explode(F.expr(sum_ranges("amount", "outer_part"))))
+    return spread.selectExpr(*keep, "what", "range", f"{in_sum_range('amount', 'outer_part', 'range')} AS amount")
 
 
 def _flow_rows(flow: DataFrame) -> DataFrame:
-    """Positive amounts only. A year's total stands as it is, else 30 days are scaled to a year."""
-    kind = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(S.METRICS))
+    """Positive amounts only; the first window's row stays in any case. A year's total stands as it is, else 30 days are scaled to a year."""
+    kind = " ".join(f"WHEN '{m}' THEN {i * len(WINDOWS)}" for i, m in enumerate(S.METRICS))
+    amounts = {
+        "annual": "CASE WHEN total1y > 0 THEN total1y WHEN total30d > 0 THEN total30d * 365 / 30 END",
+        "d7": "CASE WHEN total7d > 0 THEN total7d END",
+        "prev7": "CASE WHEN total14dto7d > 0 THEN total14dto7d END",
+        "d30": "CASE WHEN total30d > 0 THEN total30d END",
+        "prev30": "CASE WHEN total60dto30d > 0 THEN total60dto30d END",
+    }
+    each = ", ".join(f"struct({i} AS window, {amounts[w]} AS amount)" for i, w in enumerate(WINDOWS))
     rows = conform(flow, S.FLOW).where("slug IS NOT NULL").selectExpr(
         "slug", "parent",
-        f"CASE metric {kind} ELSE {_LISTED + 1} END AS kind",
         f"CASE WHEN parent IS NOT NULL THEN {place_key('list_ord', 'pos')} END AS claim",
-        "CASE WHEN total1y > 0 THEN total1y WHEN total30d > 0 THEN total30d * 365 / 30 END AS annual",
-        "CASE WHEN total7d > 0 THEN total7d END AS d7",
-        "CASE WHEN total14dto7d > 0 THEN total14dto7d END AS prev7",
-        "CASE WHEN total30d > 0 THEN total30d END AS d30",
-        "CASE WHEN total60dto30d > 0 THEN total60dto30d END AS prev30",
+        f"CASE metric {kind} ELSE {_LOCKED + 1} END AS kind",
+        f"inline(array({each}))",
     )
-    return _ranged(rows, ["slug", "parent", "kind", "claim"], list(WINDOWS))
+    rows = rows.where("amount IS NOT NULL OR window = 0").withColumn("what", F.expr("kind + window"))
+    return _ranged(rows, "slug", "parent", "claim")
 
 
 def _listing_rows(listing: DataFrame) -> DataFrame:
@@ -80,8 +85,8 @@ def _listing_rows(listing: DataFrame) -> DataFrame:
         .where("slug IS NOT NULL")
         .selectExpr(
             "slug",
-            f"{_LISTED} AS kind",
-            "tvl AS annual",
+            f"{_LOCKED} AS what",
+            "tvl AS amount",
             "pos AS first_pos",
             "CASE WHEN mcap > 0 THEN mcap END AS dl_mcap",
             "CASE WHEN gecko_id IS NOT NULL THEN pos END AS id_pos",
@@ -91,41 +96,38 @@ def _listing_rows(listing: DataFrame) -> DataFrame:
             f"CASE WHEN gecko_id IS NULL AND NOT coalesce(mcap > 0, false) THEN {by_tvl} END AS rep_2",
         )
     )
-    return _ranged(rows, ["slug", "kind", *_MEMBER], ["annual"])
+    return _ranged(rows, "slug", *_MEMBER)
 
 
 def _reduced(rows: DataFrame, *keys: str) -> DataFrame:
     """Sums of the amounts by ``keys``, and the members' numbers where the rows have them."""
     columns = set(rows.columns)
-    aggregates = [f"sum({w}) AS {w}" for w in WINDOWS]
+    aggregates = ["sum(amount) AS amount"]
     aggregates += [f"max({c}) AS {c}" for c in ("claim",) if c in columns]
     aggregates += [f"{reduce}({c}) AS {c}" for c, reduce in _MEMBER.items() if c in columns]
     return rows.groupBy(*keys).agg(*map(F.expr, aggregates))
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Stacked rows reduced per slug, then per group key ``k``; still one row for each kind and range."""
-    per_slug = _strongest(_reduced(rows, "slug", "parent", "kind", "range"))
-    return _reduced(per_slug.withColumn("k", F.coalesce("parent", "slug")).drop("claim"), "k", "kind", "range")
+def _totals(rows: DataFrame) -> DataFrame:
+    """Stacked rows reduced per slug, then per group key ``k``: a row for each of the group's amounts, as ``total``."""
+    per_slug = _strongest(_reduced(rows, "slug", "parent", "what", "range"))
+    ranges = _reduced(per_slug.withColumn("k", F.coalesce("parent", "slug")).drop("claim"), "k", "what", "range")
+    members = [f"{reduce}({c}) AS {c}" for c, reduce in _MEMBER.items() if c in ranges.columns]
+    sums = [f"{sql} AS amount_{name}" for name, sql in range_sums("amount", "range").items()]
+    whole = ranges.groupBy("k", "what").agg(*map(F.expr, [*sums, *members]))
+    return whole.withColumn("total", F.expr(joined("amount"))).drop(*(f"amount_{name}" for name in range_sums("", "")))
 
 
-def _totals(sums: dict[str, tuple[str, str]]) -> tuple[list[str], list[str]]:
-    """SQL aggregates, and SQL for the totals; ``sums`` names the amount and condition of each."""
-    aggregates, totals = [], []
-    for name, (amount, where) in sums.items():
-        aggregates += [f"{sql} AS {name}_{part}" for part, sql in range_sums(amount, "range", where).items()]
-        totals.append(f"{joined(name)} AS {name}")
-    return aggregates, totals
+def _pick(what: str, name: str) -> Column:
+    return F.expr(f"max(CASE WHEN {what} THEN total END) AS {name}")
 
 
 def flow_rollup(flow: DataFrame) -> DataFrame:
     """Positive flows summed per group and metric, groups without a listing row included."""
-    aggregates, totals = _totals({w: (w, "true") for w in WINDOWS})
-    names = F.array(*map(F.lit, S.METRICS))
+    names, n = F.array(*map(F.lit, S.METRICS)), len(WINDOWS)
     return (
-        _grouped(_flow_rows(flow)).where(f"kind < {_LISTED}")
-        .groupBy("k", "kind").agg(*map(F.expr, aggregates))
-        .selectExpr("k", "kind", *totals)
+        _totals(_flow_rows(flow)).where(f"what < {_LOCKED}")
+        .groupBy("k", F.expr(f"what div {n}").cast("int").alias("kind")).agg(*[_pick(f"what % {n} = {i}", w) for i, w in enumerate(WINDOWS)])
         .select("k", names[F.col("kind")].alias("metric"), *[positive(F.col(w)).alias(w) for w in WINDOWS])
     )
 
@@ -156,15 +158,14 @@ def group_rollup(listing: DataFrame, flow: DataFrame) -> DataFrame:
     Groups known from flows only have no listing row and drop out.
     """
     rows = _flow_rows(flow).unionByName(_listing_rows(listing), allowMissingColumns=True)
-    sums = {f"{m}_{w}": (w, f"kind = {i}") for i, m in enumerate(S.METRICS) for w in WINDOWS}
-    aggregates, totals = _totals(sums | {"tvl": ("annual", f"kind = {_LISTED}")})
+    amounts = [_pick(f"what = {i}", c) for i, c in enumerate((*_FLOWS, "tvl"))]
     groups = (
-        _grouped(rows)
-        .groupBy("k").agg(*map(F.expr, aggregates), *[F.expr(f"{reduce}({c}) AS {c}") for c, reduce in _MEMBER.items()])
+        _totals(rows)
+        .groupBy("k").agg(*amounts, *[F.expr(f"{reduce}({c}) AS {c}") for c, reduce in _MEMBER.items()])
         .where("first_pos IS NOT NULL")
         .selectExpr(
             "k", "first_pos", "dl_mcap", "id_pos", "symbol_pos",
-            f"coalesce(rep_0, rep_1, CAST(pmod(rep_2, {_POS_LIMIT}BD) AS BIGINT)) AS rep_pos", *totals,
+            f"coalesce(rep_0, rep_1, CAST(pmod(rep_2, {_POS_LIMIT}BD) AS BIGINT)) AS rep_pos", *_FLOWS, "tvl",
         )
     )
     is_parent = F.col("k").startswith(PARENT_PREFIX)

@@ -78,7 +78,8 @@ def test_weighted_mean(spark):
 
 def total(rows):
     """The sum of column a, by ranges."""
-    parts = rows.withColumn("range", F.explode(F.expr(maths.sum_ranges(["a"])))).withColumn("a", F.expr(maths.in_sum_range("a", "range")))
+    parts = rows.withColumn("o", F.expr(maths.outer_part("a"))).withColumn("range", F.explode(F.expr(maths.sum_ranges("a", "o"))))
+    parts = parts.withColumn("a", F.expr(maths.in_sum_range("a", "o", "range")))
     sums = parts.groupBy("range").agg(F.sum("a").alias("a"))
     named = sums.agg(*[F.expr(f"{sql} AS a_{name}") for name, sql in maths.range_sums("a", "range").items()])
     return named.select(F.expr(maths.joined("a"))).first()[0]

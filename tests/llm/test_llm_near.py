@@ -177,3 +177,66 @@ def test_equally_near_nodes_beyond_a_dozen():
         exact = (x @ x[r]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[r]))
         want = sorted(range(100), key=lambda n: (-exact[n].round(12), ids[n]))[:6]
         assert [g["key"] for g in got if g["query_id"] == ids[r]] == [str(ids[n]) for n in want]
+
+
+# --- near-equal vectors --------------------------------------------------------------------------
+
+
+def tight_groups(rnd, groups, size, noise, dim=32):
+    centres = rnd.normal(size=(groups, dim))
+    return np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), size, axis=0) + noise * rnd.normal(size=(groups * size, dim))
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("noise", [1e-2, 1e-4, 1e-6])
+@pytest.mark.parametrize("groups, size", [(20, 60), (3, 400), (1, 1200), (0, 400)])
+def test_graph_of_near_equal_vectors(groups, size, noise):
+    """Tight groups, or a third near copies among random ones: all nodes are linked, and recall at 5 is at least 0.95."""
+    rnd = np.random.default_rng(3)
+    x = unit(tight_groups(rnd, groups, size, noise) if groups else np.concatenate([tight_groups(rnd, 1, size, noise), rnd.normal(size=(2 * size, 32))]))
+    graph = neighbours.Graph(x)
+    assert graph.reached().all()
+    asked = rnd.choice(len(x), 100, replace=False)
+    right = 0
+    for i, found in zip(asked, graph.search(x[asked], neighbours.SEARCH_BEAM)):
+        far = ((x - x[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        right += len(set(np.argsort(far, kind="stable")[:5]) & set(found[(found >= 0) & (found != i)][:5].tolist()))
+    assert right / 500 >= 0.95
+
+
+def test_lost_nodes_are_linked():
+    rnd = np.random.default_rng(1)
+    graph = neighbours.Graph(unit(rnd.normal(size=(300, 8))))
+    graph.edges[:] = -1  # nothing leads anywhere
+    graph._link()
+    assert graph.reached().all()
+
+
+def test_nearest_among_near_copies(spark):
+    """A third of the table near copies of one vector, in shards of the production size."""
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([tight_groups(rnd, 1, 500, 1e-5, 16), rnd.normal(size=(1000, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.nearest(table, every=50, k=5).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    right = 0
+    for i in range(0, 1500, 50):
+        score = x @ x[i] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[i]))
+        score[i] = -2
+        best = np.sort(score)[-5]
+        right += sum(score[j] >= best - 1e-15 for j in got[i])
+    assert right / 150 >= 0.95
+
+
+def test_huge_and_tiny_vectors_take_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [5e-324, 0.0]), (4, [1.7e308, 1.7e308]), (5, [float("inf"), 1.0]), (6, [0.0, -0.0]), (7, None), (8, [None, 1.0]), (9, []), (10, [3.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1, k=3).collect()
+    assert {r["query_id"] for r in got} == {0, 1, 2, 3, 4}
+    best = {r["query_id"]: (r["vec_id"], r["score"]) for r in got if r["rank"] == 1}
+    assert best[0][0] in (1, 2) and best[1][0] in (0, 2) and best[2][0] in (0, 1) and all(abs(best[i][1] - 1) < 1e-12 for i in (0, 1, 2))
+    assert {(r["query_id"], r["vec_id"]): round(r["score"], 12) for r in got}[3, 4] == round(0.5**0.5, 12)

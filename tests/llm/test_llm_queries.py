@@ -37,13 +37,13 @@ def rows_of(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize("name", ORACLE)
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     result = con.execute(ORACLE[name])
     names = [d[0] for d in result.description]
@@ -122,3 +122,11 @@ def test_op10(spark):
         scores[at] = -9
         found += len(set(got[q].values()) & set(ids[np.lexsort((ids, -scores))[:5]].tolist()))
     assert found >= 0.95 * 5 * len(asked)
+
+
+def test_op11(spark, documents, byte_file):
+    import public_tokenizers
+    from test_llm_round3 import brute_alignment
+
+    want = brute_alignment(list(documents.items()), byte_file, public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted(map(tuple, rows_of(spark, "op11_cross_tokenizer_alignment"))) == sorted(want)

@@ -57,10 +57,13 @@ _OUTER = 100
 
 
 def outer_part(amount: str) -> str:
-    """SQL for the part of a DOUBLE that belongs to an outer range; null or 0 if there is none."""
+    """SQL for the part of a DOUBLE that belongs to an outer range; null or 0 if there is none.
+
+    A DOUBLE has at most 17 digits as decimal text, so 18 places hold all of an amount from 1 on.
+    """
     return (
         f"CASE WHEN abs({amount}) >= {_LARGE} THEN {amount} "
-        f"WHEN abs({amount}) < {_SMALL} THEN {amount} - CAST(CAST({amount} AS DECIMAL(38, 18)) AS DOUBLE) END"
+        f"WHEN abs({amount}) < 1D THEN {amount} - CAST(CAST({amount} AS DECIMAL(38, 18)) AS DOUBLE) END"
     )
 
 

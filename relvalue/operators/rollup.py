@@ -7,7 +7,8 @@ fetched afterwards.
    window, or locked value) and its range (see ``maths.sum_ranges``), and reduced by these. That combines
    before the shuffle, so a slug that holds a large share of all rows arrives as a few rows per map task.
 2. A window over the reduced rows of a slug finds its parent: the row that ranks highest names it.
-3. The rows are reduced again per group (parent, or the slug itself), ranges are joined, and amounts put side by side.
+3. The rows are reduced again per group (parent, or the slug itself). What is left of a group, a row for each amount and range, then
+   meets in one task, where ranges are joined and amounts put side by side.
 4. The members that lend a group its descriptive fields are known by position; one join on the
    position fetches the fields.
 
@@ -112,6 +113,7 @@ def _totals(rows: DataFrame) -> DataFrame:
     """Stacked rows reduced per slug, then per group key ``k``: a row for each of the group's amounts, as ``total``."""
     per_slug = _strongest(_reduced(rows, "slug", "parent", "what", "range"))
     ranges = _reduced(per_slug.withColumn("k", F.coalesce("parent", "slug")).drop("claim"), "k", "what", "range")
+    ranges = ranges.repartition("k")  # serves the groupings by k that follow, too
     members = [f"{reduce}({c}) AS {c}" for c, reduce in _MEMBER.items() if c in ranges.columns]
     sums = [f"{sql} AS amount_{name}" for name, sql in range_sums("amount", "range").items()]
     whole = ranges.groupBy("k", "what").agg(*map(F.expr, [*sums, *members]))

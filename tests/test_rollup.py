@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from relvalue import schemas as S
 from relvalue.operators.quotes import heavy_symbols, market_by_id, market_by_symbol, market_rows, match_quotes, to_entities
-from relvalue.operators.rollup import flow_rollup, group_rollup, parent_map
+from relvalue.operators.rollup import _flow_rows, flow_rollup, group_rollup, parent_map
 from rows import flow, listing, market
 
 P = "parent#big-name_v2"
@@ -199,6 +199,13 @@ def test_flows_of_any_size(spark):
     assert row.annual == pytest.approx(1e25 + 2e19, rel=1e-15) and row.d7 == 5e-30
 
 
+def test_amounts_of_usual_size_share_a_row(spark):
+    """A flow row is stacked as one row, whatever it brings; only amounts of other ranges take rows of their own."""
+    usual = dict(total7d=1.0, total14dto7d=2.5, total30d=3.0, total60dto30d=0.25, total1y=9e8)
+    rows = _flow_rows(flow(spark, dict(metric="fees", slug="a", **usual), dict(metric="fees", slug="b"), dict(metric="fees", slug="c", **usual | dict(total1y=4e9, total7d=5e-30))))
+    assert {r.slug: r["count"] for r in rows.groupBy("slug").count().collect()} == {"a": 1, "b": 1, "c": 3}
+
+
 def test_members_that_lend_fields(spark):
     """Id, symbol and the rest from three members, beside a group whose members are one."""
     rows = [
